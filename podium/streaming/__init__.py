@@ -1,0 +1,7 @@
+"""Streaming.
+
+The analysed application has no streaming, watermark, window or state logic:
+its data is read and reported in batch. Nothing is built here on purpose;
+the batch reports run unchanged over a lake that is appended to by the
+append sink in :mod:`podium.sources.sinks`.
+"""
