@@ -125,25 +125,29 @@ def timeline(t: Tables, country: str = DEFAULT_COUNTRY,
     """Per year of the country's competitions since ``as_of - years``:
     competitions, races and valid results (years without results stay).
 
-    Valid results are counted per race before joining back, so only one row
-    per selected race leaves the fact side.
+    Valid results are counted per competition on the fact side (a hash probe
+    into the broadcast selected races, then map-side partial counts), so only
+    one row per selected competition leaves each task. ``id`` is the key of
+    competitions and races, so counting rows per key equals COUNT(DISTINCT).
     """
     comps = (t.competitions
              .filter((F.col("country_code") == country) & (F.col("start_date") >= recent_floor(as_of, years)))
              .select(F.col("id").alias("c_id"), F.year("start_date").cast("long").alias("year")))
-    # races of the selected competitions (a subset of the races dimension)
+    # races of the selected competitions: a subset of the races dimension
     sel = (t.races.select(F.col("id").alias("ra_id"), F.col("competition_id").alias("ra_comp"))
            .join(t.dim("competitions", comps.select("c_id")), F.col("ra_comp") == F.col("c_id"))
            .select("ra_id", "ra_comp"))
-    per_race = (valid_results(t).select("race_id", "id")
-                .join(t.dim("races", sel.select("ra_id")), F.col("race_id") == F.col("ra_id"))
-                .groupBy("race_id").agg(F.count("id").alias("n")))
-    races_n = sel.join(per_race, F.col("ra_id") == F.col("race_id"), "left")
-    j = comps.join(races_n, F.col("c_id") == F.col("ra_comp"), "left")
+    results_per_comp = (valid_results(t).select("race_id", "id")
+                        .join(t.dim("races", sel), F.col("race_id") == F.col("ra_id"))
+                        .groupBy(F.col("ra_comp").alias("r_comp"))
+                        .agg(F.count("id").alias("n_results")))
+    races_per_comp = sel.groupBy(F.col("ra_comp").alias("k_comp")).agg(F.count("ra_id").alias("n_races"))
+    j = (comps.join(t.dim("competitions", races_per_comp), F.col("c_id") == F.col("k_comp"), "left")
+              .join(t.dim("competitions", results_per_comp), F.col("c_id") == F.col("r_comp"), "left"))
     return (j.groupBy("year")
-             .agg(F.count_distinct("c_id").alias("competition_count"),
-                  F.count_distinct("ra_id").alias("race_count"),
-                  F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("result_count"))
+             .agg(F.count("c_id").alias("competition_count"),
+                  F.coalesce(F.sum("n_races"), F.lit(0)).cast("long").alias("race_count"),
+                  F.coalesce(F.sum("n_results"), F.lit(0)).cast("long").alias("result_count"))
              .orderBy(desc("year")))
 
 
