@@ -35,6 +35,61 @@ def join_dim(t: Tables, df: DataFrame, dim_name: str, key: str,
     return lookup(t, df, dim_name, d, F.col(key) == F.col(k), how).drop(k)
 
 
+# Columns a race context can carry: {new_name: (table, column)}.
+RACE_CONTEXT_COLS = {
+    "competition_id": ("races", "competition_id"),
+    "event_id": ("races", "event_id"),
+    "race_date": ("races", "race_date"),
+    "race_type": ("races", "race_type"),
+    "ra_race_type": ("races", "race_type"),
+    "event_name": ("events", "event_name"),
+    "event_title": ("events", "event_title"),
+    "discipline_code": ("events", "discipline_code"),
+    "d_name": ("disciplines", "discipline_name"),
+    "d_category": ("disciplines", "category"),
+    "c_start_date": ("competitions", "start_date"),
+    "competition_name": ("competitions", "name"),
+    "venue": ("competitions", "venue"),
+}
+
+
+def race_context(t: Tables, cols: list[str], races: DataFrame | None = None) -> DataFrame:
+    """One row per race (``_k_races`` = race id) with the requested columns
+    of races, events (inner), disciplines (left) and competitions (inner).
+
+    The dimensions are joined to each other first, so the fact meets them in
+    a single join: one broadcast probe when races are within the bound, else
+    one shuffle of the fact instead of one per dimension. Rows never exceed
+    the races dimension's, so the races bound covers the context.
+    """
+    want = {c: RACE_CONTEXT_COLS[c] for c in cols}
+    tables = {tb for tb, _ in want.values()}
+    src = t.races if races is None else races
+    base = {"_k_races": "id", "_ra_event": "event_id", "_ra_comp": "competition_id"}
+    base.update({c: col for c, (tb, col) in want.items() if tb == "races"})
+    ctx = src.select(*[F.col(v).alias(k) for k, v in base.items()])
+    if tables & {"events", "disciplines"}:
+        ev = {c: col for c, (tb, col) in want.items() if tb == "events"}
+        ev.setdefault("_ev_disc", "discipline_code")
+        ctx = join_dim(t, ctx, "events", "_ra_event", ev)
+        if "disciplines" in tables:
+            ctx = join_dim(t, ctx, "disciplines", "_ev_disc",
+                           {c: col for c, (tb, col) in want.items() if tb == "disciplines"}, "left",
+                           dim_key="discipline_code")
+    if "competitions" in tables:
+        ctx = join_dim(t, ctx, "competitions", "_ra_comp",
+                       {c: col for c, (tb, col) in want.items() if tb == "competitions"})
+    return ctx.select("_k_races", *cols)
+
+
+def with_race_context(t: Tables, df: DataFrame, cols: list[str],
+                      races: DataFrame | None = None) -> DataFrame:
+    """Join ``df.race_id`` to :func:`race_context` (inner, as the reference's
+    chain of inner joins through races and events)."""
+    ctx = race_context(t, cols, races)
+    return lookup(t, df, "races", ctx, F.col("race_id") == F.col("_k_races"), "inner").drop("_k_races")
+
+
 ATHLETE_COLS = {"a_id": "id", "a_full_name": "full_name", "a_family_name": "family_name",
                 "a_given_name": "given_name", "a_country_code": "country_code",
                 "a_gender": "gender", "a_birth_date": "birth_date"}
@@ -59,15 +114,14 @@ def race_bounds_filter(t: Tables, races: DataFrame) -> Column:
 
 
 def results_of_competition(t: Tables, competition_id: int, results: DataFrame | None = None,
-                           race_cols: dict[str, str] | None = None) -> DataFrame:
+                           cols: list[str] | None = None) -> DataFrame:
     """Results of one competition: its races (a dimension subset) joined to
-    the fact, with the fact pre-filtered to the races' id range."""
+    the fact, with the fact pre-filtered to the races' id range. ``cols``
+    are race-context columns to add (:data:`RACE_CONTEXT_COLS`)."""
     races = t.races.filter(F.col("competition_id") == F.lit(competition_id))
     r = t.results if results is None else results
     r = r.filter(race_bounds_filter(t, races))
-    cols = {"competition_id": "competition_id", "event_id": "event_id"}
-    cols.update(race_cols or {})
-    return join_dim(t, r, "races", "race_id", cols, "inner", dim=races)
+    return with_race_context(t, r, cols or ["competition_id"], races)
 
 
 def attributed_results(t: Tables, countries: list[str],

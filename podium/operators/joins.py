@@ -42,18 +42,22 @@ def left_join_nullable(t: Tables, df: DataFrame, key: str, dim_name: str,
     return keyed.unionByName(nulls)
 
 
-def one_row(parts: dict[str, DataFrame], default: int | None = 0) -> DataFrame:
-    """Combine one-value DataFrames into one row, one column per part.
+def one_row(*parts: DataFrame, default: int | None = 0) -> DataFrame:
+    """Put the columns of one-row aggregates side by side in one row.
 
-    The parts are unioned as (name, value) rows and folded with one global
-    aggregate; a part with no row yields ``default``.
+    Each part is a global aggregate (exactly one row) with its own column
+    names. The parts are unioned by name (each row fills only its own
+    columns) and folded by one global aggregate: no join, no cross product.
+    A NULL value becomes ``default``.
     """
-    tagged = [df.select(F.lit(name).alias("_k"), F.col(df.columns[0]).cast("long").alias("_v"))
-              for name, df in parts.items()]
-    u = reduce(lambda a, b: a.unionByName(b), tagged)
+    names = [c for p in parts for c in p.columns]
+    if len(set(names)) != len(names):
+        raise ValueError(f"duplicate column names in one_row parts: {names}")
+    u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
+               [p.select(*[F.col(c).cast("long").alias(c) for c in p.columns]) for p in parts])
     cols = []
-    for name in parts:
-        v = F.max(F.when(F.col("_k") == name, F.col("_v")))
+    for name in names:
+        v = F.max(name)
         if default is not None:
             v = F.coalesce(v, F.lit(default).cast("long"))
         cols.append(v.alias(name))

@@ -17,9 +17,9 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import (category_or_default, gender_category,
-                               recent_floor, valid_mark)
-from ..operators.facts import attributed_results, join_dim, valid_results, with_athletes
+from ..functions.exprs import category_or_default, gender_category, recent_floor
+from ..operators.facts import (attributed_results, join_dim, valid_results,
+                               with_athletes, with_race_context)
 from ..operators.joins import one_row
 from ..operators.paging import asc, desc
 from ..session import checkpointed
@@ -44,19 +44,24 @@ def _or_rule_base(t: Tables, country: str) -> DataFrame:
     return j.filter(F.col("a_country_code").isNotNull() | (F.col("nationality") == country))
 
 
-def _with_discipline(t: Tables, df: DataFrame) -> DataFrame:
+def _with_discipline(t: Tables, df: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """Add ``discipline_name`` (discipline, else event name) and ``category``
-    (else 'Track & Field') through races -> events -> disciplines."""
-    j = join_dim(t, df, "races", "race_id", {"event_id": "event_id"})
-    j = join_dim(t, j, "events", "event_id", {"event_name": "event_name",
-                                                "discipline_code": "discipline_code"})
-    j = join_dim(t, j, "disciplines", "discipline_code",
-                 {"d_name": "discipline_name", "d_category": "category"}, "left",
-                 dim_key="discipline_code")
+    (else 'Track & Field') with one join to the race context."""
+    j = with_race_context(t, df, ["event_name", "d_name", "d_category"] + (extra or []))
     return (j.withColumn("discipline_name", F.coalesce("d_name", "event_name"))
              .withColumn("category", category_or_default("d_category")))
 
 
+def _summary_row(t: Tables, country: str, facts: DataFrame) -> DataFrame:
+    """The four key figures in one row (``facts`` carries the two figures
+    computed from results)."""
+    row = one_row(t.athletes.filter(F.col("country_code") == country).agg(F.count(F.lit(1)).alias("total_athletes")),
+                  facts,
+                  t.competitions.filter(F.col("country_code") == country)
+                  .agg(F.count(F.lit(1)).alias("total_competitions")))
+    return row.select("total_athletes", "athletes_with_results", "total_competitions", "total_results")
+
+
 # --- the six reports, each as its own plan ----------------------------------
 
 def country_summary(t: Tables, country: str = DEFAULT_COUNTRY) -> DataFrame:
@@ -75,12 +80,7 @@ def country_summary(t: Tables, country: str = DEFAULT_COUNTRY) -> DataFrame:
     or_rule = F.col("a_country_code").isNotNull() | (F.col("nationality") == country)
     facts = j.agg(F.count_distinct(F.when(owner_is, owner_name)).alias("athletes_with_results"),
                   F.count(F.when(or_rule, F.lit(1))).alias("total_results"))
-    return one_row({
-        "total_athletes": t.athletes.filter(F.col("country_code") == country).agg(F.count(F.lit(1))),
-        "athletes_with_results": facts.select("athletes_with_results"),
-        "total_competitions": t.competitions.filter(F.col("country_code") == country).agg(F.count(F.lit(1))),
-        "total_results": facts.select("total_results"),
-    })
+    return _summary_row(t, country, facts)
 
 
 def gender_distribution(t: Tables, country: str = DEFAULT_COUNTRY) -> DataFrame:
@@ -100,8 +100,7 @@ def _top_athletes(df: DataFrame, n: int) -> DataFrame:
 
 def top_athletes(t: Tables, country: str = DEFAULT_COUNTRY, n: int = TOP_N) -> DataFrame:
     """Top ``n`` attributed athletes by results, with distinct competitions."""
-    a = attributed_results(t, [country])
-    a = join_dim(t, a, "races", "race_id", {"competition_id": "competition_id"})
+    a = with_race_context(t, attributed_results(t, [country]), ["competition_id"])
     return _top_athletes(a, n)
 
 
@@ -183,8 +182,7 @@ def dashboard_base(t: Tables, country: str = DEFAULT_COUNTRY,
           .withColumn("or_rule", F.coalesce(F.col("a_country_code") == country, F.lit(False))
                       | F.coalesce(F.col("nationality") == country, F.lit(False))))
     j = j.filter(F.col("owner_country").isin(sel) | F.col("or_rule"))
-    j = join_dim(t, j, "races", "race_id", {"competition_id": "competition_id"})
-    j = _with_discipline(t, j)
+    j = _with_discipline(t, j, ["competition_id"])
     return j.select("id", "athlete_name", "owner_name", "owner_country", "or_rule",
                     "competition_id", "discipline_name", "category")
 
@@ -203,12 +201,7 @@ def country_dashboard(t: Tables, country: str = DEFAULT_COUNTRY,
     facts = base.agg(
         F.count_distinct(F.when(F.col("owner_country") == country, F.col("owner_name"))).alias("athletes_with_results"),
         F.count(F.when(F.col("or_rule"), F.lit(1))).alias("total_results"))
-    summary = one_row({
-        "total_athletes": t.athletes.filter(F.col("country_code") == country).agg(F.count(F.lit(1))),
-        "athletes_with_results": facts.select("athletes_with_results"),
-        "total_competitions": t.competitions.filter(F.col("country_code") == country).agg(F.count(F.lit(1))),
-        "total_results": facts.select("total_results"),
-    })
+    summary = _summary_row(t, country, facts)
     return {
         "summary": summary,
         "gender_distribution": gender_distribution(t, country),

@@ -15,7 +15,7 @@ from ..functions import search as S
 from ..functions.exprs import category_or_default, race_type_or_default, valid_mark
 from ..operators.facts import (RESULT_COLS, first_per_key, join_dim,
                                results_of_competition, valid_results,
-                               with_athletes)
+                               with_athletes, with_race_context)
 from ..operators.paging import (LIST_PAGE_CAP, RESULTS_PAGE_SIZE, PageSpec,
                                 asc, desc, page)
 from ..sources.tables import Tables
@@ -27,14 +27,12 @@ def _total(df: DataFrame, name: str = "total") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias(name))
 
 
-def _events_disciplines(t: Tables, df: DataFrame, event_col: str = "event_name") -> DataFrame:
-    j = join_dim(t, df, "events", "event_id", {event_col: event_col, "discipline_code": "discipline_code"})
-    return join_dim(t, j, "disciplines", "discipline_code",
-                    {"d_name": "discipline_name", "d_category": "category"}, "left",
-                    dim_key="discipline_code")
+# race-context columns of the v1 and v2 result rows
+V1_CONTEXT = ["race_date", "race_type", "event_title", "discipline_code", "d_name", "d_category"]
+V2_CONTEXT = ["ra_race_type", "event_name", "discipline_code", "d_name", "d_category", "c_start_date"]
 
 
-def _v2_columns(df: DataFrame, extra: list[str] | None = None,
+def _v2_columns(df: DataFrame, extra: list | None = None,
                 athlete_name_from_athlete: bool = True) -> DataFrame:
     """The v2 result row: the result's columns with ``athlete_name``
     overridden by the athlete's name when linked, plus display fallbacks."""
@@ -50,48 +48,42 @@ def _v2_columns(df: DataFrame, extra: list[str] | None = None,
                      *(extra or []))
 
 
-def _v2_rows(t: Tables, r: DataFrame, with_race: bool = True) -> DataFrame:
-    """J5 J6 J8: races, events, competitions (inner), athletes and
-    disciplines (left) for already narrowed results."""
-    if with_race:
-        r = join_dim(t, r, "races", "race_id", {"competition_id": "competition_id",
-                                                 "event_id": "event_id",
-                                                 "ra_race_type": "race_type"})
-    j = _events_disciplines(t, r)
-    j = join_dim(t, j, "competitions", "competition_id",
-                 {"c_start_date": "start_date", "competition_name": "name"})
+def _v2_rows(t: Tables, r: DataFrame, extra_context: list[str] | None = None) -> DataFrame:
+    """J5 J6 J8 for already narrowed results: one join to the race context
+    (races, events, competitions inner; disciplines left), then athletes
+    (left, nullable key)."""
+    j = with_race_context(t, r, V2_CONTEXT + (extra_context or []))
     return with_athletes(t, j, {"a_full_name": "full_name", "a_country_code": "country_code"})
 
 
+def _v1_rows(t: Tables, r: DataFrame) -> DataFrame:
+    """v1 rows for results already carrying :data:`V1_CONTEXT`: linked
+    athletes only (inner join), the athlete's name and country."""
+    j = with_athletes(t, r, {"a_full_name": "full_name", "a_country_code": "country_code"}, "inner")
+    cols = [F.col(c) for c in RESULT_COLS if c != "athlete_name"]
+    return j.select(*cols, F.col("a_full_name").alias("athlete_name"),
+                    F.col("a_country_code").alias("athlete_country"),
+                    "race_date", "race_type", "event_title", "discipline_code",
+                    F.col("d_name").alias("discipline_name"), F.col("d_category").alias("category"))
+
+
 # --- per competition ----------------------------------------------------------
 
 def competition_results_basic(t: Tables, competition_id: int, page_no: int = 1,
                               per_page: int = RESULTS_PAGE_SIZE) -> DataFrame:
     """v1: every result (no mark test) of linked athletes only (inner join);
     race's own date; newest race first, then place."""
-    r = results_of_competition(t, competition_id,
-                               race_cols={"race_date": "race_date", "race_type": "race_type"})
+    r = results_of_competition(t, competition_id, cols=V1_CONTEXT)
     return page(_v1_rows(t, r), [desc("race_date"), asc("place"), asc("id")],
                 PageSpec(page_no, per_page))
 
 
-def _v1_rows(t: Tables, r: DataFrame) -> DataFrame:
-    j = _events_disciplines(t, r, "event_title")
-    j = with_athletes(t, j, {"a_full_name": "full_name", "a_country_code": "country_code"}, "inner")
-    cols = [F.col(c) for c in RESULT_COLS if c != "athlete_name"]
-    return j.select(*cols, F.col("a_full_name").alias("athlete_name"),
-                    F.col("a_country_code").alias("athlete_country"),
-                    "race_date", "race_type", "event_title", "discipline_code",
-                    F.col("d_name").alias("discipline_name"), F.col("d_category").alias("category"))
-
-
 def competition_results(t: Tables, competition_id: int, page_no: int = 1,
                         per_page: int = RESULTS_PAGE_SIZE) -> DataFrame:
     """v2: valid results of a competition, orphans included."""
-    r = results_of_competition(t, competition_id, valid_results(t),
-                               race_cols={"ra_race_type": "race_type"})
-    rows = _v2_columns(_v2_rows(t, r, with_race=False))
-    return page(rows, [desc("race_date"), asc("place"), asc("id")], PageSpec(page_no, per_page))
+    r = results_of_competition(t, competition_id, valid_results(t), cols=V2_CONTEXT)
+    j = with_athletes(t, r, {"a_full_name": "full_name", "a_country_code": "country_code"})
+    return page(_v2_columns(j), [desc("race_date"), asc("place"), asc("id")], PageSpec(page_no, per_page))
 
 
 def competition_results_count(t: Tables, competition_id: int) -> DataFrame:
@@ -107,8 +99,7 @@ def competition_participants(t: Tables, competition_id: int) -> DataFrame:
     """Participants: one row per distinct (result name, athlete, nationality,
     country) combination with results, best place and distinct events.
     Orphans get id 0; missing name parts become ''."""
-    r = results_of_competition(t, competition_id, valid_results(t))
-    r = join_dim(t, r, "events", "event_id", {"event_name": "event_name"})
+    r = results_of_competition(t, competition_id, valid_results(t), cols=["event_name"])
     j = with_athletes(t, r)
     j = j.withColumn("_country", F.coalesce("a_country_code", "nationality"))
     j = join_dim(t, j, "countries", "_country", {"country_name": "name"}, "left", dim_key="code")
@@ -146,10 +137,7 @@ def athlete_results_basic(t: Tables, athlete_id: int, page_no: int = 1,
                           per_page: int = V1_ATHLETE_PAGE_SIZE) -> DataFrame:
     """v1: results linked to the athlete id (no mark test), newest race first."""
     r = t.results.filter(F.col("athlete_id") == F.lit(athlete_id))
-    r = join_dim(t, r, "races", "race_id", {"competition_id": "competition_id", "event_id": "event_id",
-                                             "race_date": "race_date", "race_type": "race_type"})
-    j = _events_disciplines(t, r, "event_title")
-    j = join_dim(t, j, "competitions", "competition_id", {"competition_name": "name", "venue": "venue"})
+    j = with_race_context(t, r, V1_CONTEXT + ["competition_name", "venue"])
     rows = j.select(*RESULT_COLS, "race_date", "race_type", "event_title", "discipline_code",
                     F.col("d_name").alias("discipline_name"), F.col("d_category").alias("category"),
                     "competition_name", "venue")
@@ -178,7 +166,8 @@ def athlete_results(t: Tables, athlete_id: int, page_no: int = 1,
     An unknown athlete gives no rows."""
     found, name = athlete_name(t, athlete_id)
     r = valid_results(t).filter(_athlete_identity(athlete_id, name) if found else F.lit(False))
-    rows = _v2_columns(_v2_rows(t, r), extra=["competition_name", F.col("c_start_date").alias("start_date")])
+    rows = _v2_columns(_v2_rows(t, r, ["competition_name"]),
+                       extra=["competition_name", F.col("c_start_date").alias("start_date")])
     rows = first_per_key(rows, "id", [desc("start_date"), asc("place")])
     sort = [asc("id")] if order == "id" else [desc("start_date"), asc("place"), asc("id")]
     return page(rows, sort, PageSpec(page_no, per_page))
@@ -202,8 +191,8 @@ def athlete_results_by_name(t: Tables, name: str, page_no: int = 1,
     """Valid results whose own ``athlete_name`` matches the ILIKE term
     (stripped, at least two characters), newest competition first."""
     _, pred = _by_name_filter(name)
-    rows = _v2_columns(_v2_rows(t, t.results.filter(pred)), extra=["competition_name"],
-                       athlete_name_from_athlete=False)
+    rows = _v2_columns(_v2_rows(t, t.results.filter(pred), ["competition_name"]),
+                       extra=["competition_name"], athlete_name_from_athlete=False)
     return page(rows, [desc("race_date"), asc("place"), asc("id")], PageSpec(page_no, per_page))
 
 
@@ -218,13 +207,9 @@ def results_basic_rows(t: Tables, competition_id: int | None = None) -> DataFram
     """v1 competition result rows (all competitions when ``competition_id`` is
     None)."""
     if competition_id is None:
-        r = join_dim(t, t.results, "races", "race_id", {"competition_id": "competition_id",
-                                                         "event_id": "event_id",
-                                                         "race_date": "race_date",
-                                                         "race_type": "race_type"})
+        r = with_race_context(t, t.results, V1_CONTEXT)
     else:
-        r = results_of_competition(t, competition_id,
-                                   race_cols={"race_date": "race_date", "race_type": "race_type"})
+        r = results_of_competition(t, competition_id, cols=V1_CONTEXT)
     return _v1_rows(t, r)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions.search import ilike_any
-from ..operators.facts import join_dim
+from ..operators.facts import with_race_context
 from ..operators.joins import one_row
 from ..operators.paging import asc, desc
 from ..sources.tables import Tables
@@ -32,18 +32,18 @@ def countries_list(t: Tables) -> DataFrame:
     return t.countries.orderBy(asc("name"), asc("code"))
 
 
-def _count(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)))
+def _count(df: DataFrame, name: str) -> DataFrame:
+    return df.agg(F.count(F.lit(1)).alias(name))
 
 
 def table_counts(t: Tables) -> DataFrame:
     """One row: competitions, athletes, results and events."""
-    return one_row({"competitions": _count(t.competitions), "athletes": _count(t.athletes),
-                    "results": _count(t.results), "events": _count(t.events)})
+    return one_row(_count(t.competitions, "competitions"), _count(t.athletes, "athletes"),
+                   _count(t.results, "results"), _count(t.events, "events"))
 
 
 def dimension_sizes(t: Tables) -> DataFrame:
-    return one_row({"countries": _count(t.countries), "disciplines": _count(t.disciplines)})
+    return one_row(_count(t.countries, "countries"), _count(t.disciplines, "disciplines"))
 
 
 def athletes_total(t: Tables) -> DataFrame:
@@ -106,12 +106,7 @@ def athlete_profile(t: Tables, as_of: _dt.date | str | None = None) -> DataFrame
 def result_display(t: Tables) -> DataFrame:
     """Per result: medal and finish tier from the place, wind and points
     text, qualified flag, discipline and category labels."""
-    r = join_dim(t, t.results, "races", "race_id", {"event_id": "event_id"})
-    r = join_dim(t, r, "events", "event_id", {"event_name": "event_name",
-                                                "discipline_code": "discipline_code"})
-    r = join_dim(t, r, "disciplines", "discipline_code",
-                 {"d_name": "discipline_name", "d_category": "category"}, "left",
-                 dim_key="discipline_code")
+    r = with_race_context(t, t.results, ["event_name", "d_name", "d_category"])
     return r.select("id", "place",
                     X.medal_tag("place").alias("medal"),
                     X.finish_tier("place").alias("tier"),
