@@ -84,10 +84,37 @@ def race_context(t: Tables, cols: list[str], races: DataFrame | None = None) ->
 
 def with_race_context(t: Tables, df: DataFrame, cols: list[str],
                       races: DataFrame | None = None) -> DataFrame:
-    """Join ``df.race_id`` to :func:`race_context` (inner, as the reference's
-    chain of inner joins through races and events)."""
-    ctx = race_context(t, cols, races)
-    return lookup(t, df, "races", ctx, F.col("race_id") == F.col("_k_races"), "inner").drop("_k_races")
+    """Add race-context columns to ``df`` through ``df.race_id`` (inner, as
+    the reference's chain of inner joins through races and events).
+
+    Within the races bound every dimension is broadcast on its own: the
+    broadcasts build in parallel and each carries only its columns. Beyond
+    it, the dimensions are pre-joined into :func:`race_context` so the fact
+    is shuffled once instead of once per dimension.
+    """
+    if not t.broadcastable("races"):
+        ctx = race_context(t, cols, races)
+        return lookup(t, df, "races", ctx, F.col("race_id") == F.col("_k_races"), "inner").drop("_k_races")
+    want = {c: RACE_CONTEXT_COLS[c] for c in cols}
+    tables = {tb for tb, _ in want.values()}
+    ra = {c: col for c, (tb, col) in want.items() if tb == "races"}
+    if tables & {"events", "disciplines"}:
+        ra["_ra_event"] = "event_id"
+    if "competitions" in tables:
+        ra["_ra_comp"] = "competition_id"
+    j = join_dim(t, df, "races", "race_id", ra, dim=races)
+    if tables & {"events", "disciplines"}:
+        ev = {c: col for c, (tb, col) in want.items() if tb == "events"}
+        ev["_ev_disc"] = "discipline_code"
+        j = join_dim(t, j, "events", "_ra_event", ev)
+        if "disciplines" in tables:
+            j = join_dim(t, j, "disciplines", "_ev_disc",
+                         {c: col for c, (tb, col) in want.items() if tb == "disciplines"}, "left",
+                         dim_key="discipline_code")
+    if "competitions" in tables:
+        j = join_dim(t, j, "competitions", "_ra_comp",
+                     {c: col for c, (tb, col) in want.items() if tb == "competitions"})
+    return j.drop("_ra_event", "_ra_comp", "_ev_disc")
 
 
 ATHLETE_COLS = {"a_id": "id", "a_full_name": "full_name", "a_family_name": "family_name",
