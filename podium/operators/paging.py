@@ -86,3 +86,39 @@ def page_info(total: DataFrame, spec: PageSpec, total_col: str = "total") -> Dat
         F.floor((t + n - 1) / n).cast("long").alias("pages"),
         F.lit(spec.offset + 1).cast("long").alias("first_row"),
         F.least(F.lit(spec.page * spec.size).cast("long"), t.cast("long")).alias("last_row"))
+
+
+def _after(col: Column, value, descending: bool) -> Column:
+    """Rows strictly after ``value`` in one sort key, PostgreSQL placement
+    (ASC: NULLs last; DESC: NULLs first)."""
+    if descending:
+        return col.isNotNull() if value is None else (col < F.lit(value))
+    return F.lit(False) if value is None else ((col > F.lit(value)) | col.isNull())
+
+
+def seek_page(df: DataFrame, keys: list[tuple[str, bool]], after: tuple | None,
+              size: int) -> DataFrame:
+    """Keyset page: the ``size`` rows following the row whose sort-key values
+    are ``after`` (None for the first page).
+
+    ``keys`` is ``[(column, descending), ...]`` and must end in a unique key.
+    The predicate ``(k1, k2, ...) > after`` (lexicographic, NULL placement as
+    in :func:`asc`/:func:`desc`) is a plain filter, so each task keeps only
+    ``size`` rows however deep the page is — unlike OFFSET, whose cost grows
+    with the page number.
+    """
+    if size < 1:
+        raise ValueError("size must be >= 1")
+    out = df
+    if after is not None:
+        if len(after) != len(keys):
+            raise ValueError("after must hold one value per sort key")
+        pred = None
+        for i, (name, descending) in enumerate(keys):
+            term = _after(F.col(name), after[i], descending)
+            for j, (pname, _) in enumerate(keys[:i]):
+                term = term & F.col(pname).eqNullSafe(F.lit(after[j]))
+            pred = term if pred is None else pred | term
+        out = out.filter(pred)
+    order = [desc(n) if d else asc(n) for n, d in keys]
+    return out.orderBy(*order).limit(size)

@@ -325,3 +325,23 @@ def test_first_per_key_and_null_order(spark):
     assert got == {1: (d(2002, 1, 1), 2), 2: (None, 1)}  # DESC puts NULL first
     out = page(df, [asc("s"), asc("p")], PageSpec(1, 10)).collect()
     assert out[-1]["s"] is None  # ASC puts NULL last
+
+
+def test_seek_pages_equal_offset_pages(spark):
+    from podium.operators.paging import seek_page
+
+    rows = [(i, None if i % 4 == 0 else i % 3, None if i % 5 == 0 else f"n{i % 4}") for i in range(1, 31)]
+    df = spark.createDataFrame(rows, "id long, a int, b string")
+    keys = [("a", True), ("b", False), ("id", False)]
+    order = [desc("a"), asc("b"), asc("id")]
+    full = [tuple(r) for r in df.orderBy(*order).collect()]
+    got, after = [], None
+    while True:
+        pg = [tuple(r) for r in seek_page(df, keys, after, 7).collect()]
+        if not pg:
+            break
+        got += pg
+        after = (pg[-1][1], pg[-1][2], pg[-1][0])
+    assert got == full
+    offset_pages = [tuple(r) for p in range(1, 6) for r in page(df, order, PageSpec(p, 7)).collect()]
+    assert offset_pages == full
