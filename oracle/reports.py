@@ -16,6 +16,7 @@ NAME_TERM = "%given7 %"
 COMPETITION_TERM = "1"
 CODE_TERM = "SGP"
 LITERAL_TERM = "GIVEN7 "
+PICKER_TERM = "Supplier#00000001"
 # -----------------------------------------------------------------------------
 
 VALID = "r.mark IS NOT NULL AND r.mark != ''"
@@ -412,5 +413,29 @@ SELECT c.id, c.name, c.season,
 FROM competitions c"""
 
 
+Q["competition_picker"] = f"""
+SELECT c.id, c.name FROM competitions c
+WHERE contains(lower(c.name), '{PICKER_TERM.lower()}')
+ORDER BY c.name ASC NULLS LAST, c.id ASC"""
+
+Q["competitions_page_info"] = f"""
+SELECT CAST(1 AS BIGINT) AS page, CAST(50 AS BIGINT) AS per_page, total,
+       CAST((total + 50 - 1) // 50 AS BIGINT) AS pages,
+       CAST(1 AS BIGINT) AS first_row, LEAST(CAST(50 AS BIGINT), total) AS last_row
+FROM ({Q["competitions_with_results_count"]}) n"""
+
+Q["athlete_card"] = f"""
+SELECT a.id, a.full_name,
+  COALESCE(NULLIF(co.name, ''), NULLIF(a.country_code, ''), 'Unknown') AS country_label,
+  CASE WHEN a.gender IS NULL OR a.gender = '' THEN 'Unknown'
+       WHEN a.gender = 'M' OR lower(a.gender) = 'male' THEN 'Male' ELSE 'Female' END AS gender_label,
+  a.birth_date
+FROM athletes a LEFT JOIN countries co ON a.country_code = co.code
+WHERE a.id = {ATHLETE_ID}"""
+
+# the page re-sorted in the browser holds the same rows as the page itself
+Q["athlete_results_sorted"] = Q["athlete_results"]
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: with_views(v) for k, v in Q.items()}

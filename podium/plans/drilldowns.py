@@ -218,3 +218,50 @@ def results_text_search(t: Tables, term: str, competition_id: int | None = None)
     discipline of v1 result rows (no wildcards; NULL never matches)."""
     rows = results_basic_rows(t, competition_id)
     return rows.filter(S.contains_literal(["athlete_name", "event_title", "discipline_name"], term))
+
+
+# --- the athlete results page in the browser ------------------------------------
+
+def athlete_card(t: Tables, athlete_id: int) -> DataFrame:
+    """The athlete card above the results: name, country label (name, else
+    code, else Unknown), gender label and birth date of one athlete."""
+    from ..functions.exprs import country_label, gender_label_card
+    from .listings import athletes_labelled
+
+    a = athletes_labelled(t).filter(F.col("id") == F.lit(athlete_id))
+    return a.select("id", "full_name", country_label("country_name", "country_code").alias("country_label"),
+                    gender_label_card("gender").alias("gender_label"), "birth_date")
+
+
+RESULT_SORT_KEYS = ("place", "event", "discipline", "competition", "start_date", "race_date")
+
+
+def _result_sort(by: str):
+    """User-chosen column sorts of a result page: (expression, is_text)."""
+    return {
+        "place": (F.col("place"), False),
+        "event": (F.col("event_name"), True),
+        "discipline": (F.coalesce(F.nullif(F.col("discipline_name"), F.lit("")), F.col("event_name")), True),
+        "competition": (F.col("competition_name"), True),
+        "start_date": (F.col("start_date"), False),
+        "race_date": (F.col("race_date"), False),
+    }[by]
+
+
+def sort_result_page(rows: DataFrame, by: str, descending: bool = False,
+                     collation: str | None = None) -> DataFrame:
+    """Re-sort a page of result rows by a user-chosen column; text columns
+    can sort in a locale order (``collation='UNICODE'``). ``id`` breaks ties."""
+    expr, is_text = _result_sort(by)
+    if is_text and collation:
+        expr = F.collate(expr, collation)
+    key = expr.desc_nulls_last() if descending else expr.asc_nulls_last()
+    return rows.orderBy(key, asc("id"))
+
+
+def athlete_results_sorted(t: Tables, athlete_id: int, by: str = "discipline",
+                           descending: bool = False, collation: str | None = "UNICODE",
+                           page_no: int = 1, per_page: int = RESULTS_PAGE_SIZE) -> DataFrame:
+    """The athlete results page (as :func:`athlete_results`) re-sorted by a
+    column the user picked."""
+    return sort_result_page(athlete_results(t, athlete_id, page_no, per_page), by, descending, collation)

@@ -10,7 +10,7 @@ from ..functions import search as S
 from ..operators.facts import join_dim, valid_results
 from ..operators.paging import (AUTOCOMPLETE_CAP, AUTOCOMPLETE_DEFAULT,
                                 LIST_PAGE_CAP, LIST_PAGE_SIZE, PageSpec, asc,
-                                athlete_sort, desc, page)
+                                athlete_sort, desc, page, page_info)
 from ..sources.schemas import ATHLETES, COMPETITIONS
 from ..sources.tables import Tables
 
@@ -132,3 +132,17 @@ def athletes_autocomplete(t: Tables, q: str | None, limit: int = AUTOCOMPLETE_DE
     if S.gate(q, min_len=2, strip=True) is None:
         return a.limit(0)
     return page(a, athlete_sort("full_name", "ASC"), PageSpec(1, min(int(limit), AUTOCOMPLETE_CAP)))
+
+
+def competition_picker(t: Tables, term: str) -> DataFrame:
+    """Competition picker: literal, case-insensitive contains on the name
+    (no wildcards), over the listed competitions (id, name)."""
+    c = t.competitions.select("id", "name")
+    return c.filter(S.contains_literal(["name"], term)).orderBy(asc("name"), asc("id"))
+
+
+def competitions_page_info(t: Tables, search: str | None = None, page_no: int = 1,
+                           per_page: int = LIST_PAGE_SIZE) -> DataFrame:
+    """Pagination block of the v2 competition list: page, per_page (capped),
+    true total, page count and the shown row range."""
+    return page_info(competitions_with_results_count(t, search), PageSpec(page_no, per_page, LIST_PAGE_CAP))

@@ -345,3 +345,22 @@ def test_seek_pages_equal_offset_pages(spark):
     assert got == full
     offset_pages = [tuple(r) for p in range(1, 6) for r in page(df, order, PageSpec(p, 7)).collect()]
     assert offset_pages == full
+
+
+def test_result_page_sorts(spark):
+    rows = [(1, 3, "beta", "beta ev", "C", d(2001, 1, 1), d(2001, 1, 1)),
+            (2, 1, "Zed", "zed ev", "A", d(2002, 1, 1), d(2002, 1, 3)),
+            (3, None, None, "alpha ev", "B", None, None),
+            (4, 2, "", "aardvark ev", "B", d(2000, 1, 1), d(2000, 1, 1))]
+    df = spark.createDataFrame(rows, "id long, place int, discipline_name string, event_name string, "
+                                     "competition_name string, start_date date, race_date date")
+    order = lambda **kw: [r["id"] for r in R.sort_result_page(df, **kw).collect()]
+    # discipline falls back to the event name for NULL or ''; UNICODE order ignores case first
+    assert order(by="discipline", collation="UNICODE") == [4, 3, 1, 2]
+    assert order(by="discipline") == [2, 4, 3, 1]  # binary: upper case first
+    assert order(by="place") == [2, 4, 1, 3]  # missing place last
+    assert order(by="place", descending=True) == [1, 4, 2, 3]
+    assert order(by="competition") == [2, 3, 4, 1]
+    assert order(by="race_date", descending=True) == [2, 1, 4, 3]
+    card = R.athlete_card(make_tables(spark, **ROWS), 6).first()
+    assert (card["country_label"], card["gender_label"]) == ("Unknown", "Female")
