@@ -11,12 +11,8 @@ from ..operators.facts import join_dim, valid_results
 from ..operators.paging import (AUTOCOMPLETE_CAP, AUTOCOMPLETE_DEFAULT,
                                 LIST_PAGE_CAP, LIST_PAGE_SIZE, PageSpec, asc,
                                 athlete_sort, desc, page, page_info)
-from ..sources.schemas import ATHLETES, COMPETITIONS
 from ..sources.tables import Tables
 
-COMPETITION_COLS = [f.name for f in COMPETITIONS.fields]
-ATHLETE_COLS = [f.name for f in ATHLETES.fields]
-
 
 def _total(df: DataFrame, name: str = "total") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias(name))
@@ -60,7 +56,8 @@ def valid_results_per_competition(t: Tables) -> DataFrame:
 
 def _competitions_with_results(t: Tables, term: str | None) -> DataFrame:
     c = _searched_competitions(t, term)
-    counts = valid_results_per_competition(t)
+    # one row per competition at most: the competitions bound covers it
+    counts = t.dim("competitions", valid_results_per_competition(t))
     # HAVING COUNT(r.id) > 0 makes the outer joins to races/results inner.
     return c.join(counts, F.col("id") == F.col("competition_id")).drop("competition_id")
 
@@ -84,7 +81,7 @@ def competitions_count(t: Tables, search: str | None = None) -> DataFrame:
     (term stripped, two characters or more), or 0 when none of them has a
     valid result."""
     c = _searched_competitions(t, search, min_len=2, strip=True).select(F.col("id").alias("c_id"))
-    counts = valid_results_per_competition(t)
+    counts = t.dim("competitions", valid_results_per_competition(t))
     j = c.join(counts, F.col("c_id") == F.col("competition_id"), "left")
     agg = j.agg(F.count_distinct("c_id").alias("n"),
                 F.coalesce(F.sum("result_count"), F.lit(0)).alias("r"))
