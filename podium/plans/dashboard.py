@@ -119,27 +119,22 @@ def discipline_breakdown(t: Tables, country: str = DEFAULT_COUNTRY, n: int = TOP
     return _discipline_breakdown(_with_discipline(t, _or_rule_base(t, country)), n)
 
 
-def timeline(t: Tables, country: str = DEFAULT_COUNTRY,
-             as_of: _dt.date | str | None = None, years: int = 5) -> DataFrame:
-    """Per year of the country's competitions since ``as_of - years``:
-    competitions, races and valid results (years without results stay).
-
-    Valid results are counted per competition on the fact side (a hash probe
-    into the broadcast selected races, then map-side partial counts), so only
-    one row per selected competition leaves each task. ``id`` is the key of
-    competitions and races, so counting rows per key equals COUNT(DISTINCT).
-    """
+def _timeline_selection(t: Tables, country: str, as_of, years: int) -> tuple[DataFrame, DataFrame]:
+    """The country's competitions since ``as_of - years`` as ``(c_id, year)``
+    and their races as ``(ra_id, ra_comp)`` (subsets of two dimensions)."""
     comps = (t.competitions
              .filter((F.col("country_code") == country) & (F.col("start_date") >= recent_floor(as_of, years)))
              .select(F.col("id").alias("c_id"), F.year("start_date").cast("long").alias("year")))
-    # races of the selected competitions: a subset of the races dimension
     sel = (t.races.select(F.col("id").alias("ra_id"), F.col("competition_id").alias("ra_comp"))
            .join(t.dim("competitions", comps.select("c_id")), F.col("ra_comp") == F.col("c_id"))
            .select("ra_id", "ra_comp"))
-    results_per_comp = (valid_results(t).select("race_id", "id")
-                        .join(t.dim("races", sel), F.col("race_id") == F.col("ra_id"))
-                        .groupBy(F.col("ra_comp").alias("r_comp"))
-                        .agg(F.count("id").alias("n_results")))
+    return comps, sel
+
+
+def _timeline_rollup(t: Tables, comps: DataFrame, sel: DataFrame, results_per_comp: DataFrame) -> DataFrame:
+    """Per year: competitions, their races, and valid results
+    (``results_per_comp`` = ``(r_comp, n_results)``). ``id`` is the key of
+    competitions and races, so counting rows per key equals COUNT(DISTINCT)."""
     races_per_comp = sel.groupBy(F.col("ra_comp").alias("k_comp")).agg(F.count("ra_id").alias("n_races"))
     j = (comps.join(t.dim("competitions", races_per_comp), F.col("c_id") == F.col("k_comp"), "left")
               .join(t.dim("competitions", results_per_comp), F.col("c_id") == F.col("r_comp"), "left"))
@@ -150,6 +145,23 @@ def timeline(t: Tables, country: str = DEFAULT_COUNTRY,
              .orderBy(desc("year")))
 
 
+def timeline(t: Tables, country: str = DEFAULT_COUNTRY,
+             as_of: _dt.date | str | None = None, years: int = 5) -> DataFrame:
+    """Per year of the country's competitions since ``as_of - years``:
+    competitions, races and valid results (years without results stay).
+
+    Valid results are counted per competition on the fact side (a hash probe
+    into the broadcast selected races, then map-side partial counts), so only
+    one row per selected competition leaves each task.
+    """
+    comps, sel = _timeline_selection(t, country, as_of, years)
+    results_per_comp = (valid_results(t).select("race_id", "id")
+                        .join(t.dim("races", sel), F.col("race_id") == F.col("ra_id"))
+                        .groupBy(F.col("ra_comp").alias("r_comp"))
+                        .agg(F.count("id").alias("n_results")))
+    return _timeline_rollup(t, comps, sel, results_per_comp)
+
+
 def _regional(t: Tables, df: DataFrame) -> DataFrame:
     agg = (df.groupBy(F.col("owner_country").alias("country_code"))
              .agg(F.count_distinct("owner_name").alias("athlete_count"),
@@ -169,21 +181,32 @@ def regional_comparison(t: Tables, countries: tuple[str, ...] | list[str] = DEFA
 # --- all six over one shared base --------------------------------------------
 
 def dashboard_base(t: Tables, country: str = DEFAULT_COUNTRY,
-                   countries: tuple[str, ...] | list[str] = DEFAULT_COUNTRIES) -> DataFrame:
-    """Valid results relevant to any dashboard figure, with owner columns,
-    the OR-rule flag, competition and discipline. Read from the fact once."""
+                   countries: tuple[str, ...] | list[str] = DEFAULT_COUNTRIES,
+                   timeline_races: DataFrame | None = None) -> DataFrame:
+    """Valid results relevant to any dashboard figure — attributed to one of
+    the countries, of the country by the OR rule, or in a race of the
+    timeline (``timeline_races``: ``(ra_id, ra_comp)``) — with owner columns,
+    flags, competition and discipline. The fact is read once; both joins
+    before the filter are broadcast probes into dimension subsets."""
     sel = sorted(set(countries) | {country})
-    r = valid_results(t).filter(F.col("athlete_id").isNotNull() | F.col("nationality").isin(sel))
+    r = valid_results(t)
     j = with_athletes(t, r, {"a_full_name": "full_name", "a_country_code": "country_code"}, "left",
                       t.athletes.filter(F.col("country_code").isin(sel)))
+    if timeline_races is not None:
+        j = j.join(t.dim("races", timeline_races.select(F.col("ra_id").alias("_tl_race"))),
+                   F.col("race_id") == F.col("_tl_race"), "left")
+        in_timeline = F.col("_tl_race").isNotNull()
+    else:
+        in_timeline = F.lit(False)
     orphan = F.col("athlete_id").isNull()
     j = (j.withColumn("owner_name", F.when(orphan, F.col("athlete_name")).otherwise(F.col("a_full_name")))
           .withColumn("owner_country", F.when(orphan, F.col("nationality")).otherwise(F.col("a_country_code")))
           .withColumn("or_rule", F.coalesce(F.col("a_country_code") == country, F.lit(False))
-                      | F.coalesce(F.col("nationality") == country, F.lit(False))))
-    j = j.filter(F.col("owner_country").isin(sel) | F.col("or_rule"))
+                      | F.coalesce(F.col("nationality") == country, F.lit(False)))
+          .withColumn("in_timeline", in_timeline))
+    j = j.filter(F.col("owner_country").isin(sel) | F.col("or_rule") | F.col("in_timeline"))
     j = _with_discipline(t, j, ["competition_id"])
-    return j.select("id", "athlete_name", "owner_name", "owner_country", "or_rule",
+    return j.select("id", "athlete_name", "owner_name", "owner_country", "or_rule", "in_timeline",
                     "competition_id", "discipline_name", "category")
 
 
@@ -191,22 +214,26 @@ def country_dashboard(t: Tables, country: str = DEFAULT_COUNTRY,
                       countries: tuple[str, ...] | list[str] = DEFAULT_COUNTRIES,
                       as_of: _dt.date | str | None = None, n: int = TOP_N,
                       materialize: bool = True) -> dict[str, DataFrame]:
-    """The six reports as DataFrames. The shared base is checkpointed to the
-    cluster's checkpoint folder (lineage cut, survives executor loss), so
-    the fact is scanned once for all fact-based figures."""
-    base = dashboard_base(t, country, countries)
+    """The six reports as DataFrames over one read of the fact. The shared
+    base is checkpointed to the cluster's checkpoint folder (lineage cut,
+    survives executor loss); every figure then aggregates the base or a
+    dimension."""
+    comps, sel_races = _timeline_selection(t, country, as_of, 5)
+    base = dashboard_base(t, country, countries, sel_races)
     if materialize:
         base = checkpointed(base)
     owned = base.filter(F.col("owner_country") == country)
     facts = base.agg(
         F.count_distinct(F.when(F.col("owner_country") == country, F.col("owner_name"))).alias("athletes_with_results"),
         F.count(F.when(F.col("or_rule"), F.lit(1))).alias("total_results"))
-    summary = _summary_row(t, country, facts)
+    results_per_comp = (base.filter(F.col("in_timeline"))
+                        .groupBy(F.col("competition_id").alias("r_comp"))
+                        .agg(F.count("id").alias("n_results")))
     return {
-        "summary": summary,
+        "summary": _summary_row(t, country, facts),
         "gender_distribution": gender_distribution(t, country),
         "discipline_breakdown": _discipline_breakdown(base.filter(F.col("or_rule")), n),
-        "timeline": timeline(t, country, as_of),
+        "timeline": _timeline_rollup(t, comps, sel_races, results_per_comp),
         "top_athletes": _top_athletes(owned, n),
         "regional_comparison": _regional(t, base.filter(F.col("owner_country").isin(list(countries)))),
     }
