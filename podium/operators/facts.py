@@ -155,31 +155,21 @@ def attributed_results(t: Tables, countries: list[str],
                        results: DataFrame | None = None) -> DataFrame:
     """Valid results attributed to an owner (name, country) in ``countries``.
 
-    A result with ``athlete_id`` belongs to that athlete (an inner join: a
-    dangling id belongs to nobody); an orphan (NULL ``athlete_id``) belongs to
-    ``(athlete_name, nationality)``. Same rows as the reference's UNION ALL of
-    the two branches; with a broadcast athlete subset the fact is read once.
+    A result with ``athlete_id`` belongs to that athlete (a dangling id
+    belongs to nobody); an orphan (NULL ``athlete_id``) belongs to
+    ``(athlete_name, nationality)``. Same rows as the reference's UNION ALL
+    of the two branches, in one scan of the fact: one left join to the
+    athletes of those countries (broadcast, or salted for NULL keys).
     Adds ``owner_name``, ``owner_country``.
     """
     r = valid_results(t, results).filter(
         F.col("athlete_id").isNotNull() | F.col("nationality").isin(countries))
     athletes = t.athletes.filter(F.col("country_code").isin(countries))
-    cols = {"a_full_name": "full_name", "a_country_code": "country_code"}
-    if t.broadcastable("athletes"):
-        j = with_athletes(t, r, cols, "left", athletes)
-        owned = j.withColumn("owner_name", F.when(F.col("athlete_id").isNull(), F.col("athlete_name"))
-                                            .otherwise(F.col("a_full_name"))) \
-                 .withColumn("owner_country", F.when(F.col("athlete_id").isNull(), F.col("nationality"))
-                                               .otherwise(F.col("a_country_code")))
-        return owned.filter(F.col("owner_country").isNotNull()).drop("a_full_name", "a_country_code")
-    linked = (with_athletes(t, r.filter(F.col("athlete_id").isNotNull()), cols, "inner", athletes)
-              .withColumn("owner_name", F.col("a_full_name"))
-              .withColumn("owner_country", F.col("a_country_code"))
-              .drop("a_full_name", "a_country_code"))
-    orphans = (r.filter(F.col("athlete_id").isNull())
-               .withColumn("owner_name", F.col("athlete_name"))
-               .withColumn("owner_country", F.col("nationality")))
-    return linked.unionByName(orphans)
+    j = with_athletes(t, r, {"a_full_name": "full_name", "a_country_code": "country_code"}, "left", athletes)
+    orphan = F.col("athlete_id").isNull()
+    owned = (j.withColumn("owner_name", F.when(orphan, F.col("athlete_name")).otherwise(F.col("a_full_name")))
+              .withColumn("owner_country", F.when(orphan, F.col("nationality")).otherwise(F.col("a_country_code"))))
+    return owned.filter(F.col("owner_country").isNotNull()).drop("a_full_name", "a_country_code")
 
 
 def first_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:

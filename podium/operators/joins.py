@@ -25,21 +25,20 @@ def lookup(t: Tables, df: DataFrame, dim_name: str, dim: DataFrame,
 
 
 def left_join_nullable(t: Tables, df: DataFrame, key: str, dim_name: str,
-                       dim: DataFrame, dim_key: str) -> DataFrame:
+                       dim: DataFrame, dim_key: str, spread_by: str = "id") -> DataFrame:
     """``df LEFT JOIN dim ON df.key = dim.dim_key`` where ``df.key`` may be NULL.
 
-    With a broadcast dimension this is one hash probe. Otherwise the NULL
-    keys (which can be a large share of the rows and would all hash to one
-    shuffle partition) are split off, padded with NULL dimension columns and
-    unioned back, so only joinable rows are shuffled.
+    With a broadcast dimension this is one hash probe. Otherwise NULL keys
+    (which can be a large share of the rows and would all hash to one
+    shuffle partition) are salted: they join on the row's own ``spread_by``
+    value instead, which spreads them over all partitions, and the
+    ``key IS NOT NULL`` guard in the join condition keeps them unmatched.
+    One scan, one shuffle, no hot partition.
     """
-    on = F.col(key) == F.col(dim_key)
     if t.broadcastable(dim_name):
-        return df.join(F.broadcast(dim), on, "left")
-    keyed = df.filter(F.col(key).isNotNull()).join(dim, on, "left")
-    pads = [F.lit(None).cast(f.dataType).alias(f.name) for f in dim.schema.fields]
-    nulls = df.filter(F.col(key).isNull()).select("*", *pads)
-    return keyed.unionByName(nulls)
+        return df.join(F.broadcast(dim), F.col(key) == F.col(dim_key), "left")
+    salted = F.coalesce(F.col(key), F.col(spread_by).cast(df.schema[key].dataType))
+    return df.join(dim, (salted == F.col(dim_key)) & F.col(key).isNotNull(), "left")
 
 
 def one_row(*parts: DataFrame, default: int | None = 0) -> DataFrame:

@@ -1,7 +1,7 @@
 """Edge rows (FIXTURES.md §6) on a hand-written table set. Every test runs
 twice: with dimensions broadcast, and with the broadcast bound at 0 rows,
-which forces the shuffle-join code paths (NULL-key split, UNION-form
-attribution)."""
+which forces the shuffle-join code paths (salted NULL keys, pre-joined race
+context)."""
 
 import datetime as D
 

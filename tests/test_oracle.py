@@ -65,7 +65,7 @@ def test_participant_groups_sf001(spark):
 @pytest.mark.parametrize("key", sorted(E.queries()))
 def test_shuffle_paths_match_oracle(spark, key):
     """The same queries with the broadcast bound at 0 rows: every dimension
-    join takes the shuffle path (NULL-key split, UNION-form attribution)."""
+    join takes the shuffle path (salted NULL keys, pre-joined race context)."""
     d = "/root/testdata/sf0.001"
     if not os.path.isdir(d):
         pytest.skip("no sf0.001 data")

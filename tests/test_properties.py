@@ -117,7 +117,7 @@ def py_attribution(results, countries):
 def test_attribution_forms_match_union_semantics(spark, rows, countries):
     results = [(i + 1, 1, aid, name, nat, 1, mark, 0.0, 0.0, False) for i, (aid, name, nat, mark) in enumerate(rows)]
     expected = py_attribution([(r[0], r[2], r[3], r[4], r[6]) for r in results], countries)
-    for bound in (1_000_000, 0):  # one-scan left join vs two-branch union
+    for bound in (1_000_000, 0):  # broadcast probe vs salted shuffle join
         t = make_tables(spark, broadcast_max_rows=bound, athletes=ATHLETES, results=results)
         got = sorted(((r["id"], r["owner_name"], r["owner_country"])
                       for r in attributed_results(t, countries).collect()), key=str)
