@@ -30,7 +30,8 @@ def join_dim(t: Tables, df: DataFrame, dim_name: str, key: str,
     src = t.table(dim_name) if dim is None else dim
     k = f"_k_{dim_name}"
     d = src.select(F.col(dim_key).alias(k), *[F.col(s).alias(a) for a, s in cols.items()])
-    if how == "left" and df.schema[key].nullable and dim_name == "athletes":
+    if how == "left" and df.schema[key].nullable and "id" in df.columns:
+        # NULL keys are salted with the row's id when the join shuffles
         return left_join_nullable(t, df, key, dim_name, d, k).drop(k)
     return lookup(t, df, dim_name, d, F.col(key) == F.col(k), how).drop(k)
 
