@@ -1,3 +1,3 @@
 """The reports: listings, drill-downs, country dashboard, overview."""
 
-from . import dashboard, drilldowns, listings, overview  # noqa: F401
+from . import dashboard, drilldowns, listings, overview, responses  # noqa: F401

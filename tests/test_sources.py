@@ -76,3 +76,23 @@ def test_envelope_keeps_page_order(spark):
     assert [a["id"] for a in doc["athletes"]] == [r["id"] for r in rows.collect()]
     assert doc["total"] == t.athletes.count() and doc["per_page"] == 5 and doc["source"] == "test"
     assert json.loads(json_rows(rows).first()["json"])["id"] == doc["athletes"][0]["id"]
+
+
+def test_responses(spark):
+    from podium.plans import responses as RS
+
+    t = E.tables(spark, SF)
+    doc = json.loads(RS.competitions(t, 1, 5).to_json().first()["json"])
+    rows = [r["id"] for r in L.competitions_list(t, None, 1, 5).collect()]
+    assert [c["id"] for c in doc["competitions"]] == rows
+    assert doc["total"] == L.competitions_with_results_count(t).first()["total"] and doc["per_page"] == 5
+    a = json.loads(RS.athlete_results(t, 8).to_json().first()["json"])
+    assert a["found"] is True and a["athlete_name"] and a["total"] == len(a["results"])
+    missing = json.loads(RS.athlete_results(t, -1).to_json().first()["json"])
+    assert missing["found"] is False and missing["results"] == [] and missing["total"] == 0
+    d = json.loads(RS.country_stats_json(t, as_of="2001-08-01").first()["json"])
+    assert set(d) == {"summary", "gender_distribution", "discipline_breakdown", "timeline",
+                      "top_athletes", "regional_comparison"}
+    counts = [x["result_count"] for x in d["regional_comparison"]]
+    assert counts == sorted(counts, reverse=True) and len(counts) == 6
+    assert d["summary"]["total_athletes"] >= 0
