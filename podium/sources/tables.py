@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .schemas import DIMENSIONS, FACT, SCHEMAS
+from .schemas import FACT, SCHEMAS
 
 # Rows a dimension may have and still be broadcast (after column pruning a
 # dimension row is a few dozen bytes, so this stays far below executor memory).
@@ -89,29 +89,40 @@ def load_tables(spark: SparkSession, path: str, fmt: str = "parquet",
     return Tables(**dfs, broadcast_max_rows=broadcast_max_rows)
 
 
+# Tables keyed by a numeric ``id`` can be read in parallel id ranges.
+ID_KEYED = ("results", "athletes", "competitions", "races", "events", "ranking_categories")
+
+
+def _jdbc_ranged(spark: SparkSession, url: str, table: str, properties: dict[str, str],
+                 partitions: int) -> DataFrame:
+    """Read ``table`` in ``partitions`` parallel ranges of ``id``; the bounds
+    come from one MIN/MAX query pushed to the database."""
+    b = spark.read.jdbc(url, f"(SELECT MIN(id) AS lo, MAX(id) AS hi FROM {table}) b",
+                        properties=properties).first()
+    lo, hi = int(b["lo"] or 0), int(b["hi"] or 0)
+    return spark.read.jdbc(url, table, column="id", lowerBound=lo, upperBound=hi + 1,
+                           numPartitions=max(1, partitions), properties=properties)
+
+
 def load_jdbc(spark: SparkSession, url: str, properties: dict[str, str],
-              num_partitions: int = 64, fetch_size: int = 10_000,
+              num_partitions: int = 256, dim_partitions: int = 16, fetch_size: int = 10_000,
               broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> Tables:
     """Read the eight tables from a live database over JDBC.
 
-    The fact table is read in ``num_partitions`` parallel id ranges (bounds
-    from one MIN/MAX query pushed to the database), so the read scales with
-    executors instead of streaming through one connection. Dimensions are
-    read unpartitioned. Credentials come from ``properties``; nothing is
-    stored here.
+    The fact is read in ``num_partitions`` parallel id ranges and the
+    id-keyed dimensions in ``dim_partitions`` ranges, so reads scale with
+    executors instead of streaming through one connection; the two small
+    code-keyed dimensions (countries, disciplines) are read in one piece.
+    Credentials come from ``properties``; nothing is stored here.
     """
+    props = {**properties, "fetchsize": str(fetch_size)}
     dfs = {}
-    for n in DIMENSIONS:
-        df = spark.read.jdbc(url, n, properties={**properties, "fetchsize": str(fetch_size)})
+    for n in SCHEMAS:
+        if n in ID_KEYED:
+            df = _jdbc_ranged(spark, url, n, props, num_partitions if n == FACT else dim_partitions)
+        else:
+            df = spark.read.jdbc(url, n, properties=props)
         dfs[n] = _conform(df, n)
-    bounds = spark.read.jdbc(
-        url, f"(SELECT MIN(id) AS lo, MAX(id) AS hi FROM {FACT}) b",
-        properties=properties).first()
-    lo, hi = (bounds["lo"] or 0), (bounds["hi"] or 0)
-    fact = spark.read.jdbc(url, FACT, column="id", lowerBound=int(lo),
-                           upperBound=int(hi) + 1, numPartitions=num_partitions,
-                           properties={**properties, "fetchsize": str(fetch_size)})
-    dfs[FACT] = _conform(fact, FACT)
     return Tables(**dfs, broadcast_max_rows=broadcast_max_rows)
 
 
