@@ -23,16 +23,17 @@ def valid_results(t: Tables, results: DataFrame | None = None) -> DataFrame:
 
 def join_dim(t: Tables, df: DataFrame, dim_name: str, key: str,
              cols: dict[str, str], how: str = "inner",
-             dim: DataFrame | None = None, dim_key: str = "id") -> DataFrame:
+             dim: DataFrame | None = None, dim_key: str = "id",
+             spread_by: str = "id") -> DataFrame:
     """Join ``df.key`` to ``dim_name.dim_key`` and add ``cols``
     (``{new_name: dimension_column}``). ``dim`` may be a filtered subset of
-    the dimension; only the listed columns travel into the join."""
+    the dimension; only the listed columns travel into the join. In a
+    shuffled left join, NULL keys are salted with ``spread_by``."""
     src = t.table(dim_name) if dim is None else dim
     k = f"_k_{dim_name}"
     d = src.select(F.col(dim_key).alias(k), *[F.col(s).alias(a) for a, s in cols.items()])
-    if how == "left" and df.schema[key].nullable and "id" in df.columns:
-        # NULL keys are salted with the row's id when the join shuffles
-        return left_join_nullable(t, df, key, dim_name, d, k).drop(k)
+    if how == "left" and df.schema[key].nullable and spread_by in df.columns:
+        return left_join_nullable(t, df, key, dim_name, d, k, spread_by).drop(k)
     return lookup(t, df, dim_name, d, F.col(key) == F.col(k), how).drop(k)
 
 
@@ -173,6 +174,31 @@ def attributed_results(t: Tables, countries: list[str],
     return owned.filter(F.col("owner_country").isNotNull()).drop("a_full_name", "a_country_code")
 
 
+def owner_groups(t: Tables, countries: list[str], athlete_cols: dict[str, str] | None = None,
+                 results: DataFrame | None = None) -> DataFrame:
+    """Valid results counted per ``(athlete_id, athlete_name, nationality)``
+    *before* the athlete join, then joined to the athletes of ``countries``.
+
+    Adds ``n`` (results of the group), ``owner_name``, ``owner_country`` and
+    the ``athlete_cols``. The join — broadcast or shuffled — carries one row
+    per group instead of one per result; NULL ``athlete_id`` groups are salted
+    by a hash of name and nationality. Groups owned by nobody are kept (their
+    ``owner_country`` may be NULL) so callers can apply other rules.
+    """
+    r = valid_results(t, results).filter(
+        F.col("athlete_id").isNotNull() | F.col("nationality").isin(countries))
+    g = (r.groupBy("athlete_id", "athlete_name", "nationality").agg(F.count("id").alias("n"))
+          .withColumn("_spread", F.xxhash64("athlete_name", "nationality")))
+    cols = {"a_full_name": "full_name", "a_country_code": "country_code"}
+    cols.update(athlete_cols or {})
+    j = join_dim(t, g, "athletes", "athlete_id", cols, "left",
+                 dim=t.athletes.filter(F.col("country_code").isin(countries)), spread_by="_spread")
+    orphan = F.col("athlete_id").isNull()
+    return (j.withColumn("owner_name", F.when(orphan, F.col("athlete_name")).otherwise(F.col("a_full_name")))
+             .withColumn("owner_country", F.when(orphan, F.col("nationality")).otherwise(F.col("a_country_code")))
+             .drop("_spread"))
+
+
 def first_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """``DISTINCT ON (key) ... ORDER BY key, <order>``: the first row of each
     key in ``order``. Callers filter the input first so the shuffle by key is

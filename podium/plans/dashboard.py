@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import category_or_default, gender_category, recent_floor
-from ..operators.facts import (attributed_results, join_dim, valid_results,
-                               with_athletes, with_race_context)
+from ..operators.facts import (attributed_results, join_dim, owner_groups,
+                               valid_results, with_athletes, with_race_context)
 from ..operators.joins import one_row
 from ..operators.paging import asc, desc
 from ..session import checkpointed
@@ -68,18 +68,16 @@ def country_summary(t: Tables, country: str = DEFAULT_COUNTRY) -> DataFrame:
     """One row: athletes of the country, athletes with results (attributed,
     distinct names), competitions held there, results (OR rule).
 
-    The two result figures come from one scan of the fact: valid results
-    joined to the country's athletes, with conditional aggregates.
+    The two result figures come from one scan of the fact, counted per
+    (athlete, name, nationality) before the join to the country's athletes;
+    ``a_country_code`` is non-NULL exactly when the linked athlete is of the
+    country.
     """
-    r = valid_results(t).filter(F.col("athlete_id").isNotNull() | (F.col("nationality") == country))
-    j = with_athletes(t, r, {"a_full_name": "full_name", "a_country_code": "country_code"}, "left",
-                      t.athletes.filter(F.col("country_code") == country))
-    orphan = F.col("athlete_id").isNull()
-    owner_is = F.when(orphan, F.col("nationality") == country).otherwise(F.col("a_country_code").isNotNull())
-    owner_name = F.when(orphan, F.col("athlete_name")).otherwise(F.col("a_full_name"))
+    g = owner_groups(t, [country])
     or_rule = F.col("a_country_code").isNotNull() | (F.col("nationality") == country)
-    facts = j.agg(F.count_distinct(F.when(owner_is, owner_name)).alias("athletes_with_results"),
-                  F.count(F.when(or_rule, F.lit(1))).alias("total_results"))
+    facts = g.agg(F.count_distinct(F.when(F.col("owner_country") == country, F.col("owner_name")))
+                  .alias("athletes_with_results"),
+                  F.coalesce(F.sum(F.when(or_rule, F.col("n"))), F.lit(0)).cast("long").alias("total_results"))
     return _summary_row(t, country, facts)
 
 
@@ -155,17 +153,27 @@ def timeline(t: Tables, country: str = DEFAULT_COUNTRY,
     one row per selected competition leaves each task.
     """
     comps, sel = _timeline_selection(t, country, as_of, years)
-    results_per_comp = (valid_results(t).select("race_id", "id")
-                        .join(t.dim("races", sel), F.col("race_id") == F.col("ra_id"))
-                        .groupBy(F.col("ra_comp").alias("r_comp"))
-                        .agg(F.count("id").alias("n_results")))
+    valid = valid_results(t).select("race_id", "id")
+    if t.broadcastable("races"):
+        # probe the broadcast selected races, then count per competition
+        per_comp = valid.join(t.dim("races", sel), F.col("race_id") == F.col("ra_id"))
+        results_per_comp = per_comp.groupBy(F.col("ra_comp").alias("r_comp")).agg(F.count("id").alias("n_results"))
+    else:
+        # count per race first: only per-race rows meet the selected races
+        per_race = valid.groupBy("race_id").agg(F.count("id").alias("n"))
+        results_per_comp = (per_race.join(sel, F.col("race_id") == F.col("ra_id"))
+                            .groupBy(F.col("ra_comp").alias("r_comp"))
+                            .agg(F.sum("n").cast("long").alias("n_results")))
     return _timeline_rollup(t, comps, sel, results_per_comp)
 
 
-def _regional(t: Tables, df: DataFrame) -> DataFrame:
+def _regional(t: Tables, df: DataFrame, weight: str | None = None) -> DataFrame:
+    """Per owner country: distinct owner names and results (rows of ``df``,
+    or the sum of ``weight`` when ``df`` is pre-aggregated)."""
+    results = F.sum(weight).cast("long") if weight else F.count("id")
     agg = (df.groupBy(F.col("owner_country").alias("country_code"))
              .agg(F.count_distinct("owner_name").alias("athlete_count"),
-                  F.count("id").alias("result_count")))
+                  results.alias("result_count")))
     out = join_dim(t, agg, "countries", "country_code", {"country_name": "name"}, "left",
                    dim_key="code")
     return (out.select("country_code", "country_name", "athlete_count", "result_count")
@@ -174,8 +182,10 @@ def _regional(t: Tables, df: DataFrame) -> DataFrame:
 
 def regional_comparison(t: Tables, countries: tuple[str, ...] | list[str] = DEFAULT_COUNTRIES) -> DataFrame:
     """Per country of ``countries``: distinct attributed athlete names and
-    results; country names joined after aggregating."""
-    return _regional(t, attributed_results(t, list(countries)))
+    results; country names joined after aggregating. The fact is counted per
+    (athlete, name, nationality) before the athlete join."""
+    g = owner_groups(t, list(countries))
+    return _regional(t, g.filter(F.col("owner_country").isin(list(countries))), weight="n")
 
 
 # --- all six over one shared base --------------------------------------------
