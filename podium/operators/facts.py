@@ -176,19 +176,26 @@ def attributed_results(t: Tables, countries: list[str],
 
 def owner_groups(t: Tables, countries: list[str], athlete_cols: dict[str, str] | None = None,
                  results: DataFrame | None = None) -> DataFrame:
-    """Valid results counted per ``(athlete_id, athlete_name, nationality)``
-    *before* the athlete join, then joined to the athletes of ``countries``.
-
-    Adds ``n`` (results of the group), ``owner_name``, ``owner_country`` and
-    the ``athlete_cols``. The join — broadcast or shuffled — carries one row
-    per group instead of one per result; NULL ``athlete_id`` groups are salted
-    by a hash of name and nationality. Groups owned by nobody are kept (their
-    ``owner_country`` may be NULL) so callers can apply other rules.
+    """Valid results joined to the athletes of ``countries`` as weighted rows
+    ``(athlete_id, athlete_name, nationality, n, owner_name, owner_country,
+    <athlete_cols>)``; ``n`` is the number of results a row stands for.
+
+    Within the athletes bound each result is one row (``n`` = 1) probing the
+    broadcast athletes map-side, and the caller's aggregation combines
+    partially. Beyond it, results are first counted per
+    ``(athlete_id, athlete_name, nationality)`` so the shuffled join carries
+    one row per group instead of one per result; NULL ``athlete_id`` groups
+    are salted by a hash of name and nationality. Rows owned by nobody are
+    kept (``owner_country`` NULL) so callers can apply other rules.
     """
     r = valid_results(t, results).filter(
         F.col("athlete_id").isNotNull() | F.col("nationality").isin(countries))
-    g = (r.groupBy("athlete_id", "athlete_name", "nationality").agg(F.count("id").alias("n"))
-          .withColumn("_spread", F.xxhash64("athlete_name", "nationality")))
+    if t.broadcastable("athletes"):
+        g = r.select("athlete_id", "athlete_name", "nationality", F.lit(1).cast("long").alias("n"),
+                     F.col("id").alias("_spread"))
+    else:
+        g = (r.groupBy("athlete_id", "athlete_name", "nationality").agg(F.count("id").alias("n"))
+              .withColumn("_spread", F.xxhash64("athlete_name", "nationality")))
     cols = {"a_full_name": "full_name", "a_country_code": "country_code"}
     cols.update(athlete_cols or {})
     j = join_dim(t, g, "athletes", "athlete_id", cols, "left",
