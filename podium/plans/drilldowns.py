@@ -136,7 +136,7 @@ def competition_athletes_count(t: Tables, competition_id: int) -> DataFrame:
 def athlete_results_basic(t: Tables, athlete_id: int, page_no: int = 1,
                           per_page: int = V1_ATHLETE_PAGE_SIZE) -> DataFrame:
     """v1: results linked to the athlete id (no mark test), newest race first."""
-    r = t.results.filter(F.col("athlete_id") == F.lit(athlete_id))
+    r = t.results_for_athletes.filter(F.col("athlete_id") == F.lit(athlete_id))
     j = with_race_context(t, r, V1_CONTEXT + ["competition_name", "venue"])
     rows = j.select(*RESULT_COLS, "race_date", "race_type", "event_title", "discipline_code",
                     F.col("d_name").alias("discipline_name"), F.col("d_category").alias("category"),
@@ -165,7 +165,8 @@ def athlete_results(t: Tables, athlete_id: int, page_no: int = 1,
     ``order='id'`` is the reference's order; ``'recent'`` is newest first.
     An unknown athlete gives no rows."""
     found, name = athlete_name(t, athlete_id)
-    r = valid_results(t).filter(_athlete_identity(athlete_id, name) if found else F.lit(False))
+    r = valid_results(t, t.results_for_athletes).filter(
+        _athlete_identity(athlete_id, name) if found else F.lit(False))
     rows = _v2_columns(_v2_rows(t, r, ["competition_name"]),
                        extra=["competition_name", F.col("c_start_date").alias("start_date")])
     rows = first_per_key(rows, "id", [desc("start_date"), asc("place")])
@@ -175,7 +176,8 @@ def athlete_results(t: Tables, athlete_id: int, page_no: int = 1,
 
 def athlete_results_count(t: Tables, athlete_id: int) -> DataFrame:
     found, name = athlete_name(t, athlete_id)
-    r = valid_results(t).filter(_athlete_identity(athlete_id, name) if found else F.lit(False))
+    r = valid_results(t, t.results_for_athletes).filter(
+        _athlete_identity(athlete_id, name) if found else F.lit(False))
     return r.agg(F.count_distinct("id").alias("total"))
 
 

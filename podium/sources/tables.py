@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,9 @@ class Tables:
     races: DataFrame
     results: DataFrame
     broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS
+    # Optional second layout of the fact, sorted by athlete (same rows and
+    # columns as ``results``); athlete drill-downs read it when present.
+    results_by_athlete: DataFrame | None = None
     _rows: dict[str, int] = field(default_factory=dict, repr=False)
 
     @property
@@ -43,6 +47,11 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
 
+    @property
+    def results_for_athletes(self) -> DataFrame:
+        """The fact in the layout that suits athlete predicates."""
+        return self.results if self.results_by_athlete is None else self.results_by_athlete
+
     def rows(self, name: str) -> int:
         """Row count of a table, computed once (parquet answers from footers)."""
         if name not in self._rows:
@@ -73,9 +82,15 @@ def _conform(df: DataFrame, name: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
+ATHLETE_LAYOUT = "results_by_athlete"
+
+
 def load_tables(spark: SparkSession, path: str, fmt: str = "parquet",
-                broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> Tables:
-    """Read the eight tables from a lake folder (``<path>/<table>``).
+                broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
+                with_athlete_layout: bool = True) -> Tables:
+    """Read the eight tables from a lake folder (``<path>/<table>``), and the
+    optional athlete-sorted copy of the fact (``<path>/results_by_athlete``)
+    when it exists.
 
     The declared schema is passed to the reader, so no inference pass runs and
     column pruning / filter pushdown reach the files.
@@ -86,7 +101,13 @@ def load_tables(spark: SparkSession, path: str, fmt: str = "parquet",
         if fmt == "parquet" and not os.path.exists(p) and os.path.exists(p + ".parquet"):
             p = p + ".parquet"
         dfs[n] = spark.read.format(fmt).schema(schema).load(p)
-    return Tables(**dfs, broadcast_max_rows=broadcast_max_rows)
+    by_athlete = None
+    if with_athlete_layout:
+        try:
+            by_athlete = spark.read.format(fmt).schema(SCHEMAS[FACT]).load(os.path.join(path, ATHLETE_LAYOUT))
+        except AnalysisException:  # the layout is optional: no such folder
+            by_athlete = None
+    return Tables(**dfs, broadcast_max_rows=broadcast_max_rows, results_by_athlete=by_athlete)
 
 
 # Tables keyed by a numeric ``id`` can be read in parallel id ranges.

@@ -30,7 +30,8 @@ def lake(spark):
 
 
 @pytest.mark.parametrize("key", ["competitions_list", "regional_comparison", "athlete_results",
-                                 "competition_athletes", "timeline", "table_counts"])
+                                 "athlete_results_basic", "athlete_results_count", "competition_athletes",
+                                 "timeline", "table_counts"])
 def test_lake_equals_derived(spark, lake, key):
     t_lake = load_tables(spark, lake)
     t_view = E.tables(spark, SF)
@@ -42,6 +43,9 @@ def test_lake_equals_derived(spark, lake, key):
 
 def test_lake_schema_is_declared(spark, lake):
     t = load_tables(spark, lake)
+    assert t.results_by_athlete is not None  # the optional athlete layout was written and found
+    assert t.results_by_athlete.count() == t.results.count()
+    assert load_tables(spark, lake, with_athlete_layout=False).results_by_athlete is None
     assert [f.name for f in t.results.schema] == ["id", "race_id", "athlete_id", "athlete_name", "nationality",
                                                   "place", "mark", "wind", "points", "qualified"]
 
