@@ -15,8 +15,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.paging import (LIST_PAGE_CAP, LIST_PAGE_SIZE, RESULTS_PAGE_SIZE,
-                                PageSpec, asc, athlete_sort, desc, page_info)
+from ..operators.paging import (AUTOCOMPLETE_CAP, LIST_PAGE_CAP, LIST_PAGE_SIZE,
+                                RESULTS_PAGE_SIZE, PageSpec, asc, athlete_sort, desc,
+                                page_info)
 from ..sources.sinks import envelope
 from ..sources.tables import Tables
 from . import dashboard as D
@@ -25,17 +26,29 @@ from . import listings as L
 from . import overview as O
 
 
+# Largest page gathered into one JSON envelope (one row, one task); bigger
+# outputs are written as JSON lines by ``sources.sinks.write_json``.
+ENVELOPE_MAX_ROWS = 10_000
+
+
 @dataclass
 class Response:
-    """``rows`` under ``key``, the one-row ``info`` block, fixed ``extra``
-    fields, and the order that keeps ``rows`` in page order."""
+    """``rows`` under ``key`` (at most ``size`` rows), the one-row ``info``
+    block, fixed ``extra`` fields, and the order that keeps ``rows`` in page
+    order."""
     key: str
     rows: DataFrame
     order: list[Column]
+    size: int
     info: DataFrame | None = None
     extra: dict[str, object] = field(default_factory=dict)
 
     def to_json(self) -> DataFrame:
+        """The envelope as one JSON row; refused for pages over
+        :data:`ENVELOPE_MAX_ROWS` (write those as JSON lines instead)."""
+        if self.size > ENVELOPE_MAX_ROWS:
+            raise ValueError(f"page of {self.size} rows is too large for one envelope; "
+                             "use sources.sinks.write_json for the rows")
         return envelope(self.rows, self.key, self.order, self.info, self.extra)
 
 
@@ -43,7 +56,7 @@ def competitions(t: Tables, page_no: int = 1, per_page: int = LIST_PAGE_SIZE,
                  search: str | None = None) -> Response:
     spec = PageSpec(page_no, per_page, LIST_PAGE_CAP)
     return Response("competitions", L.competitions_list(t, search, page_no, per_page),
-                    [desc("result_count"), desc("start_date"), asc("id")],
+                    [desc("result_count"), desc("start_date"), asc("id")], spec.size,
                     page_info(L.competitions_with_results_count(t, search), spec))
 
 
@@ -51,14 +64,14 @@ def athletes(t: Tables, page_no: int = 1, per_page: int = LIST_PAGE_SIZE, search
              sort_by: str = "full_name", sort_order: str = "ASC") -> Response:
     spec = PageSpec(page_no, per_page, LIST_PAGE_CAP)
     return Response("athletes", L.athletes_list(t, search, sort_by, sort_order, page_no, per_page),
-                    athlete_sort(sort_by, sort_order), page_info(L.athletes_count(t, search), spec))
+                    athlete_sort(sort_by, sort_order), spec.size, page_info(L.athletes_count(t, search), spec))
 
 
 def competition_results(t: Tables, competition_id: int, page_no: int = 1,
                         per_page: int = RESULTS_PAGE_SIZE) -> Response:
     spec = PageSpec(page_no, per_page)
     return Response("results", R.competition_results(t, competition_id, page_no, per_page),
-                    [desc("race_date"), asc("place"), asc("id")],
+                    [desc("race_date"), asc("place"), asc("id")], spec.size,
                     page_info(R.competition_results_count(t, competition_id), spec),
                     {"competition_id": competition_id})
 
@@ -68,7 +81,7 @@ def competition_athletes(t: Tables, competition_id: int, page_no: int = 1,
     spec = PageSpec(page_no, per_page, LIST_PAGE_CAP)
     order = [desc("result_count")] + [asc(c) for c in R.PARTICIPANT_COLS if c != "result_count"]
     return Response("athletes", R.competition_athletes(t, competition_id, page_no, per_page), order,
-                    page_info(R.competition_athletes_count(t, competition_id), spec),
+                    spec.size, page_info(R.competition_athletes_count(t, competition_id), spec),
                     {"competition_id": competition_id})
 
 
@@ -79,7 +92,7 @@ def athlete_results(t: Tables, athlete_id: int, page_no: int = 1,
     spec = PageSpec(page_no, per_page)
     found, name = R.athlete_name(t, athlete_id)
     return Response("results", R.athlete_results(t, athlete_id, page_no, per_page), [asc("id")],
-                    page_info(R.athlete_results_count(t, athlete_id), spec),
+                    spec.size, page_info(R.athlete_results_count(t, athlete_id), spec),
                     {"athlete_id": athlete_id, "athlete_name": name, "found": found})
 
 
@@ -87,13 +100,14 @@ def athlete_results_by_name(t: Tables, name: str, page_no: int = 1,
                             per_page: int = RESULTS_PAGE_SIZE) -> Response:
     spec = PageSpec(page_no, per_page)
     return Response("results", R.athlete_results_by_name(t, name, page_no, per_page),
-                    [desc("race_date"), asc("place"), asc("id")],
+                    [desc("race_date"), asc("place"), asc("id")], spec.size,
                     page_info(R.athlete_results_by_name_count(t, name), spec),
                     {"athlete_name": name.strip()})
 
 
 def athlete_search(t: Tables, q: str | None, limit: int = 10) -> Response:
-    return Response("athletes", L.athletes_autocomplete(t, q, limit), athlete_sort("full_name", "ASC"))
+    return Response("athletes", L.athletes_autocomplete(t, q, limit), athlete_sort("full_name", "ASC"),
+                    min(int(limit), AUTOCOMPLETE_CAP))
 
 
 def stats(t: Tables) -> DataFrame:

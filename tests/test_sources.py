@@ -100,3 +100,12 @@ def test_responses(spark):
     counts = [x["result_count"] for x in d["regional_comparison"]]
     assert counts == sorted(counts, reverse=True) and len(counts) == 6
     assert d["summary"]["total_athletes"] >= 0
+
+
+def test_envelope_refuses_unbounded_pages(spark):
+    from podium.plans import responses as RS
+
+    t = E.tables(spark, SF)
+    with pytest.raises(ValueError):
+        RS.competition_results(t, 7, 1, 10 ** 9).to_json()
+    assert RS.athlete_search(t, "given7", 100).size == 50
