@@ -23,6 +23,9 @@ AUTOCOMPLETE_DEFAULT = 10
 LIST_PAGE_SIZE = 50
 RESULTS_PAGE_SIZE = 100
 ATHLETE_SORT_FIELDS = ("full_name", "family_name", "given_name", "country_code", "birth_date")
+# A page is a top-k whose rows end up in one task; larger row sets are read
+# through the unpaged ``*_rows`` reports, which stay distributed.
+MAX_PAGE_ROWS = 100_000
 SORT_ORDERS = ("ASC", "DESC")
 # -----------------------------------------------------------------------------
 
@@ -56,6 +59,9 @@ class PageSpec:
             raise ValueError("page must be >= 1")
         if int(self.per_page) < 1:
             raise ValueError("per_page must be >= 1")
+        if self.size > MAX_PAGE_ROWS:
+            raise ValueError(f"pages hold at most {MAX_PAGE_ROWS} rows; read larger row sets "
+                             "through the unpaged *_rows reports")
 
     @property
     def size(self) -> int:

@@ -78,12 +78,19 @@ def competition_results_basic(t: Tables, competition_id: int, page_no: int = 1,
                 PageSpec(page_no, per_page))
 
 
-def competition_results(t: Tables, competition_id: int, page_no: int = 1,
-                        per_page: int = RESULTS_PAGE_SIZE) -> DataFrame:
-    """v2: valid results of a competition, orphans included."""
+def competition_result_rows(t: Tables, competition_id: int) -> DataFrame:
+    """All v2 result rows of a competition (valid marks, orphans included),
+    unpaged and distributed."""
     r = results_of_competition(t, competition_id, valid_results(t), cols=V2_CONTEXT)
     j = with_athletes(t, r, {"a_full_name": "full_name", "a_country_code": "country_code"})
-    return page(_v2_columns(j), [desc("race_date"), asc("place"), asc("id")], PageSpec(page_no, per_page))
+    return _v2_columns(j)
+
+
+def competition_results(t: Tables, competition_id: int, page_no: int = 1,
+                        per_page: int = RESULTS_PAGE_SIZE) -> DataFrame:
+    """v2: a page of the competition's valid results, newest first, then place."""
+    return page(competition_result_rows(t, competition_id), [desc("race_date"), asc("place"), asc("id")],
+                PageSpec(page_no, per_page))
 
 
 def competition_results_count(t: Tables, competition_id: int) -> DataFrame:
@@ -164,14 +171,20 @@ def athlete_results(t: Tables, athlete_id: int, page_no: int = 1,
     exact name; one row per result id (newest competition, best place).
     ``order='id'`` is the reference's order; ``'recent'`` is newest first.
     An unknown athlete gives no rows."""
+    rows = athlete_result_rows(t, athlete_id)
+    sort = [asc("id")] if order == "id" else [desc("start_date"), asc("place"), asc("id")]
+    return page(rows, sort, PageSpec(page_no, per_page))
+
+
+def athlete_result_rows(t: Tables, athlete_id: int) -> DataFrame:
+    """All v2 result rows of an athlete (by id, plus orphans with the exact
+    name), one per result id, unpaged and distributed."""
     found, name = athlete_name(t, athlete_id)
     r = valid_results(t, t.results_for_athletes).filter(
         _athlete_identity(athlete_id, name) if found else F.lit(False))
     rows = _v2_columns(_v2_rows(t, r, ["competition_name"]),
                        extra=["competition_name", F.col("c_start_date").alias("start_date")])
-    rows = first_per_key(rows, "id", [desc("start_date"), asc("place")])
-    sort = [asc("id")] if order == "id" else [desc("start_date"), asc("place"), asc("id")]
-    return page(rows, sort, PageSpec(page_no, per_page))
+    return first_per_key(rows, "id", [desc("start_date"), asc("place")])
 
 
 def athlete_results_count(t: Tables, athlete_id: int) -> DataFrame:
@@ -192,10 +205,15 @@ def athlete_results_by_name(t: Tables, name: str, page_no: int = 1,
                             per_page: int = RESULTS_PAGE_SIZE) -> DataFrame:
     """Valid results whose own ``athlete_name`` matches the ILIKE term
     (stripped, at least two characters), newest competition first."""
+    return page(athlete_result_rows_by_name(t, name), [desc("race_date"), asc("place"), asc("id")],
+                PageSpec(page_no, per_page))
+
+
+def athlete_result_rows_by_name(t: Tables, name: str) -> DataFrame:
+    """All valid result rows whose own name matches, unpaged and distributed."""
     _, pred = _by_name_filter(name)
-    rows = _v2_columns(_v2_rows(t, t.results.filter(pred), ["competition_name"]),
+    return _v2_columns(_v2_rows(t, t.results.filter(pred), ["competition_name"]),
                        extra=["competition_name"], athlete_name_from_athlete=False)
-    return page(rows, [desc("race_date"), asc("place"), asc("id")], PageSpec(page_no, per_page))
 
 
 def athlete_results_by_name_count(t: Tables, name: str) -> DataFrame:

@@ -364,3 +364,12 @@ def test_result_page_sorts(spark):
     assert order(by="race_date", descending=True) == [2, 1, 4, 3]
     card = R.athlete_card(make_tables(spark, **ROWS), 6).first()
     assert (card["country_label"], card["gender_label"]) == ("Unknown", "Female")
+
+
+def test_unpaged_rows_and_page_bound(t):
+    assert ids(R.athlete_result_rows(t, 1)) == ids(R.athlete_results(t, 1))
+    assert ids(R.competition_result_rows(t, 10)) == [1, 3, 4, 5, 6, 9]
+    assert ids(R.athlete_result_rows_by_name(t, "wei tan")) == [1, 8, 9]
+    with pytest.raises(ValueError):
+        PageSpec(1, 100_001)  # a page is one task's top-k; big row sets use the *_rows reports
+    assert PageSpec(2, 100_000).offset == 100_000
