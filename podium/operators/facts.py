@@ -162,9 +162,11 @@ def attributed_results(t: Tables, countries: list[str],
     ``(athlete_name, nationality)``. Same rows as the reference's UNION ALL
     of the two branches, in one scan of the fact: one left join to the
     athletes of those countries (broadcast, or salted for NULL keys).
-    Adds ``owner_name``, ``owner_country``.
+    Adds ``owner_name``, ``owner_country``. Reads the athlete-sorted copy of
+    the fact when the lake has one, so later aggregations by owner combine
+    map-side (each task holds a disjoint range of athletes).
     """
-    r = valid_results(t, results).filter(
+    r = valid_results(t, t.results_for_athletes if results is None else results).filter(
         F.col("athlete_id").isNotNull() | F.col("nationality").isin(countries))
     athletes = t.athletes.filter(F.col("country_code").isin(countries))
     j = with_athletes(t, r, {"a_full_name": "full_name", "a_country_code": "country_code"}, "left", athletes)
@@ -186,9 +188,12 @@ def owner_groups(t: Tables, countries: list[str], athlete_cols: dict[str, str] |
     ``(athlete_id, athlete_name, nationality)`` so the shuffled join carries
     one row per group instead of one per result; NULL ``athlete_id`` groups
     are salted by a hash of name and nationality. Rows owned by nobody are
-    kept (``owner_country`` NULL) so callers can apply other rules.
+    kept (``owner_country`` NULL) so callers can apply other rules. Reads
+    the athlete-sorted copy of the fact when present, where each task holds
+    a disjoint range of athletes and the aggregation by athlete or owner
+    collapses map-side.
     """
-    r = valid_results(t, results).filter(
+    r = valid_results(t, t.results_for_athletes if results is None else results).filter(
         F.col("athlete_id").isNotNull() | F.col("nationality").isin(countries))
     if t.broadcastable("athletes"):
         g = r.select("athlete_id", "athlete_name", "nationality", F.lit(1).cast("long").alias("n"),

@@ -38,7 +38,8 @@ def _or_rule_base(t: Tables, country: str) -> DataFrame:
     Only athletes of that country are joined (a subset of the dimension), so
     ``a_country_code`` is non-NULL exactly when the athlete belongs to it.
     """
-    r = valid_results(t).filter(F.col("athlete_id").isNotNull() | (F.col("nationality") == country))
+    r = valid_results(t, t.results_for_athletes).filter(
+        F.col("athlete_id").isNotNull() | (F.col("nationality") == country))
     j = with_athletes(t, r, {"a_country_code": "country_code"}, "left",
                       t.athletes.filter(F.col("country_code") == country))
     return j.filter(F.col("a_country_code").isNotNull() | (F.col("nationality") == country))
@@ -199,7 +200,7 @@ def dashboard_base(t: Tables, country: str = DEFAULT_COUNTRY,
     flags, competition and discipline. The fact is read once; both joins
     before the filter are broadcast probes into dimension subsets."""
     sel = sorted(set(countries) | {country})
-    r = valid_results(t)
+    r = valid_results(t, t.results_for_athletes)  # athlete-clustered when the lake has it
     j = with_athletes(t, r, {"a_full_name": "full_name", "a_country_code": "country_code"}, "left",
                       t.athletes.filter(F.col("country_code").isin(sel)))
     if timeline_races is not None:

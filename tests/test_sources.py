@@ -31,7 +31,8 @@ def lake(spark):
 
 @pytest.mark.parametrize("key", ["competitions_list", "regional_comparison", "athlete_results",
                                  "athlete_results_basic", "athlete_results_count", "competition_athletes",
-                                 "timeline", "table_counts"])
+                                 "timeline", "table_counts", "country_summary", "top_athletes",
+                                 "discipline_breakdown", "country_dashboard", "competition_results"])
 def test_lake_equals_derived(spark, lake, key):
     t_lake = load_tables(spark, lake)
     t_view = E.tables(spark, SF)
