@@ -110,3 +110,16 @@ def test_envelope_refuses_unbounded_pages(spark):
     with pytest.raises(ValueError):
         RS.competition_results(t, 7, 1, 10 ** 9).to_json()
     assert RS.athlete_search(t, "given7", 100).size == 50
+
+
+def test_lake_plans_prune_the_fact(spark, lake):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    t = load_tables(spark, lake)
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    comp = plan(R.competition_results(t, 7))
+    assert "GreaterThanOrEqual(race_id," in comp and "LessThanOrEqual(race_id," in comp
+    ath = plan(R.athlete_results(t, 8))
+    assert "results_by_athlete" in ath and "EqualTo(athlete_id,8)" in ath
