@@ -6,13 +6,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, byte_shards, systematic_mix
+from . import best_fit, block_naming, byte_shards, impact_search, systematic_mix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_search.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = best_fit.packed(_table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op5_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = systematic_mix.copies_plan(_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -30,6 +39,8 @@ def op8_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_impact_search": op1_impact_search,
+    "op4_best_fit": op4_best_fit,
     "op5_systematic_mix": op5_systematic_mix,
     "op7_byte_shards": op7_byte_shards,
     "op8_block_naming": op8_block_naming,
