@@ -56,8 +56,43 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+_WARC = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
+         sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id AND first_id IS NOT NULL
+            THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+_CHAT = """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+g AS (
+  SELECT conv_id, count(*)::BIGINT AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS whole,
+         coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS masked,
+         -- <|im_start|>, the role, a line feed, the text, <|im_end|> and a line feed
+         sum(12 + 10 + 2
+             + length(role) + 2 * (length(role) - length(replace(role, chr(92), ''))) / 2
+             + (length(role) - length(replace(role, '<|', ''))) / 2 + (length(role) - length(replace(role, chr(10), '')))
+             + length(text) + (length(text) - length(replace(text, chr(92), '')))
+             + (length(text) - length(replace(text, '<|', ''))) / 2)::BIGINT AS formatted_chars
+  FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(masked)::BIGINT AS loss_chars,
+       sha256(masked) AS loss_sha256, formatted_chars
+FROM g
+"""
+
 ORACLE = {
     "op1_impact_search": _TOP_K,
     "op5_systematic_mix": _MIX,
+    "op6_chat_tree": _CHAT,
     "op8_block_naming": _DEDUP,
+    "op9_capture_index": _WARC,
 }

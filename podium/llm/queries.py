@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, block_naming, byte_shards, impact_search, systematic_mix
+from . import best_fit, block_naming, byte_shards, capture_index, chat_tree, impact_search, systematic_mix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,14 @@ def op5_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    planted = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)],
+                                    "conv_id long, turn long, role string, text string")
+    told = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(planted)
+    return chat_tree.read_back(chat_tree.tree_blocks(told))
+
+
 def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = byte_shards.shard_plan(_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -38,10 +46,19 @@ def op8_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    ranges = capture_index.build_index(capture_index.write_archives(pages))
+    found = capture_index.look_up(pages, ranges)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_impact_search": op1_impact_search,
     "op4_best_fit": op4_best_fit,
     "op5_systematic_mix": op5_systematic_mix,
+    "op6_chat_tree": op6_chat_tree,
     "op7_byte_shards": op7_byte_shards,
     "op8_block_naming": op8_block_naming,
+    "op9_capture_index": op9_capture_index,
 }
