@@ -107,8 +107,11 @@ def exact_copies(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     (largest doc_id of the equal texts), ``group_size``, ``kept`` (exactly one
     row of each group) and ``text_sha256``."""
     rows = written(text_identities(docs, block_chars), "dedup-identities")
-    groups = rows.groupBy("n_blocks", "name").agg(F.count(F.lit(1)).alias("group_size"),
-                                                  F.max(F.struct("doc_id", "row")).alias("keep"))
+    # Written, so that both sides of the join are plain exchanges, whose hot
+    # keys Spark splits.
+    groups = written(rows.groupBy("n_blocks", "name").agg(F.count(F.lit(1)).alias("group_size"),
+                                                          F.max(F.struct("doc_id", "row")).alias("keep")),
+                     "dedup-groups")
     return (rows.join(groups, ["n_blocks", "name"])
             .select("k1", "k2", "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size",
                     (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256"))
