@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, block_naming, byte_shards, capture_index, chat_tree, impact_search, systematic_mix
+from . import (best_fit, block_naming, byte_shards, capture_index, chat_tree, impact_search, noisy_channel,
+               secret_layers, systematic_mix)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,18 @@ def op1_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_search.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_secret_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_layers.secrets(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op3_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fitted = noisy_channel.fit(docs, _table(spark, sf_dir, "labels"))
+    return (noisy_channel.scored(docs, fitted)
+            .select("doc_id", noisy_channel.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"))
+
+
 def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = best_fit.packed(_table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -55,6 +68,8 @@ def op9_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_impact_search": op1_impact_search,
+    "op2_secret_layers": op2_secret_layers,
+    "op3_noisy_channel": op3_noisy_channel,
     "op4_best_fit": op4_best_fit,
     "op5_systematic_mix": op5_systematic_mix,
     "op6_chat_tree": op6_chat_tree,
