@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (best_fit, block_naming, byte_shards, capture_index, chat_tree, impact_search, noisy_channel,
-               secret_layers, systematic_mix)
+               order_join, secret_layers, systematic_mix)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,11 @@ def op9_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = order_join.similar_components(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     "op1_impact_search": op1_impact_search,
     "op2_secret_layers": op2_secret_layers,
@@ -76,4 +81,5 @@ QUERIES = {
     "op7_byte_shards": op7_byte_shards,
     "op8_block_naming": op8_block_naming,
     "op9_capture_index": op9_capture_index,
+    "op10_order_join": op10_order_join,
 }
