@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import written
+from .common import free_name, written
 
 MAX_ROWS = 20_000
 MAX_FEATURES = 4096
@@ -313,11 +313,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_featur
     return {"model": model, "keep": keep, "weights": _logistic(sample, len(keep))}
 
 
-def scored(docs: DataFrame, fitted: dict, threshold: float = THRESHOLD, columns: list[str] | None = None) -> DataFrame:
-    """The given columns of ``docs`` with ``score`` and ``predicted``."""
+def scored(docs: DataFrame, fitted: dict, threshold: float = THRESHOLD, columns: list[str] | None = None,
+           score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """The given columns of ``docs`` (doc_id alone, if none are given), with
+    the score and the prediction under the given names."""
     columns = columns or ["doc_id"]
-    narrow = docs.select(*[docs[f"`{c}`"] for c in columns], docs["text"].alias("scored text"))
-    schema = StructType(narrow.schema.fields[:-1]).add("score", "double").add("predicted", "integer")
+    apart = "text" not in columns
+    narrow = docs.select(*[docs[f"`{c}`"] for c in columns], *([docs["text"]] if apart else []))
+    kept = narrow.schema.fields[:len(columns)]
+    schema = StructType(list(kept)).add(score, "double").add(predicted, "integer")
+    at_text = len(columns) if apart else columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, weights = Reader(fitted["model"], fitted["keep"]), fitted["weights"]
@@ -326,17 +331,24 @@ def scored(docs: DataFrame, fitted: dict, threshold: float = THRESHOLD, columns:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 scores = []
-                for text in batch.column("scored text"):
+                for text in batch.column(at_text):
                     z = bias + sum(float(weights[k]) for k in sorted(reader.features(text.as_py() or "")))
                     scores.append(1 / (1 + math.exp(-max(-40.0, min(40.0, z)))))
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:-1], pa.array(scores, pa.float64()),
+                    [*batch.columns[:len(columns)], pa.array(scores, pa.float64()),
                      pa.array([int(s >= threshold) for s in scores], pa.int32())],
-                    names=[*batch.schema.names[:-1], "score", "predicted"])
+                    names=[*columns, score, predicted])
 
     return narrow.mapInArrow(run, schema)
 
 
+def without_toxic(docs: DataFrame, fitted: dict, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` (all columns) that score below the threshold."""
+    score, predicted = free_name(docs, "score"), free_name(docs, "predicted")
+    return (scored(docs, fitted, threshold, docs.columns, score, predicted)
+            .filter(F.col(predicted) == 0).drop(score, predicted))
+
+
 def held_out(doc_id):
     """Whether a doc_id belongs to the fold that is never learnt from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == HELD_OUT, F.lit(False))
