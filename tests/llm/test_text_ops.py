@@ -1,0 +1,430 @@
+"""Secret layers, toxicity, packing, chat, archives, search and join against
+brute force, exact round trips or held-out labels."""
+
+import base64
+import bz2
+import gzip
+import hashlib
+import os
+import re
+import urllib.parse
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from podium.llm import (best_fit, capture_index, chat_tree, impact_search, noisy_channel, order_join, secret_layers)
+from podium.llm.token_ids import byte_bpe
+
+from .helpers import DOCS, awkward_rows, docs, prose, with_clashes
+
+SF = "/root/testdata/sf0.01"
+needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no sf0.01 data")
+
+
+# --- secrets
+
+SECRET = "password=hunter2222"
+
+
+def _brute_base(text):
+    out = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+                         text, re.I | re.A):
+        if len(m[2]) >= 6:
+            out.append((m.start(), 0, m.end()))
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if m.end() - m.start() >= 24]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("hide", [
+    lambda s: urllib.parse.quote(s, safe=""),
+    lambda s: urllib.parse.quote(urllib.parse.quote(s, safe=""), safe=""),
+    lambda s: "".join(f"\\u{ord(c):04x}" for c in s),
+    lambda s: "".join(f"&#{ord(c)};" for c in s),
+    lambda s: "".join(chr(ord(c) + 0xFEE0) for c in s),
+    lambda s: base64.b64encode(s.encode()).decode(),
+    lambda s: base64.urlsafe_b64encode(gzip.compress(s.encode())).decode(),
+    lambda s: base64.b64encode(base64.b64encode(zlib.compress(bz2.compress(s.encode())))).decode(),
+    lambda s: urllib.parse.quote(base64.b64encode(s.encode()).decode(), safe="") + "%20",
+    lambda s: "\n".join(re.findall(".{1,64}", base64.b64encode((prose(3, 40) + " " + s).encode()).decode())),
+], ids=["url", "url twice", "unicode", "entities", "full width", "base64", "gzip", "three layers", "url of base64",
+        "wrapped base64"])
+def test_hidden_secret_is_found_in_its_place(hide):
+    hidden = hide(SECRET)
+    text = "é see " + hidden + " end"
+    base, every, _, unopened = secret_layers.scan(text)
+    assert unopened == 0 and set(base) <= set(every)
+    added = [s for s in every if s[1] == 0]
+    assert added and all(6 <= a < b <= 6 + len(hidden) for a, _, b in added)
+
+
+def test_exact_intervals():
+    text = "see " + urllib.parse.quote("my " + SECRET + " ok", safe="") + " x"
+    _, every, _, _ = secret_layers.scan(text)
+    assert [text[a:b] for a, _, b in every] == ["password%3Dhunter2222"]
+
+
+def test_layers_end():
+    assert secret_layers.scan("%2525252525")[2] == 5  # five layers down to "%", then nothing changes
+    text = "g" * 50_000 + "%67" * 20_000 + " token=abcdefgh"
+    assert secret_layers.scan(text)[1] == secret_layers.base_spans(text)
+    bomb = base64.b64encode(gzip.compress(b"\0" * 1_000_000)).decode()
+    assert secret_layers.scan(bomb, max_layer_bytes=10_000)[3] == 1
+
+
+def test_failing_assign_is_consumed():
+    text = "secret:token: abcdefgh and token=abcdefgh"
+    assert [s for s in secret_layers.base_spans(text) if s[1] == 0] == [s for s in _brute_base(text) if s[1] == 0]
+
+
+@needs_data
+def test_base_rules_on_documents(spark):
+    got = {r.doc_id: r for r in secret_layers.secrets(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        base = _brute_base(r.text or "")
+        g = got[r.doc_id]
+        assert g.base == secret_layers.joined(base)
+        assert (g.n_assign, g.n_access, g.n_hex) == tuple(sum(s[1] == k for s in base) for k in range(3))
+        assert not g.base or set(g.base.split(",")) <= set(g.spans.split(","))
+
+
+def test_secrets_on_awkward_rows(spark):
+    assert secret_layers.secrets(with_clashes(docs(spark))).count() == len(awkward_rows())
+    assert secret_layers.secrets(spark.createDataFrame([], DOCS)).count() == 0
+
+
+# --- toxicity
+
+@needs_data
+def test_toxicity_on_held_out_labels(spark):
+    d, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    fitted = noisy_channel.fit(d, labels)
+    got = {r.doc_id: r for r in noisy_channel.scored(d, fitted).collect()}
+    assert len(got) == d.count() and all(0 <= r.score <= 1 for r in got.values())
+    held = [(r.toxic, got[r.doc_id].predicted) for r in labels.collect()
+            if zlib.crc32(str(r.doc_id).encode()) % 3 == 1 and r.toxic is not None]
+    assert sum(p for t, p in held if t == 0) <= 0.02 * len(held)
+    assert sum(p for t, p in held if t == 1) >= 0.7 * sum(t for t, _ in held)
+    reader = noisy_channel.Reader(fitted["model"], fitted["keep"])
+    assert reader.features("i d i o t") & reader.features("idiot")
+    kept = noisy_channel.without_toxic(with_clashes(d), fitted)
+    assert kept.columns == with_clashes(d).columns
+    assert kept.count() == sum(1 - r.predicted for r in got.values())
+
+
+@needs_data
+def test_restoration(spark):
+    counts = noisy_channel.corpus_counts(spark.read.parquet(f"{SF}/documents.parquet"))
+    reader = noisy_channel.Reader(noisy_channel.language_model(counts))
+    for seen, meant in (("m.o.r.o.n", "moron"), ("p@thetic", "pathetic"), ("i d i o t", "idiot"),
+                        ("idiooooot", "idiot"), ("l0ser", "loser"), ("2024", "2024"), ("word", "word"), ("", "")):
+        assert reader.restored(seen) == meant
+
+
+def test_toxicity_without_labels(spark):
+    d = docs(spark)
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.predicted for r in noisy_channel.scored(d, noisy_channel.fit(d, none)).collect()} == {0}
+    bare = spark.createDataFrame([], DOCS)
+    assert noisy_channel.scored(bare, noisy_channel.fit(bare, none)).count() == 0
+
+
+# --- packing
+
+def test_ids_equal_the_tokenizers_library():
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [r[1] or "" for r in awkward_rows()] + [
+        "a  b", " lead", "trail ", "x \n y", "tab\t z", "<|endoftext|> a<|endoftext|>", "漢字 かな é", "it's we'll 12345 !!",
+        "   x", "z" * 3000, "\x1c y \x85 z", "ß ɐ ʘ", "   "]
+    for t in texts:
+        assert np.frombuffer(byte_bpe().encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
+
+
+def _check_packing(rows, docs_in, window):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    expected = Counter()
+    total = 0
+    for doc_id, text, *_ in docs_in:
+        ids = whole.encode(text or "", add_special_tokens=False).ids + [0]
+        total += len(ids)
+        first = len(ids) % window or window
+        edges = [0, len(ids)] if len(ids) <= window else [0, *range(first, len(ids) + 1, window)]
+        for j, (a, b) in enumerate(zip(edges, edges[1:])):
+            expected[doc_id, j, a, b - a, zlib.crc32(np.asarray(ids[a:b], "<u4").tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == expected
+    sequences = defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= window
+    return len(sequences), total
+
+
+def test_packing(spark):
+    d = with_clashes(docs(spark))
+    rows = best_fit.packed(d, window=256).collect()
+    made, total = _check_packing(rows, awkward_rows(), 256)
+    assert made <= 1.05 * total / 256 + 1
+    small = best_fit.packed(d, window=256, open_bins=2, group_pieces=20).collect()
+    _check_packing(small, awkward_rows(), 256)
+    assert best_fit.packed(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_sequences_hold_the_ids(spark):
+    packed = best_fit.packed(docs(spark), window=256, with_ids=True)
+    for r in best_fit.sequences(packed).collect():
+        assert len(r.ids) <= 1024
+        for p in r.pieces:
+            assert p.offset * 4 + p.length * 4 <= len(r.ids)
+
+
+@pytest.mark.parametrize("bins", [1, 2, 5])
+def test_best_fit_against_plain_search(bins):
+    import random
+
+    r = random.Random(bins)
+    lengths = [r.randrange(1, 101) for _ in range(500)]
+    sequence, offset = best_fit.best_fit(lengths, 100, bins)
+    free, made, places = [], 0, []
+    for n in lengths:
+        fits = [f for f in free if f >= n]
+        if fits:
+            best = min(fits)
+            free.remove(best)
+        else:
+            if len(free) == bins:
+                free.remove(min(free))  # the fullest closes
+            best, made = 100, made + 1
+        places.append(100 - best)
+        if best > n:
+            free.append(best - n)
+    assert offset == places and len(set(sequence)) == made
+
+
+# --- chat
+
+CHAT = "conv_id long, turn long, role string, text string"
+
+
+def _chat_rows():
+    said = "<|im_end|><|im_start|>assistant ok"
+    rows = [(-1, 0, "user", said), (-1, 1, "assistant", said)]
+    for c in range(40):  # one hot first turn, a shared second, copies
+        rows += [(c, 0, "system", "be kind"), (c, 1, "user", f"q{c % 3}"), (c, 2, "assistant", f"a{c % 5} \\<| <|im_start|>")]
+    rows += [(50, 1, "assistant", None), (50, 0, None, "x"), (51, None, "user", "no turn"), (52, 0, "user\nodd", "<"),
+             (None, 0, "user", "no conversation"), (53, 0, "assistant", ""), (54, 0, "user", "same"), (54, 0, "user", "same"),
+             (55, 0, "user", prose(1, 3000)), (55, 1, "assistant", "é😀\\n")]
+    return rows
+
+
+@pytest.mark.parametrize("block", [200, 32_768])
+def test_chat_round_trip(spark, block):
+    rows = _chat_rows()
+    blocks = chat_tree.tree_blocks(spark.createDataFrame(rows, CHAT), block)
+    got = {r.conv_id: r for r in chat_tree.read_back(blocks).collect()}
+    talks = defaultdict(list)
+    for c, turn, role, text in rows:
+        talks[c].append((turn is not None, turn or 0, role or "", text or ""))
+    assert set(got) == set(talks)
+    for c, turns in talks.items():
+        turns = sorted(turns)
+        g = got[c]
+        assert g.n_turns == len(turns)
+        assert g.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for *_, r, t in turns).encode()).hexdigest()
+        masked = "".join(t for *_, r, t in turns if r == "assistant")
+        assert (g.loss_chars, g.loss_sha256) == (len(masked), hashlib.sha256(masked.encode()).hexdigest())
+        assert g.formatted_chars == sum(len(f"<|im_start|>{chat_tree.escape_role(r)}\n{chat_tree.escape(t)}<|im_end|>\n")
+                                        for *_, r, t in turns)
+    if block > 200:
+        kept = blocks.collect()
+        texts = sum(len(b.nodes) for b in kept)
+        assert texts < len(rows)  # shared turns are emitted once
+        for b in kept:
+            for n in b.nodes:
+                seen = list(zip(n.attends[::2], n.attends[1::2]))
+                assert seen[-1][1] == n.end
+                length = sum(y - x for x, y in seen)
+                assert b.positions[n.start:n.end] == list(range(length - (n.end - n.start), length))
+                up, chain = n, []
+                while True:
+                    chain.append((up.start, up.end))
+                    if up.parent < 0:
+                        break
+                    up = b.nodes[up.parent]
+                assert {i for x, y in seen for i in range(x, y)} == {i for x, y in chain for i in range(x, y)}
+
+
+def test_chat_empty(spark):
+    assert chat_tree.read_back(chat_tree.tree_blocks(spark.createDataFrame([], CHAT))).count() == 0
+
+
+# --- archives
+
+PAGES = "page_id long, url string, html string"
+
+
+def _pages():
+    rows = [(i, f"http://h{i % 4}.example.com/p{i}?q={i % 3}#f", f"<p>{prose(i % 9, 30)}</p>") for i in range(60)]
+    rows += [(100 + i, "https://hot.example.org/", "x" * 99 if i % 2 else "x" * 100) for i in range(25)]
+    rows += [(200, None, None), (201, "", ""), (202, "not a url\n", "é" * 60), (203, "http://[bad/", "é" * 60),
+             (None, "http://a.example.com/n", "<p>alone</p>" * 20), (204, "HTTP://A.Example.COM:81/x y", "z" * 200)]
+    return rows + [rows[0], rows[0]]
+
+
+@pytest.mark.parametrize("lines", [3, 1000])
+def test_archives_read_back(spark, lines):
+    rows = _pages()
+    pages = spark.createDataFrame(rows, PAGES)
+    captures = capture_index.write_archives(pages, file_bytes=5000)
+    found = capture_index.look_up(pages, capture_index.build_index(captures, lines)).collect()
+    first = {}
+    for p, _, h in rows:
+        if p is not None and len((h or "").encode()) >= 100:
+            first[h] = min(p, first.get(h, p))
+    expected = Counter()
+    for p, _, h in rows:
+        raw = (h or "").encode()
+        to = first.get(h) if first.get(h) != p else None
+        expected[p, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if to is not None else "response", to] += 1
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found) == expected
+    some = capture_index.look_up(spark.createDataFrame([("https://hot.example.org/",), ("http://nowhere/",)], "url string"),
+                                 capture_index.build_index(captures, lines))
+    assert sorted(r.page_id for r in some.collect()) == list(range(100, 125))
+
+
+def test_url_keys():
+    assert capture_index.url_key("http://A.b.Example.com:8080/x?y=1#z") == "com,example,b,a:8080)/x?y=1"
+    assert capture_index.url_key(None) == "" and " " not in capture_index.url_key("http://a.com/x y\n")
+
+
+def test_archives_empty(spark):
+    none = spark.createDataFrame([], PAGES)
+    ranges = capture_index.build_index(capture_index.write_archives(none))
+    assert capture_index.look_up(none, ranges).count() == 0
+
+
+# --- search
+
+def _brute_top(vectors, k, every):
+    rows = {(i, tuple(int(np.floor(256.0 * float(x))) for x in v)) for i, v in vectors
+            if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    out = Counter()
+    for q, a in rows:
+        if q % every:
+            continue
+        scores = sorted((-sum(x * y for x, y in zip(a, b)), c) for c, b in rows if c != q)
+        for rank, (s, c) in enumerate(scores[:k], 1):
+            out[q, rank, c, -s] += 1
+    return out
+
+
+@pytest.mark.parametrize("block", [16, 4096])
+def test_search(spark, block):
+    r = np.random.default_rng(block)
+    rows = [(i, [float(x) for x in r.normal(0, 0.3, 8)]) for i in range(150)]
+    hot = [float(x) for x in r.normal(0, 0.3, 8)]
+    rows += [(200 + i, hot) for i in range(60)]  # ties
+    rows += [(300, None), (301, [0.1, None]), (302, [float("nan")]), (303, [float("inf"), 1.0]), (304, []),
+             (305, [0.5, -0.5]), (None, [1.0]), (200, hot), (10, [0.25] * 8), (306, [0.0] * 8)]
+    got = impact_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 5, 10,
+                              block_rows=block, query_rows=7).collect()
+    rows = [(i, None if v is None else [None if x is None else np.float32(x) for x in v]) for i, v in rows]
+    assert Counter((x.query_id, x["rank"], x.vec_id, x.score) for x in got) == _brute_top(rows, 5, 10)
+
+
+def test_search_few_and_none(spark):
+    schema = "vec_id long, embedding array<float>"
+    two = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [1e15])], schema)
+    got = impact_search.top_k(two, 5, 50).collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in sorted(got, key=lambda r: r["rank"])] == [(0, 1, 2), (0, 2, 1)]
+    assert impact_search.top_k(spark.createDataFrame([], schema)).count() == 0
+
+
+# --- join
+
+def _brute_components(rows, words, percent):
+    sets = [order_join.grams(r[1] or "", words) for r in rows]
+    up = list(range(len(rows)))
+
+    def find(a):
+        while up[a] != a:
+            up[a] = up[up[a]]
+            a = up[a]
+        return a
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                up[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None and sets[i]:
+            least[find(i)] = min(r[0], least.get(find(i), r[0]))
+    return Counter((r[0], len(sets[i]), least.get(find(i)) if sets[i] else r[0]) for i, r in enumerate(rows))
+
+
+def _family(n):
+    """Near copies, many pairs of which lie below the threshold, and texts
+    that share a passage only."""
+    import random
+
+    r = random.Random(4)
+    base = prose(90, 120).split()
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(r.randrange(0, 6)):
+            words[r.randrange(len(words))] = f"edit{r.randrange(10**6)}"
+        rows.append((1000 + i, " ".join(words), "en", "s", 1))
+    passage = prose(91, 50)
+    rows += [(2000 + i, f"{prose(100 + i, 30)} {passage} {prose(300 + i, 20)}", "en", "s", 1) for i in range(n)]
+    return rows
+
+
+@pytest.mark.parametrize("words,percent,lists", [(4, 85, 64), (5, 80, 64), (4, 85, 3)])
+def test_components(spark, words, percent, lists):
+    rows = awkward_rows() + _family(90)
+    got = order_join.similar_components(with_clashes(docs(spark, rows)), words, percent, list_rows=lists).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == _brute_components(rows, words, percent)
+
+
+def test_one_of_each(spark):
+    rows = awkward_rows() + _family(30)
+    df = with_clashes(docs(spark, rows))
+    kept = order_join.one_of_each(df)
+    assert kept.columns == df.columns
+    parts = _brute_components(rows, 4, 85)
+    expected = {c for (d, n, c) in parts if n} | {d for (d, n, c) in parts if not n}
+    got = [r.doc_id for r in kept.collect()]
+    assert set(got) == expected
+    assert order_join.one_of_each(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_bitmaps_never_rule_out_a_link():
+    import random
+
+    r = random.Random(1)
+    for _ in range(300):
+        n = r.randrange(1, 400)
+        a = {r.getrandbits(64) for _ in range(n)}
+        b = set(list(a)[r.randrange(0, max(1, n // 5)):]) | {r.getrandbits(64) for _ in range(r.randrange(0, 20))}
+        if not b:
+            continue
+        both = len(a & b)
+        x, y = (order_join._parity(np.unique(np.array(list(s), np.uint64))) for s in (a, b))
+        if 100 * both >= 85 * (len(a) + len(b) - both):
+            assert order_join._may_link(x, y, len(a), len(b), 85)
