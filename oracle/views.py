@@ -1,6 +1,6 @@
 """DuckDB text of the eight competition views (FIXTURES.md §3), with explicit
 casts so column types equal the Spark schemas. Used only by the oracle SQL:
-each oracle query is ``WITH <views> <report query>``.
+each oracle query is ``WITH <views>, <shared relations> <report query>``.
 """
 
 from __future__ import annotations
@@ -66,7 +66,7 @@ from supplier""",
     "races": """
 select cast(s_suppkey * 20 + k + 1 as bigint) as id,
   cast(s_suppkey + 1 as bigint) as competition_id,
-  cast((s_suppkey * 7 + k) % 200 + 1 as bigint) as event_id,
+  cast(s_suppkey * 20 + k + 1 as bigint) as event_id,
   cast(date '1995-01-01' + cast((s_suppkey * 53) % 2400 + k % 3 as integer) as date) as race_date,
   CASE k % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Final' WHEN 2 THEN 'Heat' ELSE 'Semifinal' END as race_type
 from supplier cross join (select p_partkey as k from part where p_partkey < 20) ks""",
@@ -80,14 +80,9 @@ select cast(((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_
   CASE WHEN l_linenumber = 2 AND l_returnflag = 'N' THEN NULL
        WHEN l_linenumber = 6 OR l_suppkey % 17 = 0 THEN ''
        ELSE cast(cast(floor(l_extendedprice) as bigint) as varchar) END as mark,
-  cast(l_discount as double) as wind,
-  CASE WHEN l_tax = 0 THEN cast(0 as double) ELSE cast(l_quantity * 20 as double) END as points,
+  cast(CASE l_linenumber WHEN 1 THEN 2.0 WHEN 3 THEN -1.0 WHEN 4 THEN 0.00005 ELSE l_discount END as double) as wind,
+  CASE WHEN l_tax = 0 THEN cast(0 as double) WHEN l_linenumber = 2 THEN cast(l_quantity + 0.5 as double) ELSE cast(l_quantity * 20 as double) END as points,
   l_returnflag = 'A' as qualified
 from lineitem join orders on l_orderkey = o_orderkey""",
 }
 
-
-def with_views(query: str) -> str:
-    """``WITH`` all eight views, then ``query``."""
-    ctes = ",\n".join(f"{n} AS ({body}\n)" for n, body in VIEWS.items())
-    return f"WITH {ctes}\n{query.strip()}"

@@ -120,10 +120,12 @@ def finish_tier(place: str | Column = "place") -> Column:
 
 
 def wind_text(w: str | Column = "wind") -> Column:
-    """'<wind> m/s'; 0 and NULL show '-'."""
+    """'<wind> m/s'; 0 and NULL show '-'. The number is printed in full, with
+    neither a trailing '.0' nor an exponent: 2 m/s, 0.00005 m/s."""
     w = c(w)
+    plain = F.regexp_replace(w.cast("string").cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
     return (F.when(w.isNull() | (w == 0), F.lit(NO_VALUE))
-             .otherwise(F.concat(w.cast("string"), F.lit(WIND_UNIT))))
+             .otherwise(F.concat(plain, F.lit(WIND_UNIT))))
 
 
 def points_text(p: str | Column = "points") -> Column:

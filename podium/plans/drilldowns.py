@@ -132,6 +132,11 @@ def competition_athletes(t: Tables, competition_id: int, page_no: int = 1,
                 PageSpec(page_no, per_page, LIST_PAGE_CAP))
 
 
+def competition_participants_count(t: Tables, competition_id: int) -> DataFrame:
+    """The true total of :func:`competition_athletes`: its rows."""
+    return _total(competition_participants(t, competition_id))
+
+
 def competition_athletes_count(t: Tables, competition_id: int) -> DataFrame:
     """The reference's participant total: distinct result names."""
     r = results_of_competition(t, competition_id, valid_results(t))

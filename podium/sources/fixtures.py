@@ -128,7 +128,7 @@ def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
              .select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(RACES_PER_COMPETITION - 1))).alias("k"))
              .select((s * RACES_PER_COMPETITION + k + 1).alias("id"),
                      (s + 1).alias("competition_id"),
-                     ((s * 7 + k) % 200 + 1).alias("event_id"),
+                     (s * RACES_PER_COMPETITION + k + 1).alias("event_id"),
                      _days(SEASON_EPOCH, (s * 53) % 2400 + k % 3).alias("race_date"),
                      _case(k % 4, RACE_TYPES).alias("race_type")))
 
@@ -148,8 +148,10 @@ def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
                    F.when((ln == 2) & (F.col("l_returnflag") == "N"), F.lit(None).cast("string"))
                     .when((ln == 6) | (F.col("l_suppkey") % 17 == 0), F.lit(""))
                     .otherwise(F.floor(F.col("l_extendedprice")).cast("long").cast("string")).alias("mark"),
-                   F.col("l_discount").alias("wind"),
+                   F.when(ln == 1, F.lit(2.0)).when(ln == 3, F.lit(-1.0)).when(ln == 4, F.lit(0.00005))
+                    .otherwise(F.col("l_discount")).alias("wind"),
                    F.when(F.col("l_tax") == 0, F.lit(0.0))
+                    .when(ln == 2, F.col("l_quantity") + F.lit(0.5))
                     .otherwise(F.col("l_quantity") * 20).alias("points"),
                    (F.col("l_returnflag") == "A").alias("qualified")))
 
