@@ -2,19 +2,25 @@
 
 PostgreSQL puts NULLs last ascending and first descending; Spark does the
 opposite by default, so every sort key here spells its placement out. A page
-is ``orderBy(..).offset(o).limit(n)``, which Spark plans as one
+that ends within the first :data:`TOP_K_ROWS` rows is
+``orderBy(..).offset(o).limit(n)``, which Spark plans as one
 ``TakeOrderedAndProject``: each task keeps its best ``o + n`` rows and only
-those reach the final merge, so no full sort or shuffle of the input happens.
+those reach the final merge. A page further on, or a larger one, is cut out of
+a distributed sort by row position, so no task ever holds ``o + n`` rows. Both
+give the same rows; :func:`seek_page` (``after=`` of every paged report) costs
+the same however deep the page is.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import c
+from ..session import scratch_dir
 
 # ---- fixed values -----------------------------------------------------------
 LIST_PAGE_CAP = 200          # v2 lists and competition participants
@@ -23,10 +29,9 @@ AUTOCOMPLETE_DEFAULT = 10
 LIST_PAGE_SIZE = 50
 RESULTS_PAGE_SIZE = 100
 ATHLETE_SORT_FIELDS = ("full_name", "family_name", "given_name", "country_code", "birth_date")
-# A page is a top-k whose rows end up in one task; larger row sets are read
-# through the unpaged ``*_rows`` reports, which stay distributed.
-MAX_PAGE_ROWS = 100_000
-SORT_ORDERS = ("ASC", "DESC")
+# Rows that one task merges for a top-k page; pages that end beyond are cut
+# out of a distributed sort instead.
+TOP_K_ROWS = 10_000
 # -----------------------------------------------------------------------------
 
 
@@ -40,12 +45,15 @@ def desc(x: str | Column) -> Column:
     return c(x).desc_nulls_first()
 
 
-def athlete_sort(sort_by: str = "full_name", sort_order: str = "ASC") -> list[Column]:
+def athlete_sort_keys(sort_by: str = "full_name", sort_order: str = "ASC") -> list[tuple[str, bool]]:
     """Allow-listed dynamic sort; anything not listed falls back to
     ``full_name ASC``. ``id`` breaks ties so pages are stable."""
     field = sort_by if sort_by in ATHLETE_SORT_FIELDS else "full_name"
-    order = sort_order if sort_order in SORT_ORDERS else "ASC"
-    return [asc(field) if order == "ASC" else desc(field), asc("id")]
+    return [(field, sort_order == "DESC"), ("id", False)]
+
+
+def athlete_sort(sort_by: str = "full_name", sort_order: str = "ASC") -> list[Column]:
+    return [desc(name) if descending else asc(name) for name, descending in athlete_sort_keys(sort_by, sort_order)]
 
 
 @dataclass(frozen=True)
@@ -59,9 +67,6 @@ class PageSpec:
             raise ValueError("page must be >= 1")
         if int(self.per_page) < 1:
             raise ValueError("per_page must be >= 1")
-        if self.size > MAX_PAGE_ROWS:
-            raise ValueError(f"pages hold at most {MAX_PAGE_ROWS} rows; read larger row sets "
-                             "through the unpaged *_rows reports")
 
     @property
     def size(self) -> int:
@@ -72,14 +77,58 @@ class PageSpec:
         return (self.page - 1) * self.size
 
 
-def page(df: DataFrame, order: list[Column], spec: PageSpec) -> DataFrame:
-    """One page of ``df`` in ``order`` (which should end in a unique key)."""
+Key = tuple[str, bool]  # (column, descending)
+
+
+def order_of(keys: list[Key] | list[Column]) -> list[Column]:
+    """The sort expressions of ``keys`` (sort expressions stay as they are)."""
+    return [k if isinstance(k, Column) else desc(k[0]) if k[1] else asc(k[0]) for k in keys]
+
+
+def page(df: DataFrame, keys: list[Key] | list[Column], spec: PageSpec, after: tuple | None = None) -> DataFrame:
+    """One page of ``df`` sorted by ``keys`` (which should end in a unique
+    key). With ``after`` (the sort-key values of the last row seen; needs keys
+    by name) the page that follows that row, whatever ``spec.page`` says."""
+    if after is not None:
+        return seek_page(df, keys, after, spec.size)
+    order = order_of(keys)
+    if spec.offset + spec.size > TOP_K_ROWS:
+        return _cut(df, order, spec.offset, spec.size)
     out = df.orderBy(*order)
     if spec.offset:
         out = out.offset(spec.offset)
     return out.limit(spec.size)
 
 
+def _cut(df: DataFrame, order: list[Column], offset: int, size: int) -> DataFrame:
+    """Rows ``offset`` to ``offset + size`` of the sorted ``df``.
+
+    The sorted rows are written to the shared folder, range-partitioned, with
+    their place in the partition. One count per partition (as many rows as
+    there are partitions) gives each partition's first position; then only the
+    partitions that the page touches are read.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    path = scratch_dir(df.sparkSession, f"page-{uuid.uuid4().hex}")
+    # The low 33 bits number the rows inside a partition, in sorted order.
+    at = F.monotonically_increasing_id()
+    ranged.withColumns({"_part": F.shiftright(at, 33), "_at": at.bitwiseAND(F.lit((1 << 33) - 1))}).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    first, touched = 0, []
+    for r in rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect():
+        if first < offset + size and first + r["n"] > offset:
+            touched.append((r["_part"], first))
+        first += r["n"]
+    if not touched:
+        return rows.drop("_part", "_at").limit(0)
+    # One row per touched partition, and those lie side by side.
+    firsts = df.sparkSession.createDataFrame(touched, "_part long, _first long")
+    near = rows.filter(F.col("_part").between(touched[0][0], touched[-1][0])).join(F.broadcast(firsts), "_part")
+    position = F.col("_first") + F.col("_at")
+    return (near.filter(position.between(offset, offset + size - 1)).withColumn("_at", position)
+            .orderBy("_at").drop("_part", "_at", "_first"))
+
+
 def page_info(total: DataFrame, spec: PageSpec, total_col: str = "total") -> DataFrame:
     """Page metadata from a one-row total: page, per_page, total, pages and
     the ``from``-``to`` range shown under a table."""
@@ -126,5 +175,5 @@ def seek_page(df: DataFrame, keys: list[tuple[str, bool]], after: tuple | None,
                 term = term & F.col(pname).eqNullSafe(F.lit(after[j]))
             pred = term if pred is None else pred | term
         out = out.filter(pred)
-    order = [desc(n) if d else asc(n) for n, d in keys]
-    return out.orderBy(*order).limit(size)
+    order = order_of(keys)
+    return _cut(out, order, 0, size) if size > TOP_K_ROWS else out.orderBy(*order).limit(size)

@@ -16,12 +16,15 @@ from ..functions.exprs import category_or_default, race_type_or_default, valid_m
 from ..operators.facts import (RESULT_COLS, first_per_key, join_dim,
                                results_of_competition, valid_results,
                                with_athletes, with_race_context)
-from ..operators.paging import (LIST_PAGE_CAP, RESULTS_PAGE_SIZE, PageSpec,
+from ..operators.paging import (LIST_PAGE_CAP, RESULTS_PAGE_SIZE, Key, PageSpec,
                                 asc, desc, page)
 from ..sources.tables import Tables
 
 V1_ATHLETE_PAGE_SIZE = 50
 
+NEWEST_RACE: list[Key] = [("race_date", True), ("place", False), ("id", False)]
+NEWEST_LINKED: list[Key] = [("race_date", True), ("id", False)]
+
 
 def _total(df: DataFrame, name: str = "total") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias(name))
@@ -70,12 +73,16 @@ def _v1_rows(t: Tables, r: DataFrame) -> DataFrame:
 # --- per competition ----------------------------------------------------------
 
 def competition_results_basic(t: Tables, competition_id: int, page_no: int = 1,
-                              per_page: int = RESULTS_PAGE_SIZE) -> DataFrame:
+                              per_page: int = RESULTS_PAGE_SIZE, after: tuple | None = None) -> DataFrame:
     """v1: every result (no mark test) of linked athletes only (inner join);
     race's own date; newest race first, then place."""
     r = results_of_competition(t, competition_id, cols=V1_CONTEXT)
-    return page(_v1_rows(t, r), [desc("race_date"), asc("place"), asc("id")],
-                PageSpec(page_no, per_page))
+    return page(_v1_rows(t, r), NEWEST_RACE, PageSpec(page_no, per_page), after)
+
+
+def competition_results_basic_count(t: Tables, competition_id: int) -> DataFrame:
+    """The true total of :func:`competition_results_basic`."""
+    return _total(_v1_rows(t, results_of_competition(t, competition_id, cols=V1_CONTEXT)))
 
 
 def competition_result_rows(t: Tables, competition_id: int) -> DataFrame:
@@ -87,10 +94,9 @@ def competition_result_rows(t: Tables, competition_id: int) -> DataFrame:
 
 
 def competition_results(t: Tables, competition_id: int, page_no: int = 1,
-                        per_page: int = RESULTS_PAGE_SIZE) -> DataFrame:
+                        per_page: int = RESULTS_PAGE_SIZE, after: tuple | None = None) -> DataFrame:
     """v2: a page of the competition's valid results, newest first, then place."""
-    return page(competition_result_rows(t, competition_id), [desc("race_date"), asc("place"), asc("id")],
-                PageSpec(page_no, per_page))
+    return page(competition_result_rows(t, competition_id), NEWEST_RACE, PageSpec(page_no, per_page), after)
 
 
 def competition_results_count(t: Tables, competition_id: int) -> DataFrame:
@@ -102,6 +108,9 @@ PARTICIPANT_COLS = ["id", "full_name", "family_name", "given_name", "country_cod
                     "events_participated"]
 
 
+MOST_ACTIVE: list[Key] = [("result_count", True)] + [(c, False) for c in PARTICIPANT_COLS if c != "result_count"]
+
+
 def competition_participants(t: Tables, competition_id: int) -> DataFrame:
     """Participants: one row per distinct (result name, athlete, nationality,
     country) combination with results, best place and distinct events.
@@ -124,12 +133,11 @@ def competition_participants(t: Tables, competition_id: int) -> DataFrame:
 
 
 def competition_athletes(t: Tables, competition_id: int, page_no: int = 1,
-                         per_page: int = RESULTS_PAGE_SIZE) -> DataFrame:
+                         per_page: int = RESULTS_PAGE_SIZE, after: tuple | None = None) -> DataFrame:
     """A page of participants, most results first (page size capped at 200).
     Every output column takes part in the order, so pages are stable."""
-    order = [desc("result_count")] + [asc(c) for c in PARTICIPANT_COLS if c != "result_count"]
-    return page(competition_participants(t, competition_id), order,
-                PageSpec(page_no, per_page, LIST_PAGE_CAP))
+    return page(competition_participants(t, competition_id), MOST_ACTIVE,
+                PageSpec(page_no, per_page, LIST_PAGE_CAP), after)
 
 
 def competition_participants_count(t: Tables, competition_id: int) -> DataFrame:
@@ -146,14 +154,23 @@ def competition_athletes_count(t: Tables, competition_id: int) -> DataFrame:
 # --- per athlete --------------------------------------------------------------
 
 def athlete_results_basic(t: Tables, athlete_id: int, page_no: int = 1,
-                          per_page: int = V1_ATHLETE_PAGE_SIZE) -> DataFrame:
+                          per_page: int = V1_ATHLETE_PAGE_SIZE, after: tuple | None = None) -> DataFrame:
     """v1: results linked to the athlete id (no mark test), newest race first."""
+    return page(athlete_result_rows_basic(t, athlete_id), NEWEST_LINKED, PageSpec(page_no, per_page), after)
+
+
+def athlete_results_basic_count(t: Tables, athlete_id: int) -> DataFrame:
+    """The true total of :func:`athlete_results_basic`."""
+    return _total(athlete_result_rows_basic(t, athlete_id))
+
+
+def athlete_result_rows_basic(t: Tables, athlete_id: int) -> DataFrame:
+    """All v1 result rows linked to an athlete id, unpaged and distributed."""
     r = t.results_for_athletes.filter(F.col("athlete_id") == F.lit(athlete_id))
     j = with_race_context(t, r, V1_CONTEXT + ["competition_name", "venue"])
-    rows = j.select(*RESULT_COLS, "race_date", "race_type", "event_title", "discipline_code",
+    return j.select(*RESULT_COLS, "race_date", "race_type", "event_title", "discipline_code",
                     F.col("d_name").alias("discipline_name"), F.col("d_category").alias("category"),
                     "competition_name", "venue")
-    return page(rows, [desc("race_date"), asc("id")], PageSpec(page_no, per_page))
 
 
 def athlete_name(t: Tables, athlete_id: int) -> tuple[bool, str | None]:
@@ -171,20 +188,22 @@ def _athlete_identity(athlete_id: int, name: str | None):
 
 
 def athlete_results(t: Tables, athlete_id: int, page_no: int = 1,
-                    per_page: int = RESULTS_PAGE_SIZE, order: str = "id") -> DataFrame:
+                    per_page: int = RESULTS_PAGE_SIZE, order: str = "id", after: tuple | None = None,
+                    person: tuple[bool, str | None] | None = None) -> DataFrame:
     """v2: valid results of an athlete by id, plus orphans with the athlete's
     exact name; one row per result id (newest competition, best place).
     ``order='id'`` is the reference's order; ``'recent'`` is newest first.
     An unknown athlete gives no rows."""
-    rows = athlete_result_rows(t, athlete_id)
-    sort = [asc("id")] if order == "id" else [desc("start_date"), asc("place"), asc("id")]
-    return page(rows, sort, PageSpec(page_no, per_page))
+    rows = athlete_result_rows(t, athlete_id, person)
+    sort: list[Key] = [("id", False)] if order == "id" else [("start_date", True), ("place", False), ("id", False)]
+    return page(rows, sort, PageSpec(page_no, per_page), after)
 
 
-def athlete_result_rows(t: Tables, athlete_id: int) -> DataFrame:
+def athlete_result_rows(t: Tables, athlete_id: int, person: tuple[bool, str | None] | None = None) -> DataFrame:
     """All v2 result rows of an athlete (by id, plus orphans with the exact
-    name), one per result id, unpaged and distributed."""
-    found, name = athlete_name(t, athlete_id)
+    name), one per result id, unpaged and distributed. ``person`` is what
+    :func:`athlete_name` gave, if that is known already."""
+    found, name = person or athlete_name(t, athlete_id)
     r = valid_results(t, t.results_for_athletes).filter(
         _athlete_identity(athlete_id, name) if found else F.lit(False))
     rows = _v2_columns(_v2_rows(t, r, ["competition_name"]),
@@ -192,8 +211,8 @@ def athlete_result_rows(t: Tables, athlete_id: int) -> DataFrame:
     return first_per_key(rows, "id", [desc("start_date"), asc("place")])
 
 
-def athlete_results_count(t: Tables, athlete_id: int) -> DataFrame:
-    found, name = athlete_name(t, athlete_id)
+def athlete_results_count(t: Tables, athlete_id: int, person: tuple[bool, str | None] | None = None) -> DataFrame:
+    found, name = person or athlete_name(t, athlete_id)
     r = valid_results(t, t.results_for_athletes).filter(
         _athlete_identity(athlete_id, name) if found else F.lit(False))
     return r.agg(F.count_distinct("id").alias("total"))
@@ -207,11 +226,10 @@ def _by_name_filter(name: str) -> tuple[str, object]:
 
 
 def athlete_results_by_name(t: Tables, name: str, page_no: int = 1,
-                            per_page: int = RESULTS_PAGE_SIZE) -> DataFrame:
+                            per_page: int = RESULTS_PAGE_SIZE, after: tuple | None = None) -> DataFrame:
     """Valid results whose own ``athlete_name`` matches the ILIKE term
     (stripped, at least two characters), newest competition first."""
-    return page(athlete_result_rows_by_name(t, name), [desc("race_date"), asc("place"), asc("id")],
-                PageSpec(page_no, per_page))
+    return page(athlete_result_rows_by_name(t, name), NEWEST_RACE, PageSpec(page_no, per_page), after)
 
 
 def athlete_result_rows_by_name(t: Tables, name: str) -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions import search as S
 from ..operators.facts import join_dim, valid_results
+from ..operators.joins import one_row
 from ..operators.paging import (AUTOCOMPLETE_CAP, AUTOCOMPLETE_DEFAULT,
-                                LIST_PAGE_CAP, LIST_PAGE_SIZE, PageSpec, asc,
-                                athlete_sort, desc, page, page_info)
+                                LIST_PAGE_CAP, LIST_PAGE_SIZE, Key, PageSpec, asc,
+                                athlete_sort_keys, page, page_info)
 from ..sources.tables import Tables
 
 
@@ -35,40 +36,56 @@ def _searched_competitions(t: Tables, term: str | None, min_len: int = 1,
     return c if pred is None else c.filter(pred)
 
 
+NEWEST: list[Key] = [("start_date", True), ("id", False)]
+MOST_RESULTS: list[Key] = [("result_count", True), *NEWEST]
+BY_NAME: list[Key] = [("full_name", False), ("id", False)]
+
+
 def competitions_list_basic(t: Tables, search: str | None = None, page_no: int = 1,
-                            per_page: int = LIST_PAGE_SIZE) -> DataFrame:
+                            per_page: int = LIST_PAGE_SIZE, after: tuple | None = None) -> DataFrame:
     """v1: all matching competitions, newest first (no page cap)."""
-    c = _searched_competitions(t, search)
-    return page(c, [desc("start_date"), asc("id")], PageSpec(page_no, per_page))
+    return page(_searched_competitions(t, search), NEWEST, PageSpec(page_no, per_page), after)
+
+
+def competitions_basic_count(t: Tables, search: str | None = None) -> DataFrame:
+    """The true total of :func:`competitions_list_basic`."""
+    return _total(_searched_competitions(t, search))
 
 
-def valid_results_per_competition(t: Tables) -> DataFrame:
-    """``(competition_id, result_count)`` of valid results.
+def _valid_of(t: Tables, competitions: DataFrame) -> DataFrame:
+    """``(competition_id, n)`` parts of the valid results of the given
+    competitions (a frame with ``id``): their races are picked first, so that
+    the fact only meets races that matter.
 
-    The fact is aggregated by ``race_id`` first (map-side partial counts, one
-    row per race leaves each task), then rolled up through the races
-    dimension — the shuffle never carries result rows.
+    Within the races bound each result probes the broadcast races; beyond it
+    the fact is counted per ``race_id`` first (map-side partial counts), so
+    the shuffle carries one row per race.
     """
-    per_race = valid_results(t).groupBy("race_id").agg(F.count("id").alias("n"))
-    j = join_dim(t, per_race, "races", "race_id", {"competition_id": "competition_id"})
-    return j.groupBy("competition_id").agg(F.sum("n").cast("long").alias("result_count"))
+    ids = t.dim("competitions", competitions.select(F.col("id").alias("_c")))
+    races = (t.races.select(F.col("id").alias("_race"), "competition_id")
+             .join(ids, F.col("competition_id") == F.col("_c")).drop("_c"))
+    valid = valid_results(t).select("race_id")
+    if t.broadcastable("races"):
+        valid = valid.withColumn("n", F.lit(1).cast("long"))
+    else:
+        valid = valid.groupBy("race_id").agg(F.count(F.lit(1)).alias("n"))
+    return valid.join(t.dim("races", races), F.col("race_id") == F.col("_race")).select("competition_id", "n")
 
 
 def _competitions_with_results(t: Tables, term: str | None) -> DataFrame:
+    """Matching competitions with their ``result_count``; HAVING COUNT > 0
+    makes the outer joins to races and results inner."""
     c = _searched_competitions(t, term)
-    # one row per competition at most: the competitions bound covers it
-    counts = t.dim("competitions", valid_results_per_competition(t))
-    # HAVING COUNT(r.id) > 0 makes the outer joins to races/results inner.
-    return c.join(counts, F.col("id") == F.col("competition_id")).drop("competition_id")
+    counts = (_valid_of(t, c).groupBy("competition_id").agg(F.sum("n").cast("long").alias("result_count")))
+    # counted for existing competitions only, so the competitions bound covers it
+    return c.join(t.dim("competitions", counts), F.col("id") == F.col("competition_id")).drop("competition_id")
 
 
 def competitions_list(t: Tables, search: str | None = None, page_no: int = 1,
-                      per_page: int = LIST_PAGE_SIZE) -> DataFrame:
+                      per_page: int = LIST_PAGE_SIZE, after: tuple | None = None) -> DataFrame:
     """v2: competitions having valid results, with ``result_count``, most
     results first; page size capped at 200."""
-    c = _competitions_with_results(t, search)
-    return page(c, [desc("result_count"), desc("start_date"), asc("id")],
-                PageSpec(page_no, per_page, LIST_PAGE_CAP))
+    return page(_competitions_with_results(t, search), MOST_RESULTS, PageSpec(page_no, per_page, LIST_PAGE_CAP), after)
 
 
 def competitions_with_results_count(t: Tables, search: str | None = None) -> DataFrame:
@@ -80,12 +97,10 @@ def competitions_count(t: Tables, search: str | None = None) -> DataFrame:
     """The total as the reference computes it: all matching competitions
     (term stripped, two characters or more), or 0 when none of them has a
     valid result."""
-    c = _searched_competitions(t, search, min_len=2, strip=True).select(F.col("id").alias("c_id"))
-    counts = t.dim("competitions", valid_results_per_competition(t))
-    j = c.join(counts, F.col("c_id") == F.col("competition_id"), "left")
-    agg = j.agg(F.count_distinct("c_id").alias("n"),
-                F.coalesce(F.sum("result_count"), F.lit(0)).alias("r"))
-    return agg.select(F.when(F.col("r") > 0, F.col("n")).otherwise(F.lit(0)).cast("long").alias("total"))
+    c = _searched_competitions(t, search, min_len=2, strip=True)
+    scored = _valid_of(t, c).limit(1).agg(F.count(F.lit(1)).alias("scored"))
+    row = one_row(c.agg(F.count_distinct("id").alias("n")), scored)
+    return row.select(F.when(F.col("scored") > 0, F.col("n")).otherwise(F.lit(0)).cast("long").alias("total"))
 
 
 # --- athletes -----------------------------------------------------------------
@@ -95,14 +110,21 @@ def athletes_labelled(t: Tables) -> DataFrame:
                     dim_key="code")
 
 
-def athletes_list_basic(t: Tables, search: str | None = None, page_no: int = 1,
-                        per_page: int = LIST_PAGE_SIZE) -> DataFrame:
-    """v1: names or country name contain the raw term; by full name."""
+def _searched_athletes_basic(t: Tables, search: str | None) -> DataFrame:
     a = athletes_labelled(t)
     pred = S.athlete_search_basic(search)
-    if pred is not None:
-        a = a.filter(pred)
-    return page(a, [asc("full_name"), asc("id")], PageSpec(page_no, per_page))
+    return a if pred is None else a.filter(pred)
+
+
+def athletes_list_basic(t: Tables, search: str | None = None, page_no: int = 1,
+                        per_page: int = LIST_PAGE_SIZE, after: tuple | None = None) -> DataFrame:
+    """v1: names or country name contain the raw term; by full name."""
+    return page(_searched_athletes_basic(t, search), BY_NAME, PageSpec(page_no, per_page), after)
+
+
+def athletes_basic_count(t: Tables, search: str | None = None) -> DataFrame:
+    """The true total of :func:`athletes_list_basic`."""
+    return _total(_searched_athletes_basic(t, search))
 
 
 def _searched_athletes(t: Tables, search: str | None) -> DataFrame:
@@ -113,10 +135,10 @@ def _searched_athletes(t: Tables, search: str | None) -> DataFrame:
 
 def athletes_list(t: Tables, search: str | None = None, sort_by: str = "full_name",
                   sort_order: str = "ASC", page_no: int = 1,
-                  per_page: int = LIST_PAGE_SIZE) -> DataFrame:
+                  per_page: int = LIST_PAGE_SIZE, after: tuple | None = None) -> DataFrame:
     """v2: gated two-mode search, allow-listed sort, page size capped at 200."""
-    return page(_searched_athletes(t, search), athlete_sort(sort_by, sort_order),
-                PageSpec(page_no, per_page, LIST_PAGE_CAP))
+    return page(_searched_athletes(t, search), athlete_sort_keys(sort_by, sort_order),
+                PageSpec(page_no, per_page, LIST_PAGE_CAP), after)
 
 
 def athletes_count(t: Tables, search: str | None = None) -> DataFrame:
@@ -128,7 +150,7 @@ def athletes_autocomplete(t: Tables, q: str | None, limit: int = AUTOCOMPLETE_DE
     a = _searched_athletes(t, q).select("id", "full_name", "country_name", "country_code")
     if S.gate(q, min_len=2, strip=True) is None:
         return a.limit(0)
-    return page(a, athlete_sort("full_name", "ASC"), PageSpec(1, min(int(limit), AUTOCOMPLETE_CAP)))
+    return page(a, athlete_sort_keys(), PageSpec(1, min(int(limit), AUTOCOMPLETE_CAP)))
 
 
 def competition_picker(t: Tables, term: str) -> DataFrame:

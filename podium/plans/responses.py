@@ -2,9 +2,8 @@
 layer: one page of rows plus its pagination block (or total), both lazy
 DataFrames, and their JSON envelope on demand.
 
-Totals follow the decisions in the README: the competition list pages with
-the corrected total (competitions that have results), the participant list
-with the original distinct-name total.
+Totals follow the decisions in the README: every page goes with the true total
+of its own rows (competitions that have results, participant rows).
 """
 
 from __future__ import annotations
@@ -16,9 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.paging import (AUTOCOMPLETE_CAP, LIST_PAGE_CAP, LIST_PAGE_SIZE,
-                                RESULTS_PAGE_SIZE, PageSpec, asc, athlete_sort, desc,
-                                page_info)
-from ..sources.sinks import envelope
+                                RESULTS_PAGE_SIZE, PageSpec, asc, athlete_sort_keys,
+                                desc, order_of, page_info)
+from ..sources.sinks import envelope, json_rows
 from ..sources.tables import Tables
 from . import dashboard as D
 from . import drilldowns as R
@@ -26,9 +25,9 @@ from . import listings as L
 from . import overview as O
 
 
-# Largest page gathered into one JSON envelope (one row, one task); bigger
-# outputs are written as JSON lines by ``sources.sinks.write_json``.
-ENVELOPE_MAX_ROWS = 10_000
+# Pages up to this size are folded into one JSON envelope (one row, one task);
+# larger ones come as distributed JSON lines.
+ENVELOPE_ROWS = 10_000
 
 
 @dataclass
@@ -38,25 +37,34 @@ class Response:
     order."""
     key: str
     rows: DataFrame
-    order: list[Column]
+    order: list
     size: int
     info: DataFrame | None = None
     extra: dict[str, object] = field(default_factory=dict)
 
     def to_json(self) -> DataFrame:
-        """The envelope as one JSON row; refused for pages over
-        :data:`ENVELOPE_MAX_ROWS` (write those as JSON lines instead)."""
-        if self.size > ENVELOPE_MAX_ROWS:
-            raise ValueError(f"page of {self.size} rows is too large for one envelope; "
-                             "use sources.sinks.write_json for the rows")
-        return envelope(self.rows, self.key, self.order, self.info, self.extra)
+        """The response as JSON (column ``json``). A page of at most
+        :data:`ENVELOPE_ROWS` rows is one envelope. A larger one is JSON lines
+        that add up to it: one line with the page block and the extra fields,
+        then one line ``{key: [row]}`` for each row, still distributed."""
+        if self.size <= ENVELOPE_ROWS:
+            return envelope(self.rows, self.key, order_of(self.order), self.info, self.extra)
+        fields = [F.lit(v).alias(k) for k, v in self.extra.items()]
+        spark = self.rows.sparkSession
+        head = spark.range(1).select(*fields) if self.info is None else self.info.select("*", *fields)
+        lines = self.rows.select(F.array(F.struct(*self.rows.columns)).alias(self.key))
+        return json_rows(head).union(json_rows(lines))
+
+    def write_json(self, path: str) -> None:
+        """:meth:`to_json` written as text files, one JSON document a line."""
+        self.to_json().write.mode("overwrite").text(path)
 
 
 def competitions(t: Tables, page_no: int = 1, per_page: int = LIST_PAGE_SIZE,
                  search: str | None = None) -> Response:
     spec = PageSpec(page_no, per_page, LIST_PAGE_CAP)
     return Response("competitions", L.competitions_list(t, search, page_no, per_page),
-                    [desc("result_count"), desc("start_date"), asc("id")], spec.size,
+                    L.MOST_RESULTS, spec.size,
                     page_info(L.competitions_with_results_count(t, search), spec))
 
 
@@ -64,14 +72,14 @@ def athletes(t: Tables, page_no: int = 1, per_page: int = LIST_PAGE_SIZE, search
              sort_by: str = "full_name", sort_order: str = "ASC") -> Response:
     spec = PageSpec(page_no, per_page, LIST_PAGE_CAP)
     return Response("athletes", L.athletes_list(t, search, sort_by, sort_order, page_no, per_page),
-                    athlete_sort(sort_by, sort_order), spec.size, page_info(L.athletes_count(t, search), spec))
+                    athlete_sort_keys(sort_by, sort_order), spec.size, page_info(L.athletes_count(t, search), spec))
 
 
 def competition_results(t: Tables, competition_id: int, page_no: int = 1,
                         per_page: int = RESULTS_PAGE_SIZE) -> Response:
     spec = PageSpec(page_no, per_page)
     return Response("results", R.competition_results(t, competition_id, page_no, per_page),
-                    [desc("race_date"), asc("place"), asc("id")], spec.size,
+                    R.NEWEST_RACE, spec.size,
                     page_info(R.competition_results_count(t, competition_id), spec),
                     {"competition_id": competition_id})
 
@@ -79,9 +87,8 @@ def competition_results(t: Tables, competition_id: int, page_no: int = 1,
 def competition_athletes(t: Tables, competition_id: int, page_no: int = 1,
                          per_page: int = RESULTS_PAGE_SIZE) -> Response:
     spec = PageSpec(page_no, per_page, LIST_PAGE_CAP)
-    order = [desc("result_count")] + [asc(c) for c in R.PARTICIPANT_COLS if c != "result_count"]
-    return Response("athletes", R.competition_athletes(t, competition_id, page_no, per_page), order,
-                    spec.size, page_info(R.competition_athletes_count(t, competition_id), spec),
+    return Response("athletes", R.competition_athletes(t, competition_id, page_no, per_page), R.MOST_ACTIVE,
+                    spec.size, page_info(R.competition_participants_count(t, competition_id), spec),
                     {"competition_id": competition_id})
 
 
@@ -90,9 +97,10 @@ def athlete_results(t: Tables, athlete_id: int, page_no: int = 1,
     """An unknown athlete gives an empty page and total 0 (the original
     answered 404)."""
     spec = PageSpec(page_no, per_page)
-    found, name = R.athlete_name(t, athlete_id)
-    return Response("results", R.athlete_results(t, athlete_id, page_no, per_page), [asc("id")],
-                    spec.size, page_info(R.athlete_results_count(t, athlete_id), spec),
+    person = R.athlete_name(t, athlete_id)  # one look-up for rows, total and name
+    found, name = person
+    return Response("results", R.athlete_results(t, athlete_id, page_no, per_page, person=person), [("id", False)],
+                    spec.size, page_info(R.athlete_results_count(t, athlete_id, person), spec),
                     {"athlete_id": athlete_id, "athlete_name": name, "found": found})
 
 
@@ -100,16 +108,63 @@ def athlete_results_by_name(t: Tables, name: str, page_no: int = 1,
                             per_page: int = RESULTS_PAGE_SIZE) -> Response:
     spec = PageSpec(page_no, per_page)
     return Response("results", R.athlete_results_by_name(t, name, page_no, per_page),
-                    [desc("race_date"), asc("place"), asc("id")], spec.size,
+                    R.NEWEST_RACE, spec.size,
                     page_info(R.athlete_results_by_name_count(t, name), spec),
                     {"athlete_name": name.strip()})
 
 
 def athlete_search(t: Tables, q: str | None, limit: int = 10) -> Response:
-    return Response("athletes", L.athletes_autocomplete(t, q, limit), athlete_sort("full_name", "ASC"),
+    return Response("athletes", L.athletes_autocomplete(t, q, limit), athlete_sort_keys(),
                     min(int(limit), AUTOCOMPLETE_CAP))
 
 
+# --- first API version ------------------------------------------------------------
+
+def competitions_basic(t: Tables, page_no: int = 1, per_page: int = LIST_PAGE_SIZE,
+                       search: str | None = None) -> Response:
+    spec = PageSpec(page_no, per_page)
+    return Response("competitions", L.competitions_list_basic(t, search, page_no, per_page), L.NEWEST, spec.size,
+                    page_info(L.competitions_basic_count(t, search), spec))
+
+
+def athletes_basic(t: Tables, page_no: int = 1, per_page: int = LIST_PAGE_SIZE,
+                   search: str | None = None) -> Response:
+    spec = PageSpec(page_no, per_page)
+    return Response("athletes", L.athletes_list_basic(t, search, page_no, per_page), L.BY_NAME, spec.size,
+                    page_info(L.athletes_basic_count(t, search), spec))
+
+
+def competition_results_basic(t: Tables, competition_id: int, page_no: int = 1,
+                              per_page: int = RESULTS_PAGE_SIZE) -> Response:
+    spec = PageSpec(page_no, per_page)
+    return Response("results", R.competition_results_basic(t, competition_id, page_no, per_page), R.NEWEST_RACE,
+                    spec.size, page_info(R.competition_results_basic_count(t, competition_id), spec),
+                    {"competition_id": competition_id})
+
+
+def athlete_results_basic(t: Tables, athlete_id: int, page_no: int = 1,
+                          per_page: int = R.V1_ATHLETE_PAGE_SIZE) -> Response:
+    spec = PageSpec(page_no, per_page)
+    return Response("results", R.athlete_results_basic(t, athlete_id, page_no, per_page), R.NEWEST_LINKED,
+                    spec.size, page_info(R.athlete_results_basic_count(t, athlete_id), spec),
+                    {"athlete_id": athlete_id})
+
+
+# --- whole dimensions ---------------------------------------------------------------
+
+def _dimension(t: Tables, name: str, rows: DataFrame, keys: list) -> Response:
+    total = t.table(name).agg(F.count(F.lit(1)).alias("total"))
+    return Response(name, rows, keys, t.rows(name), total)
+
+
+def disciplines(t: Tables) -> Response:
+    return _dimension(t, "disciplines", O.disciplines_list(t), [("discipline_name", False), ("discipline_code", False)])
+
+
+def countries(t: Tables) -> Response:
+    return _dimension(t, "countries", O.countries_list(t), [("name", False), ("code", False)])
+
+
 def stats(t: Tables) -> DataFrame:
     """The overview counts, one row."""
     return O.table_counts(t)
@@ -136,9 +191,9 @@ def country_stats_json(t: Tables, country: str = D.DEFAULT_COUNTRY,
                        countries: tuple[str, ...] = D.DEFAULT_COUNTRIES,
                        as_of: _dt.date | str | None = None) -> DataFrame:
     """The dashboard as one JSON document: the summary figures and one array
-    per section, in each section's order. Sections are small by construction
-    (at most ten rows, one per year, or one per listed country), so gathering
-    each into an array is bounded."""
+    per section, in each section's order. Each section has at most ten rows,
+    one per year, one per listed country, or (gender) one per spelling that
+    the data hold."""
     parts = country_stats(t, country, countries, as_of)
     orders = _section_orders()
     tagged = parts["summary"].select(F.lit("summary").alias("section"), F.lit(0).alias("_pos"),

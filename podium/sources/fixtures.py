@@ -13,7 +13,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import ATHLETE_LAYOUT, DEFAULT_BROADCAST_MAX_ROWS, Tables, from_frames
+from .tables import ATHLETE_LAYOUT, DEFAULT_BROADCAST_MAX_ROWS, Tables, from_frames, record_layouts
 
 # ---- fixed values (FIXTURES.md §3) -----------------------------------------
 # Country codes by key % 12; other keys get 'N' + two digits.
@@ -203,6 +203,7 @@ def write_lake(spark: SparkSession, sf_dir: str, out: str, results_files: int |
             df = df.repartitionByRange(results_files, *keys)
         (df.sortWithinPartitions(*keys).write.mode("overwrite")
            .parquet(os.path.join(out, ATHLETE_LAYOUT)))
+        record_layouts(spark, out)
     return out
 
 

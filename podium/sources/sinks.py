@@ -3,9 +3,16 @@ response envelope of a page."""
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_dir
+from .schemas import FACT, SCHEMAS
+from .tables import ATHLETE_LAYOUT, layouts_in_step, record_layouts
+
 
 def append(df: DataFrame, path: str, fmt: str = "parquet",
            partition_by: list[str] | None = None) -> int:
@@ -23,6 +30,30 @@ def append(df: DataFrame, path: str, fmt: str = "parquet",
     return int(obs.get["rows"])
 
 
+def append_results(df: DataFrame, path: str, fmt: str = "parquet") -> int:
+    """Append results to a lake, to the fact and to its athlete-sorted copy,
+    and return the number of rows.
+
+    The batch is first written to the shared folder, so both layouts get the
+    same rows even if ``df`` would not give them twice. The fact is written
+    first; only after both are complete are they recorded as equal. If the
+    append stops in between, or the copy was out of step before, readers use
+    the fact, which is always complete.
+    """
+    spark = df.sparkSession
+    batch_path = scratch_dir(spark, f"append-{uuid.uuid4().hex}")
+    columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[FACT]]
+    df.select(*columns).write.parquet(batch_path)
+    batch = spark.read.schema(SCHEMAS[FACT]).parquet(batch_path)
+    both = layouts_in_step(spark, path, fmt)
+    rows = append(batch.sortWithinPartitions("race_id", "id"), os.path.join(path, FACT), fmt)
+    if both:
+        keys = [F.col("athlete_id").asc_nulls_first(), F.col("athlete_name").asc_nulls_first(), F.col("id")]
+        append(batch.repartitionByRange(*keys).sortWithinPartitions(*keys), os.path.join(path, ATHLETE_LAYOUT), fmt)
+        record_layouts(spark, path, fmt)
+    return rows
+
+
 def append_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str],
                 batch_size: int = 10_000) -> int:
     """Append ``df`` to a database table (one transaction per partition)."""

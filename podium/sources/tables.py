@@ -10,6 +10,7 @@ The fact table ``results`` is never broadcast.
 
 from __future__ import annotations
 
+import hashlib
 import os
 from dataclasses import dataclass, field
 
@@ -83,6 +84,44 @@ def _conform(df: DataFrame, name: str) -> DataFrame:
 
 
 ATHLETE_LAYOUT = "results_by_athlete"
+LAYOUT_RECORD = "results_layouts"
+
+
+def _layout_state(spark: SparkSession, path: str, fmt: str) -> str | None:
+    """A fingerprint of the data files that the fact and its athlete-sorted
+    copy consist of right now; None without a copy. Every write adds or
+    replaces files under new names, so any write to either one changes it."""
+    names = []
+    for layout in (FACT, ATHLETE_LAYOUT):
+        try:
+            files = spark.read.format(fmt).schema(SCHEMAS[FACT]).load(os.path.join(path, layout)).inputFiles()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        names += sorted(f"{layout}/{f.rsplit('/', 1)[-1]}" for f in files)
+    return hashlib.sha256("\n".join(names).encode()).hexdigest()
+
+
+def record_layouts(spark: SparkSession, path: str, fmt: str = "parquet") -> None:
+    """Note that the fact and its copy hold the same rows, as they now are."""
+    state = _layout_state(spark, path, fmt)
+    if state is not None:
+        spark.createDataFrame([(state,)], "state string").coalesce(1).write.mode("overwrite").json(
+            os.path.join(path, LAYOUT_RECORD))
+
+
+def layouts_in_step(spark: SparkSession, path: str, fmt: str = "parquet") -> bool:
+    """Whether the copy holds the fact's rows: both consist of exactly the
+    files that were there when they were last recorded as equal. An append to
+    one of them, or one that was interrupted, leaves them out of step."""
+    try:
+        noted = spark.read.schema("state string").json(os.path.join(path, LAYOUT_RECORD)).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return noted is not None and noted["state"] == _layout_state(spark, path, fmt)
 
 
 def load_tables(spark: SparkSession, path: str, fmt: str = "parquet",
@@ -90,7 +129,7 @@ def load_tables(spark: SparkSession, path: str, fmt: str = "parquet",
                 with_athlete_layout: bool = True) -> Tables:
     """Read the eight tables from a lake folder (``<path>/<table>``), and the
     optional athlete-sorted copy of the fact (``<path>/results_by_athlete``)
-    when it exists.
+    when it holds the same rows (:func:`layouts_in_step`).
 
     The declared schema is passed to the reader, so no inference pass runs and
     column pruning / filter pushdown reach the files.
@@ -102,11 +141,8 @@ def load_tables(spark: SparkSession, path: str, fmt: str = "parquet",
             p = p + ".parquet"
         dfs[n] = spark.read.format(fmt).schema(schema).load(p)
     by_athlete = None
-    if with_athlete_layout:
-        try:
-            by_athlete = spark.read.format(fmt).schema(SCHEMAS[FACT]).load(os.path.join(path, ATHLETE_LAYOUT))
-        except AnalysisException:  # the layout is optional: no such folder
-            by_athlete = None
+    if with_athlete_layout and layouts_in_step(spark, path, fmt):
+        by_athlete = spark.read.format(fmt).schema(SCHEMAS[FACT]).load(os.path.join(path, ATHLETE_LAYOUT))
     return Tables(**dfs, broadcast_max_rows=broadcast_max_rows, results_by_athlete=by_athlete)
 
 
