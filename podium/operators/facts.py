@@ -33,7 +33,7 @@ def join_dim(t: Tables, df: DataFrame, dim_name: str, key: str,
     k = f"_k_{dim_name}"
     d = src.select(F.col(dim_key).alias(k), *[F.col(s).alias(a) for a, s in cols.items()])
     if how == "left" and df.schema[key].nullable and spread_by in df.columns:
-        return left_join_nullable(t, df, key, dim_name, d, k, spread_by).drop(k)
+        return left_join_nullable(t, df, key, dim_name, d, k, spread_by, dim is not None).drop(k)
     return lookup(t, df, dim_name, d, F.col(key) == F.col(k), how).drop(k)
 
 
@@ -176,39 +176,36 @@ def attributed_results(t: Tables, countries: list[str],
     return owned.filter(F.col("owner_country").isNotNull()).drop("a_full_name", "a_country_code")
 
 
-def owner_groups(t: Tables, countries: list[str], athlete_cols: dict[str, str] | None = None,
-                 results: DataFrame | None = None) -> DataFrame:
-    """Valid results joined to the athletes of ``countries`` as weighted rows
-    ``(athlete_id, athlete_name, nationality, n, owner_name, owner_country,
-    <athlete_cols>)``; ``n`` is the number of results a row stands for.
-
-    Within the athletes bound each result is one row (``n`` = 1) probing the
-    broadcast athletes map-side, and the caller's aggregation combines
-    partially. Beyond it, results are first counted per
-    ``(athlete_id, athlete_name, nationality)`` so the shuffled join carries
-    one row per group instead of one per result; NULL ``athlete_id`` groups
-    are salted by a hash of name and nationality. Rows owned by nobody are
-    kept (``owner_country`` NULL) so callers can apply other rules. Reads
-    the athlete-sorted copy of the fact when present, where each task holds
+def owner_groups(t: Tables, countries: list[str], also: tuple[str, ...] = ()) -> DataFrame:
+    """Valid results as weighted rows ``(athlete_id, athlete_name,
+    nationality, <also>, n, owner_name, owner_country, a_country_code)``;
+    ``n`` is the number of results a row stands for.
+
+    While the athletes of ``countries`` fit a broadcast, each result is one
+    row (``n`` = 1) probing them map-side, and the caller's aggregation
+    combines partially. Beyond that, results are first counted per
+    ``(athlete_id, athlete_name, nationality, <also>)`` so the shuffled join
+    carries one row per group instead of one per result; NULL ``athlete_id``
+    groups are salted by a hash of the rest. Rows owned by nobody are kept
+    (``owner_country`` NULL) so callers can apply other rules. Reads the
+    athlete-sorted copy of the fact when it is in step, where each task holds
     a disjoint range of athletes and the aggregation by athlete or owner
     collapses map-side.
     """
-    r = valid_results(t, t.results_for_athletes if results is None else results).filter(
+    r = valid_results(t, t.results_for_athletes).filter(
         F.col("athlete_id").isNotNull() | F.col("nationality").isin(countries))
-    if t.broadcastable("athletes"):
-        g = r.select("athlete_id", "athlete_name", "nationality", F.lit(1).cast("long").alias("n"),
-                     F.col("id").alias("_spread"))
+    athletes = t.athletes.filter(F.col("country_code").isin(countries))
+    keys = ["athlete_id", "athlete_name", "nationality", *also]
+    if t.fits("athletes", athletes):
+        g = r.select(*keys, F.lit(1).cast("long").alias("n"), F.col("id").alias("_spread"))
     else:
-        g = (r.groupBy("athlete_id", "athlete_name", "nationality").agg(F.count("id").alias("n"))
-              .withColumn("_spread", F.xxhash64("athlete_name", "nationality")))
-    cols = {"a_full_name": "full_name", "a_country_code": "country_code"}
-    cols.update(athlete_cols or {})
-    j = join_dim(t, g, "athletes", "athlete_id", cols, "left",
-                 dim=t.athletes.filter(F.col("country_code").isin(countries)), spread_by="_spread")
+        g = r.groupBy(*keys).agg(F.count("id").alias("n")).withColumn("_spread", F.xxhash64(*keys[1:]))
+    j = join_dim(t, g, "athletes", "athlete_id", {"a_full_name": "full_name", "a_country_code": "country_code"}, "left",
+                 dim=athletes, spread_by="_spread")
     orphan = F.col("athlete_id").isNull()
     return (j.withColumn("owner_name", F.when(orphan, F.col("athlete_name")).otherwise(F.col("a_full_name")))
              .withColumn("owner_country", F.when(orphan, F.col("nationality")).otherwise(F.col("a_country_code")))
-             .drop("_spread"))
+             .drop("_spread", "a_full_name"))
 
 
 def first_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:

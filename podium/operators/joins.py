@@ -25,17 +25,19 @@ def lookup(t: Tables, df: DataFrame, dim_name: str, dim: DataFrame,
 
 
 def left_join_nullable(t: Tables, df: DataFrame, key: str, dim_name: str,
-                       dim: DataFrame, dim_key: str, spread_by: str = "id") -> DataFrame:
+                       dim: DataFrame, dim_key: str, spread_by: str = "id",
+                       is_subset: bool = False) -> DataFrame:
     """``df LEFT JOIN dim ON df.key = dim.dim_key`` where ``df.key`` may be NULL.
 
-    With a broadcast dimension this is one hash probe. Otherwise NULL keys
+    With a broadcast dimension (or subset of it, ``is_subset``) this is one
+    hash probe. Otherwise NULL keys
     (which can be a large share of the rows and would all hash to one
     shuffle partition) are salted: they join on the row's own ``spread_by``
     value instead, which spreads them over all partitions, and the
     ``key IS NOT NULL`` guard in the join condition keeps them unmatched.
     One scan, one shuffle, no hot partition.
     """
-    if t.broadcastable(dim_name):
+    if t.fits(dim_name, dim if is_subset else None):
         return df.join(F.broadcast(dim), F.col(key) == F.col(dim_key), "left")
     salted = F.coalesce(F.col(key), F.col(spread_by).cast(df.schema[key].dataType))
     return df.join(dim, (salted == F.col(dim_key)) & F.col(key).isNotNull(), "left")

@@ -18,8 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import category_or_default, gender_category, recent_floor
-from ..operators.facts import (attributed_results, join_dim, owner_groups,
-                               valid_results, with_athletes, with_race_context)
+from ..operators.facts import join_dim, owner_groups, valid_results, with_race_context
 from ..operators.joins import one_row
 from ..operators.paging import asc, desc
 from ..session import checkpointed
@@ -32,17 +31,18 @@ TOP_N = 10
 # -----------------------------------------------------------------------------
 
 
-def _or_rule_base(t: Tables, country: str) -> DataFrame:
-    """Valid results whose athlete's country or nationality is ``country``.
+def _or_rule(country: str):
+    """The result is the country's: its athlete's country or its nationality
+    is (``a_country_code`` is only known for athletes of joined countries)."""
+    return F.coalesce(F.col("a_country_code") == country, F.lit(False)) | F.coalesce(
+        F.col("nationality") == country, F.lit(False))
 
-    Only athletes of that country are joined (a subset of the dimension), so
-    ``a_country_code`` is non-NULL exactly when the athlete belongs to it.
-    """
-    r = valid_results(t, t.results_for_athletes).filter(
-        F.col("athlete_id").isNotNull() | (F.col("nationality") == country))
-    j = with_athletes(t, r, {"a_country_code": "country_code"}, "left",
-                      t.athletes.filter(F.col("country_code") == country))
-    return j.filter(F.col("a_country_code").isNotNull() | (F.col("nationality") == country))
+
+def _race_groups(t: Tables, countries: list[str], keep, *by) -> DataFrame:
+    """Valid results that satisfy ``keep``, counted (``n``) per ``by`` and
+    race: what the joins to the race context carry."""
+    g = owner_groups(t, countries, ("race_id",)).filter(keep)
+    return g.groupBy(*by, "race_id").agg(F.sum("n").cast("long").alias("n"))
 
 
 def _with_discipline(t: Tables, df: DataFrame, extra: list[str] | None = None) -> DataFrame:
@@ -53,6 +53,13 @@ def _with_discipline(t: Tables, df: DataFrame, extra: list[str] | None = None) -
              .withColumn("category", category_or_default("d_category")))
 
 
+def _summary_facts(g: DataFrame, country: str, or_rule) -> DataFrame:
+    """The two key figures that come from results, from weighted rows."""
+    return g.agg(F.count_distinct(F.when(F.col("owner_country") == country, F.col("owner_name")))
+                 .alias("athletes_with_results"),
+                 F.coalesce(F.sum(F.when(or_rule, F.col("n"))), F.lit(0)).cast("long").alias("total_results"))
+
+
 def _summary_row(t: Tables, country: str, facts: DataFrame) -> DataFrame:
     """The four key figures in one row (``facts`` carries the two figures
     computed from results)."""
@@ -75,11 +82,7 @@ def country_summary(t: Tables, country: str = DEFAULT_COUNTRY) -> DataFrame:
     country.
     """
     g = owner_groups(t, [country])
-    or_rule = F.col("a_country_code").isNotNull() | (F.col("nationality") == country)
-    facts = g.agg(F.count_distinct(F.when(F.col("owner_country") == country, F.col("owner_name")))
-                  .alias("athletes_with_results"),
-                  F.coalesce(F.sum(F.when(or_rule, F.col("n"))), F.lit(0)).cast("long").alias("total_results"))
-    return _summary_row(t, country, facts)
+    return _summary_row(t, country, _summary_facts(g, country, _or_rule(country)))
 
 
 def gender_distribution(t: Tables, country: str = DEFAULT_COUNTRY) -> DataFrame:
@@ -90,8 +93,9 @@ def gender_distribution(t: Tables, country: str = DEFAULT_COUNTRY) -> DataFrame:
 
 
 def _top_athletes(df: DataFrame, n: int) -> DataFrame:
+    """From weighted rows with owner and competition."""
     return (df.groupBy(F.col("owner_name").alias("full_name"), F.col("owner_country").alias("country_code"))
-              .agg(F.count("id").alias("result_count"),
+              .agg(F.sum("n").cast("long").alias("result_count"),
                    F.count_distinct("competition_id").alias("competition_count"))
               .orderBy(desc("result_count"), asc("full_name"), asc("country_code"))
               .limit(n))
@@ -99,14 +103,15 @@ def _top_athletes(df: DataFrame, n: int) -> DataFrame:
 
 def top_athletes(t: Tables, country: str = DEFAULT_COUNTRY, n: int = TOP_N) -> DataFrame:
     """Top ``n`` attributed athletes by results, with distinct competitions."""
-    a = with_race_context(t, attributed_results(t, [country]), ["competition_id"])
-    return _top_athletes(a, n)
+    g = _race_groups(t, [country], F.col("owner_country") == country, "owner_name", "owner_country")
+    return _top_athletes(with_race_context(t, g, ["competition_id"]), n)
 
 
 def _discipline_breakdown(df: DataFrame, n: int) -> DataFrame:
+    """From weighted rows with result name and discipline."""
     return (df.groupBy("discipline_name", "category")
               .agg(F.count_distinct("athlete_name").alias("athlete_count"),
-                   F.count("id").alias("result_count"))
+                   F.sum("n").cast("long").alias("result_count"))
               .filter(F.col("result_count") > 0)
               .orderBy(desc("result_count"), asc("discipline_name"), asc("category"))
               .limit(n))
@@ -115,7 +120,7 @@ def _discipline_breakdown(df: DataFrame, n: int) -> DataFrame:
 def discipline_breakdown(t: Tables, country: str = DEFAULT_COUNTRY, n: int = TOP_N) -> DataFrame:
     """Top ``n`` disciplines by results of the country (OR rule); athletes
     are distinct result names, so nameless results add none."""
-    return _discipline_breakdown(_with_discipline(t, _or_rule_base(t, country)), n)
+    return _discipline_breakdown(_with_discipline(t, _race_groups(t, [country], _or_rule(country), "athlete_name")), n)
 
 
 def _timeline_selection(t: Tables, country: str, as_of, years: int) -> tuple[DataFrame, DataFrame]:
@@ -168,13 +173,11 @@ def timeline(t: Tables, country: str = DEFAULT_COUNTRY,
     return _timeline_rollup(t, comps, sel, results_per_comp)
 
 
-def _regional(t: Tables, df: DataFrame, weight: str | None = None) -> DataFrame:
-    """Per owner country: distinct owner names and results (rows of ``df``,
-    or the sum of ``weight`` when ``df`` is pre-aggregated)."""
-    results = F.sum(weight).cast("long") if weight else F.count("id")
+def _regional(t: Tables, df: DataFrame) -> DataFrame:
+    """Per owner country of weighted rows: distinct owner names and results."""
     agg = (df.groupBy(F.col("owner_country").alias("country_code"))
              .agg(F.count_distinct("owner_name").alias("athlete_count"),
-                  results.alias("result_count")))
+                  F.sum("n").cast("long").alias("result_count")))
     out = join_dim(t, agg, "countries", "country_code", {"country_name": "name"}, "left",
                    dim_key="code")
     return (out.select("country_code", "country_name", "athlete_count", "result_count")
@@ -186,66 +189,44 @@ def regional_comparison(t: Tables, countries: tuple[str, ...] | list[str] = DEFA
     results; country names joined after aggregating. The fact is counted per
     (athlete, name, nationality) before the athlete join."""
     g = owner_groups(t, list(countries))
-    return _regional(t, g.filter(F.col("owner_country").isin(list(countries))), weight="n")
+    return _regional(t, g.filter(F.col("owner_country").isin(list(countries))))
 
 
 # --- all six over one shared base --------------------------------------------
 
 def dashboard_base(t: Tables, country: str = DEFAULT_COUNTRY,
-                   countries: tuple[str, ...] | list[str] = DEFAULT_COUNTRIES,
-                   timeline_races: DataFrame | None = None) -> DataFrame:
-    """Valid results relevant to any dashboard figure — attributed to one of
-    the countries, of the country by the OR rule, or in a race of the
-    timeline (``timeline_races``: ``(ra_id, ra_comp)``) — with owner columns,
-    flags, competition and discipline. The fact is read once; both joins
-    before the filter are broadcast probes into dimension subsets."""
+                   countries: tuple[str, ...] | list[str] = DEFAULT_COUNTRIES) -> DataFrame:
+    """Counts (``n``) of the valid results that are attributed to one of the
+    countries or are the country's by the OR rule, per owner, result name and
+    race. One read of the fact; no join but the one to those athletes."""
     sel = sorted(set(countries) | {country})
-    r = valid_results(t, t.results_for_athletes)  # athlete-clustered when the lake has it
-    j = with_athletes(t, r, {"a_full_name": "full_name", "a_country_code": "country_code"}, "left",
-                      t.athletes.filter(F.col("country_code").isin(sel)))
-    if timeline_races is not None:
-        j = j.join(t.dim("races", timeline_races.select(F.col("ra_id").alias("_tl_race"))),
-                   F.col("race_id") == F.col("_tl_race"), "left")
-        in_timeline = F.col("_tl_race").isNotNull()
-    else:
-        in_timeline = F.lit(False)
-    orphan = F.col("athlete_id").isNull()
-    j = (j.withColumn("owner_name", F.when(orphan, F.col("athlete_name")).otherwise(F.col("a_full_name")))
-          .withColumn("owner_country", F.when(orphan, F.col("nationality")).otherwise(F.col("a_country_code")))
-          .withColumn("or_rule", F.coalesce(F.col("a_country_code") == country, F.lit(False))
-                      | F.coalesce(F.col("nationality") == country, F.lit(False)))
-          .withColumn("in_timeline", in_timeline))
-    j = j.filter(F.col("owner_country").isin(sel) | F.col("or_rule") | F.col("in_timeline"))
-    j = _with_discipline(t, j, ["competition_id"])
-    return j.select("id", "athlete_name", "owner_name", "owner_country", "or_rule", "in_timeline",
-                    "competition_id", "discipline_name", "category")
+    g = owner_groups(t, sel, ("race_id",)).withColumn("or_rule", _or_rule(country))
+    return (g.filter(F.col("owner_country").isin(sel) | F.col("or_rule"))
+            .groupBy("owner_name", "owner_country", "or_rule", "athlete_name", "race_id")
+            .agg(F.sum("n").cast("long").alias("n")))
 
 
 def country_dashboard(t: Tables, country: str = DEFAULT_COUNTRY,
                       countries: tuple[str, ...] | list[str] = DEFAULT_COUNTRIES,
                       as_of: _dt.date | str | None = None, n: int = TOP_N,
                       materialize: bool = True) -> dict[str, DataFrame]:
-    """The six reports as DataFrames over one read of the fact. The shared
-    base is checkpointed to the cluster's checkpoint folder (lineage cut,
-    survives executor loss); every figure then aggregates the base or a
-    dimension."""
-    comps, sel_races = _timeline_selection(t, country, as_of, 5)
-    base = dashboard_base(t, country, countries, sel_races)
+    """The six reports as DataFrames; four of them over one read of the fact.
+    The shared base holds groups, not results, and is checkpointed to the
+    cluster's checkpoint folder (lineage cut, survives executor loss; the
+    session removes the files once the frames are gone). The timeline goes by
+    the competitions' host country and has its own, pre-aggregated read."""
+    base = dashboard_base(t, country, countries)
     if materialize:
         base = checkpointed(base)
-    owned = base.filter(F.col("owner_country") == country)
-    facts = base.agg(
-        F.count_distinct(F.when(F.col("owner_country") == country, F.col("owner_name"))).alias("athletes_with_results"),
-        F.count(F.when(F.col("or_rule"), F.lit(1))).alias("total_results"))
-    results_per_comp = (base.filter(F.col("in_timeline"))
-                        .groupBy(F.col("competition_id").alias("r_comp"))
-                        .agg(F.count("id").alias("n_results")))
+    owned = (base.filter(F.col("owner_country") == country).groupBy("owner_name", "owner_country", "race_id")
+             .agg(F.sum("n").alias("n")))
+    named = base.filter("or_rule").groupBy("athlete_name", "race_id").agg(F.sum("n").alias("n"))
     return {
-        "summary": _summary_row(t, country, facts),
+        "summary": _summary_row(t, country, _summary_facts(base, country, F.col("or_rule"))),
         "gender_distribution": gender_distribution(t, country),
-        "discipline_breakdown": _discipline_breakdown(base.filter(F.col("or_rule")), n),
-        "timeline": _timeline_rollup(t, comps, sel_races, results_per_comp),
-        "top_athletes": _top_athletes(owned, n),
+        "discipline_breakdown": _discipline_breakdown(_with_discipline(t, named), n),
+        "timeline": timeline(t, country, as_of),
+        "top_athletes": _top_athletes(with_race_context(t, owned, ["competition_id"]), n),
         "regional_comparison": _regional(t, base.filter(F.col("owner_country").isin(list(countries)))),
     }
 

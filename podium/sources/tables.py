@@ -64,6 +64,16 @@ class Tables:
             return False
         return self.rows(name) <= self.broadcast_max_rows
 
+    def fits(self, name: str, subset: DataFrame | None = None) -> bool:
+        """Whether a dimension, or else the given subset of it, is within the
+        bound. A subset of a dimension beyond the bound (one country's
+        athletes) is counted by itself, up to the bound."""
+        if self.broadcastable(name):
+            return True
+        if name == FACT or subset is None or not self.broadcast_max_rows:
+            return False
+        return subset.limit(self.broadcast_max_rows + 1).count() <= self.broadcast_max_rows
+
     def dim(self, name: str, df: DataFrame | None = None) -> DataFrame:
         """``df`` (default: the whole dimension) with a broadcast hint when the
         dimension's checked row count is within the bound; a subset of a

@@ -11,9 +11,19 @@ SF_DIRS = [d for d in ("/root/testdata/sf0.01", "/root/testdata/sf0.001") if os.
 SQL = E.oracle_sql()
 
 
+_CONNECTIONS = {}
+
+
+def _connection(sf_dir):
+    """One DuckDB connection for each scale factor."""
+    if sf_dir not in _CONNECTIONS:
+        _CONNECTIONS[sf_dir] = duckdb_connection(sf_dir)
+    return _CONNECTIONS[sf_dir]
+
+
 @pytest.fixture(scope="module", params=SF_DIRS)
 def sf(request):
-    return request.param, duckdb_connection(request.param)
+    return request.param, _connection(request.param)
 
 
 def test_every_query_has_an_oracle():
@@ -73,5 +83,5 @@ def test_shuffle_paths_match_oracle(spark, key):
 
     t = derived_tables(spark, d, broadcast_max_rows=0)
     df = E._text_arrays(E._QUERIES[key](t))
-    ocols, orows = run_oracle(duckdb_connection(d), SQL[key])
+    ocols, orows = run_oracle(_connection(d), SQL[key])
     assert canonical(df.columns, [tuple(r) for r in df.collect()]) == canonical(ocols, orows)
