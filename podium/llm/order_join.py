@@ -9,17 +9,18 @@ filter uses several orders at once. All put frequent tokens last, so that
 passages shared by many documents seldom reach a prefix; among the rest the
 first order takes ascending hashes, the others ascending remixed hashes.
 Candidates are pairs with a common token in their prefixes under the first
-order, compatible sizes, and parity bitmaps near enough (the bits in which two
-bitmaps differ never outnumber the tokens in which the sets do); then their
+order, at positions that leave the threshold open (none of the tokens before
+the first common one is shared, so the overlap is at most what follows it in
+either set), and parity bitmaps near enough (the bits in which two bitmaps
+differ never outnumber the tokens in which the sets do); then their
 prefixes must also meet under every other order, and only then is the overlap
 counted, on the n-grams themselves.
 
 The result needs components, not every link inside one. Lists of a common
 prefix token with up to ``list_rows`` classes give all their pairs. Longer
 lists, such as a large family of near copies makes, first give each member
-some pairs with pivots of the list, for a few rounds; what is then still in
-different components is paired in full, so no link that would join two
-components is missed.
+its pairs with pivots of the list; what is then still in different components
+is paired in full, so no link that would join two components is missed.
 
 Scale: only hashes, sizes and bitmaps are shuffled; texts are fetched for
 candidates that pass all cheap filters. Equal sets, a third of all rows
@@ -51,11 +52,12 @@ from .common import free_name, row_key, written
 
 WORDS = 4
 PERCENT = 85
-FREQUENT = 1 << 18
-FREQUENT_IN_WINDOW = 4  # a window's tokens in so many of its sets are counted as frequent
+FREQUENT = 1 << 19
+FREQUENT_IN_WINDOW = 2  # a window's tokens in so many of its sets are counted as frequent
 WINDOW_TOKENS = 4_000_000
 LIST_ROWS = 64
-ROUNDS = 3
+ROWS_A_TASK = 100_000  # of tables of two or three numbers a row
+PAIRS_A_TASK = 10_000  # with their texts
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # the further orders' remixing factors
 BROADCAST_ROWS = 500_000
 
@@ -206,13 +208,14 @@ def _prefix(light: np.ndarray, heavy: np.ndarray, percent: int, factor: int | No
 
 
 def _prefix_rows(docs: DataFrame, words: int, percent: int, salt: int, frequent: np.ndarray) -> DataFrame:
-    """(token, cid, n) for each class and each token of its prefix under the
-    first order; a class that several tasks see comes once from each."""
+    """(token, cid, n, pos) for each class and each token of its prefix under
+    the first order, ``pos`` being its place there; a class that several tasks
+    see comes once from each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, known = Shingler(words), set()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                token, cid, n = [], [], []
+                token, cid, n, pos = [], [], [], []
                 for text in batch.column("text").slice(at, 500):
                     tokens = shingler.tokens(text.as_py() or "")
                     if not len(tokens):
@@ -225,15 +228,20 @@ def _prefix_rows(docs: DataFrame, words: int, percent: int, salt: int, frequent:
                     token.append(first.view(np.int64))
                     cid.append(np.full(len(first), a, np.int64))
                     n.append(np.full(len(first), len(tokens), np.int32))
+                    pos.append(np.arange(len(first), dtype=np.int32))
                 if token:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, cid, n)],
-                                                     names=["token", "cid", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, cid, n, pos)],
+                                                     names=["token", "cid", "n", "pos"])
 
-    return docs.select(docs["text"]).mapInArrow(run, "token long, cid long, n int")
+    return docs.select(docs["text"]).mapInArrow(run, "token long, cid long, n int, pos int")
 
 
-def _near_sizes(a: str, b: str, percent: int):
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
+def _open(n: str, i: str, m: str, j: str, percent: int):
+    """Whether two sets of n and m tokens can reach the threshold if their
+    first common prefix token stands at i and j. False only where it can't: a
+    pair above the threshold passes at its first common token."""
+    most = F.least(F.col(n) - F.col(i), F.col(m) - F.col(j))
+    return most * 100 >= (F.col(n) + F.col(m) - most) * percent
 
 
 def _filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -254,6 +262,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, words: int,
               frequent: np.ndarray, broadcast_rows: int) -> DataFrame:
     """The linked pairs among written ``pairs``: prefixes meet under every
     further order, and the n-grams reach the threshold."""
+    many = pairs.count()
+    pairs = _gathered(pairs, many, PAIRS_A_TASK)
     needed = pairs.select(F.col("x").alias("cid")).union(pairs.select(F.col("y").alias("cid"))).distinct()
     needed = written(members.join(needed, "cid").groupBy("cid").agg(F.min(F.struct("k1", "k2")).alias("k"))
                      .select("cid", "k.k1", "k.k2"), "join-needed")
@@ -286,12 +296,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, words: int,
                 keep.append(100 * both >= percent * (len(gx) + len(gy) - both))
             yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y")], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
+    texts = _gathered(texts, many, PAIRS_A_TASK)
     one = texts.select(F.col("cid").alias("x"), F.col("text").alias("s"))
     two = texts.select(F.col("cid").alias("y"), F.col("text").alias("t"))
     return written(pairs.join(one, "x").join(two, "y").sortWithinPartitions("x").mapInArrow(run, "x long, y long"),
                    "join-links")
 
 
+def _gathered(df: DataFrame, rows: int, per_task: int) -> DataFrame:
+    """A written table of so many rows, read by as few tasks as that needs."""
+    return df.coalesce(max(1, -(-rows // per_task)))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(cid, comp): for every node of the links (x, y) the smallest node that
     it is connected with. Alternates large-star and small-star steps, each an
@@ -304,45 +320,39 @@ def components(links: DataFrame) -> DataFrame:
                     .distinct(), "star-edges")
     last = state(edges)
     while last["n"]:
+        edges = _gathered(edges, last["n"], ROWS_A_TASK)
         # Large star: neighbours above u move to the smallest around u.
-        both = edges.union(edges.select("v", "u"))
+        both = _gathered(edges.union(edges.select("v", "u")), last["n"], ROWS_A_TASK)
         low = written(both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low")),
                       "star-low")
+        low = _gathered(low, last["n"], ROWS_A_TASK)
         edges = written(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
                         .filter("u <> v").distinct(), "star-large")
+        edges = _gathered(edges, last["n"], ROWS_A_TASK)
         # Small star: u and its neighbours below move to the smallest of them.
-        low = written(edges.groupBy("u").agg(F.min("v").alias("low")), "star-low")
-        moved = edges.join(low, "u")
-        edges = written(moved.select(F.col("v").alias("u"), F.col("low").alias("v")).union(low.select("u", "low"))
+        low = _gathered(written(edges.groupBy("u").agg(F.min("v").alias("low")), "star-low"), last["n"], ROWS_A_TASK)
+        moved = edges.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        edges = written(_gathered(moved.union(low.select("u", "low")), last["n"], ROWS_A_TASK)
                         .filter("u <> v").distinct(), "star-small")
         now = state(edges)
         if now == last:
             break
         last = now
-    return edges.select(F.col("u").alias("cid"), F.col("v").alias("comp")).union(
-        edges.select(F.col("v").alias("cid"), F.col("v").alias("comp")).distinct())
+    edges = _gathered(edges, last["n"], ROWS_A_TASK)
+    return _gathered(edges.select(F.col("u").alias("cid"), F.col("v").alias("comp")).union(
+        edges.select(F.col("v").alias("cid"), F.col("v").alias("comp")).distinct()), last["n"], ROWS_A_TASK)
 
 
-def _with_components(rows: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Rows with ``comp``, the component of their ``cid`` by the links so far."""
-    if links is None:
-        return rows.withColumn("comp", F.col("cid"))
-    found = written(components(links), "join-components")
-    return rows.join(found, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-
-
-def _long_list_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Pairs of members with pivots of their list: one pivot for each size
-    band, another one each turn; each member takes about an eighth of its
-    lists. Only pairs that would join two components."""
-    chance = F.xxhash64("token", "cid", F.lit(turn))
-    pivots = rows.groupBy("token", "band").agg(F.min(F.struct(chance.alias("c"), "cid", "n", "comp")).alias("p"))
+def _long_list_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each member with the pivots of its lists: one pivot for each
+    list and size band, the member with the fewest tokens before this one."""
+    pivots = rows.groupBy("token", "band").agg(
+        F.min(F.struct("pos", F.xxhash64("token", "cid").alias("c"), "cid", "n")).alias("p"))
     pivots = pivots.select("token", "band", F.col("p.cid").alias("pivot"), F.col("p.n").alias("m"),
-                           F.col("p.comp").alias("pivot_comp"))
-    some = rows.filter(F.pmod(F.xxhash64("cid", "token", F.lit(-1 - turn)), F.lit(8)) == 0)
-    return (some.withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
+                           F.col("p.pos").alias("at"))
+    return (rows.withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
             .join(written(pivots, "join-pivots"), ["token", "band"])
-            .filter((F.col("comp") != F.col("pivot_comp")) & _near_sizes("n", "m", percent))
+            .filter((F.col("cid") != F.col("pivot")) & _open("n", "pos", "m", "at", percent))
             .select(F.least("cid", "pivot").alias("x"), F.greatest("cid", "pivot").alias("y")))
 
 
@@ -355,16 +365,15 @@ def _rest_of_long_lists(rows: DataFrame, percent: int) -> DataFrame:
     rows = written(rows.join(written(main, "join-main"), "token"), "join-rest")
     outside = rows.filter("comp <> main").select(
         "token", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"),
-        F.col("cid").alias("other"), F.col("n").alias("m"), F.col("comp").alias("other_comp"))
+        F.col("cid").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("comp").alias("other_comp"))
     return (rows.join(outside, ["token", "band"])
-            .filter((F.col("comp") != F.col("other_comp")) & _near_sizes("n", "m", percent)
+            .filter((F.col("comp") != F.col("other_comp")) & _open("n", "pos", "m", "at", percent)
                     & ((F.col("comp") == F.col("main")) | (F.col("cid") < F.col("other"))))
             .select(F.least("cid", "other").alias("x"), F.greatest("cid", "other").alias("y")))
 
 
 def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT,
-                       list_rows: int = LIST_ROWS, rounds: int = ROUNDS,
-                       broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                       list_rows: int = LIST_ROWS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per document: ``k1``, ``k2`` (row key), ``doc_id``,
     ``n_shingles``, ``cid`` (class of equal sets) and ``component_id`` (the
     smallest doc_id connected by links, or its own)."""
@@ -394,24 +403,25 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     long = written(rows.join(lists.filter(F.col("members") > list_rows).select("token"), "token"), "join-long")
 
     a = rows.join(short, "token")
-    b = a.select("token", F.col("cid").alias("other"), F.col("n").alias("m"))
-    pairs = (a.join(b, "token").filter((F.col("cid") < F.col("other")) & _near_sizes("n", "m", percent))
+    b = a.select("token", F.col("cid").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"))
+    pairs = (a.join(b, "token").filter((F.col("cid") < F.col("other")) & _open("n", "pos", "m", "at", percent))
              .select(F.col("cid").alias("x"), F.col("other").alias("y")))
     any_long = not long.isEmpty()
     if any_long:
-        pairs = pairs.union(_long_list_pairs(_with_components(long, None), percent, 0))
+        pairs = pairs.union(_long_list_pairs(long, percent))
 
     def link(pairs: DataFrame) -> DataFrame:
         near = written(_filtered(pairs, classes, percent), "join-candidates")
         return _verified(near, docs, members, words, percent, common, broadcast_rows)
 
     links = link(pairs)
-    for turn in range(1, rounds if any_long else 1):
-        links = links.union(link(_long_list_pairs(_with_components(long, links), percent, turn)))
-    if any_long:
-        links = links.union(link(_rest_of_long_lists(written(_with_components(long, links), "join-long-components"),
-                                                     percent)))
     found = written(components(links), "join-components")
+    if any_long:
+        by_now = written(long.join(found, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")),
+                         "join-long-components")
+        more = link(_rest_of_long_lists(by_now, percent))
+        if not more.isEmpty():
+            found = written(components(links.union(more)), "join-components")
     named = written(members.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"))
                     .join(found, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")), "join-named")
     ids = written(named.groupBy("comp").agg(F.min("least").alias("component_id")), "join-ids")
