@@ -52,7 +52,7 @@ from .common import free_name, row_key, written
 
 WORDS = 4
 PERCENT = 85
-FREQUENT = 1 << 19
+FREQUENT = 1 << 18
 FREQUENT_IN_WINDOW = 2  # a window's tokens in so many of its sets are counted as frequent
 WINDOW_TOKENS = 4_000_000
 LIST_ROWS = 64
@@ -182,10 +182,18 @@ def document_classes(docs: DataFrame, words: int, salt: int) -> DataFrame:
 
 
 def _frequent_tokens(pass1: DataFrame, most: int) -> np.ndarray:
-    """The most frequent tokens, at most ``most`` of them, sorted."""
-    top = (pass1.filter("token is not null").groupBy("token").agg(F.sum("seen").alias("seen"))
-           .orderBy(F.col("seen").desc(), "token").limit(most).select("token"))
-    return np.sort(top.toPandas()["token"].to_numpy(np.int64).view(np.uint64))
+    """The most frequent tokens, at most ``most`` of them, sorted: all those
+    seen at least so often that there are no more."""
+    seen = written(pass1.filter("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")), "join-seen")
+    least, above = 0, 0
+    # One row for each number of times that some token was seen.
+    for r in seen.groupBy("seen").agg(F.count(F.lit(1)).alias("tokens")).orderBy(F.col("seen").desc()).toLocalIterator():
+        above += r["tokens"]
+        if above > most:
+            break
+        least = r["seen"]
+    top = seen.filter(F.col("seen") >= least) if least else seen.limit(0)
+    return np.sort(top.select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))
 
 
 def _split(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
