@@ -20,6 +20,7 @@ def spark():
          .config("spark.sql.session.timeZone", "UTC")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
+    s.sparkContext.environment.setdefault("PYTHONPATH", ROOT)  # Python workers import the package too
     if not s.sparkContext.getCheckpointDir():
         conf_dir = s.sparkContext.getConf().get("spark.checkpoint.dir", None)
         s.sparkContext.setCheckpointDir(conf_dir or tempfile.mkdtemp(prefix="podium-test-ckpt-"))
