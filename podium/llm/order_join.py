@@ -266,15 +266,14 @@ def _filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             .mapInArrow(run, "x long, y long"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, words: int, percent: int,
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int,
               frequent: np.ndarray, broadcast_rows: int) -> DataFrame:
-    """The linked pairs among written ``pairs``: prefixes meet under every
-    further order, and the n-grams reach the threshold."""
+    """The linked pairs among written ``pairs`` of classes: prefixes meet under
+    every further order, and the n-grams reach the threshold."""
     many = pairs.count()
     pairs = _gathered(pairs, many, PAIRS_A_TASK)
     needed = pairs.select(F.col("x").alias("cid")).union(pairs.select(F.col("y").alias("cid"))).distinct()
-    needed = written(members.join(needed, "cid").groupBy("cid").agg(F.min(F.struct("k1", "k2")).alias("k"))
-                     .select("cid", "k.k1", "k.k2"), "join-needed")
+    needed = written(classes.join(needed, "cid").select("cid", "k1", "k2"), "join-needed")
     few = needed.count() <= broadcast_rows
     k1, k2 = row_key(docs)
     texts = docs.select(k1.alias("k1"), k2.alias("k2"), docs["text"])
@@ -394,8 +393,9 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
             break
         salt += 1  # two different sets under one 64-bit name: name them anew
     common = _frequent_tokens(pass1, frequent)
-    classes = written(members.filter("n > 0").groupBy("cid").agg(F.min("n").alias("n"), F.min("parity").alias("parity")),
-                      "join-classes")
+    # Of each class one row: its text is the one that is compared.
+    classes = written(members.filter("n > 0").groupBy("cid").agg(F.min(F.struct("k1", "k2", "n", "parity")).alias("c"))
+                      .select("cid", "c.*"), "join-classes")
 
     prefixes = written(_prefix_rows(docs, words, percent, salt, common), "join-prefixes")
     shared = written(prefixes.groupBy("token").agg(F.min("cid").alias("a"), F.max("cid").alias("b"))
@@ -420,7 +420,7 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
     def link(pairs: DataFrame) -> DataFrame:
         near = written(_filtered(pairs, classes, percent), "join-candidates")
-        return _verified(near, docs, members, words, percent, common, broadcast_rows)
+        return _verified(near, docs, classes, words, percent, common, broadcast_rows)
 
     links = link(pairs)
     found = written(components(links), "join-components")
