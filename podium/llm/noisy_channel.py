@@ -2,11 +2,15 @@
 
 A character language model (trigrams over 28 classes: word boundary, a to z,
 other letters) is counted over all documents. Tokens that look disguised (signs
-or digits among letters, a letter three times in a row, letters set apart by
-spaces or points) are read as a lattice: each observed character may stand for
+or digits among letters, doubled letters, letters set apart by separators or by
+any blanks) are read as a lattice: each observed character may stand for
 itself, for the letters it resembles, or for nothing (a repeat, a separator),
-each at a cost. A Viterbi pass finds the likeliest original under the language
-model, and the restored text is scored.
+and a separator for a word boundary, each at a cost. A Viterbi pass finds the
+likeliest original under the language model, of one or several words, and the
+restored text is scored. Signs at the edges of a token are read both as
+punctuation and as letters, doubled letters both as they are and as one, and
+letters set apart as one word, as the words that the model finds in them, and
+as a word that begins at any of them.
 
 The score is a logistic regression over words and word beginnings (4 to 8
 letters) of the restored text. It is fitted on at most ``max_rows`` labelled
@@ -31,7 +35,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -60,12 +65,18 @@ LOOKS_LIKE = {
 }
 SEPARATORS = " .-_*'~·,:/"
 COST_LOOKS_LIKE, COST_SEPARATOR, COST_REPEAT, COST_UNKNOWN, COST_DROP = 0.5, 0.5, 1.0, 2.0, 12.0
+COST_BOUNDARY = 0.5  # a separator that parts two words
+MOST_CUTS = 32  # ways to part the signs behind a token into letters and punctuation
 
-_spaced = re.compile(r"(?<!\S)\S(?:[ \t]\S(?!\S)){3,}")
+_spaced = re.compile(r"(?<!\S)\S(?:\s++\S(?!\S))+")
 _edge = ".,;:!?\"'()[]{}*%&#$|~"
 _lead = ".,;:?\"'()[]{}*%&#|~"
+_plain_edge = "".join(c for c in _edge if c not in LOOKS_LIKE)  # never a letter
+_plain_lead = "".join(c for c in _lead if c not in LOOKS_LIKE)
 _run = re.compile(r"([a-z])\1\1")
-_parted = re.compile(r"[^\W_](?:[ .\-_*'~·,:/][^\W_]){3,}")
+_double = re.compile(r"([^\W\d_])\1")
+_part = re.compile(r"[^ .\-_*'~·,:/]+")
+_parted = re.compile(r"[^\W_][ .\-_*'~·,:/]+[^\W_]")
 
 
 def _classes() -> np.ndarray:
@@ -142,40 +153,75 @@ def suspicious(token: str) -> bool:
         return bool(_run.search(token))
     if not any(c.isalpha() for c in token):
         return False
-    return (any(c in LOOKS_LIKE for c in token) or bool(_run.search(token)) or bool(_parted.fullmatch(token)))
-
-
-def restore(observed: str, model: list) -> str:
-    """The likeliest original of an observed (lower-case) string: Viterbi over
-    states of the last two classes. ``model`` is the table as nested lists."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    before = ""
+    return (any(c in LOOKS_LIKE for c in token) or bool(_run.search(token)) or bool(_parted.search(token)))
+
+
+def readings(observed: str, model: list, ends: Container[int] = (), boundaries: bool = True,
+             repeats: bool = True) -> list[str]:
+    """The likeliest original of each beginning of an observed (lower-case)
+    string that ``ends`` names, and last of the whole: Viterbi over states of
+    the last two classes. ``model`` is the table as nested lists. Originals
+    are words with blanks between; without ``boundaries`` one word. Without
+    ``repeats`` no doubled letter is dropped."""
+    # Each text is a chain (chain before, letter), so that a step costs the same at any length.
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    made, before = [], ""
     inside = any(c.isalpha() for c in observed)
-    for c in observed:
+    for at, c in enumerate(observed):
+        if at in ends:
+            made.append(_likeliest(best, model))
+        apart = None
         if "a" <= c <= "z":
             ways = [(ord(c) - 96, c, 0.0)]
-            skip = COST_REPEAT if c == before else None
+            skip = COST_REPEAT if c == before and repeats else None
         elif c.isalpha():
-            ways, skip = [(OTHER, c, 0.0)], COST_REPEAT if c == before else None
+            ways, skip = [(OTHER, c, 0.0)], COST_REPEAT if c == before and repeats else None
         else:
             ways = [(ord(x) - 96, x, COST_LOOKS_LIKE) for x in LOOKS_LIKE.get(c, "")]
-            skip = (COST_SEPARATOR if c in SEPARATORS else COST_REPEAT if c == before
+            skip = (COST_SEPARATOR if c in SEPARATORS else COST_REPEAT if c == before and (repeats or not ways)
                     else COST_DROP if ways else COST_UNKNOWN)
+            apart = COST_BOUNDARY if c in SEPARATORS and boundaries else None
         if c not in SEPARATORS:
             before = c
-        step: dict[tuple[int, int], tuple[float, str]] = {}
+        step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, text) in best.items():
             if skip is not None and inside:
                 now = score - skip
                 if (a, b) not in step or step[a, b][0] < now:
                     step[a, b] = (now, text)
             row = model[a][b]
+            if apart is not None and inside and b:
+                now = score + row[0] - apart
+                if (b, 0) not in step or step[b, 0][0] < now:
+                    step[b, 0] = (now, (text, " "))
             for k, letter, cost in ways:
                 now = score + row[k] - cost
                 if (b, k) not in step or step[b, k][0] < now:
-                    step[b, k] = (now, text + letter)
+                    step[b, k] = (now, (text, letter))
         best = step or best
-    return max(((score + model[a][b][0], text) for (a, b), (score, text) in best.items()))[1]
+    return [*made, _likeliest(best, model)]
+
+
+def _likeliest(best: dict, model: list) -> str:
+    # A trailing boundary is already paid for.
+    _, _, text = max((score + (model[a][b][0] if b else 0.0), (a, b), text) for (a, b), (score, text) in best.items())
+    letters = []
+    while text is not None:
+        text, letter = text
+        letters.append(letter)
+    return "".join(reversed(letters)).strip()
+
+
+def restore(observed: str, model: list) -> str:
+    """The likeliest original of an observed (lower-case) string."""
+    return readings(observed, model)[-1]
+
+
+def _cuts(token: str, core_end: int) -> tuple[int, ...]:
+    """Where the signs behind a token's core may part into letters and
+    punctuation: wherever the sign changes."""
+    changes = (i for i in range(core_end, len(token)) if i == core_end or token[i] != token[i - 1])
+    return tuple(islice(changes, MOST_CUTS))
 
 
 def _word_features(word: str) -> tuple[str, ...]:
@@ -201,24 +247,44 @@ class Reader(dict):
         core = token.lower().rstrip(_edge).lstrip(_lead)
         plain = core.strip(_edge + "@!")
         found = _word_features(plain) if plain.isalpha() else ()
-        if suspicious(core):
-            found += _word_features(restore(core, self.model))
+        texts = set()
+        if suspicious(core) or _double.search(core):
+            texts.update(self._texts(core, ()))
+        # Signs at the edges may be letters too.
+        whole = token.lower().rstrip(_plain_edge).lstrip(_plain_lead)
+        if whole != core and any(c.isalpha() for c in whole):
+            for start in {whole, whole.lstrip(_lead)}:
+                texts.update(self._texts(start, _cuts(start, len(start.rstrip(_edge)))))
+        for word in {w for t in texts for w in t.split()}:
+            found += _word_features(word)
         if self.keep is not None:
             found = tuple({self.keep[f] for f in found if f in self.keep})
         return found
 
+    def _texts(self, observed: str, ends: tuple[int, ...]) -> Iterator[str]:
+        """What an observed string may have been, in all readings."""
+        parts = [m.span() for m in _part.finditer(observed)] if _parted.search(observed) else []
+        for repeats in (True, False):
+            yield from readings(observed, self.model, ends, True, repeats)
+            if parts:
+                yield from readings(observed, self.model, ends, False, repeats)
+            # Words that begin at any part; those of more parts show in their beginnings.
+            for i, (a, _) in enumerate(parts):
+                near = [e - a for _, e in parts[i:i + max(BEGINNINGS)]]
+                yield from readings(observed[a:a + near[-1]], self.model, near, False, repeats)
+
     def features(self, text: str) -> set:
         tokens = set(text.split())
         if not tokens:
             return set()
-        tokens.update(m[0] for m in _spaced.finditer(text))
+        tokens.update(" ".join(m[0].split()) for m in _spaced.finditer(text))
         return set().union(*filter(None, map(self.__getitem__, tokens)))
 
     def restored(self, text: str) -> str:
         """The text itself, disguised tokens restored."""
         def put(m: re.Match) -> str:
             core = m[0].lower().rstrip(_edge).lstrip(_lead)
-            return restore(core, self.model) if suspicious(core) else m[0]
+            return restore(" ".join(core.split()), self.model) if suspicious(core) else m[0]
 
         return re.sub(r"\S+", put, _spaced.sub(put, text))
 

@@ -124,6 +124,18 @@ def test_restoration(spark):
         assert reader.restored(seen) == meant
 
 
+@needs_data
+def test_all_readings_are_offered(spark):
+    counts = noisy_channel.corpus_counts(spark.read.parquet(f"{SF}/documents.parquet"))
+    reader = noisy_channel.Reader(noisy_channel.language_model(counts))
+    for seen, meant in (("what a l o s e r he is", "loser"), ("so y o u i d i o t go", "idiot"), ("a s s", "ass"),
+                        ("i  d  i o\tt", "idiot"), ("a$$!", "ass"), ("(lown", "clown"), ("idiiot", "idiot"),
+                        ("you.idiot", "idiot"), ("t h e i d i o t i s", "idiot"), ("worthle$$", "worthless")):
+        assert meant in reader.features(seen), seen
+    assert reader.restored("you.idiot") == "you idiot"
+    assert reader.features("a " * 5000 + "! " * 5000 + "x" + "!$" * 5000)  # ends
+
+
 def test_toxicity_without_labels(spark):
     d = docs(spark)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
