@@ -15,13 +15,14 @@ as a word that begins at any of them.
 The score is a logistic regression over words and word beginnings (4 to 8
 letters) of the restored text. It is fitted on at most ``max_rows`` labelled
 documents (the first in the order of a hash of doc_id), one of each family of
-near copies, so that the private words of a text copied often do not become
+near copies (connected by a Jaccard index of 0.8 or more over five-word
+shingles, compared exactly, or equal texts) and label, so that the private words of a text copied often do not become
 evidence. Rows whose crc32(doc_id) mod 3 is 1 are held out of the fit. Labels,
 lang, source and doc_id never enter a score.
 
 Scale: counting the model and scoring are maps over the documents; what moves
-is bounded (trigram counts, the training sample, 4096 features) or narrow
-(doc_id and one fingerprint).
+is bounded (trigram counts, the training sample, 4096 features), but for the
+join of near copies among the labelled documents (see ``order_join``).
 
 Cases: NULL text counts as ''; an empty text gets the score of a text without
 evidence. NULL doc_id is never labelled and counts as not held out. A doc_id
@@ -45,6 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import free_name, written
+from .order_join import similar_components
 
 MAX_ROWS = 20_000
 MAX_FEATURES = 4096
@@ -54,6 +56,7 @@ LEAST_G2 = 18.0
 THRESHOLD = 0.7
 BEGINNINGS = (4, 5, 6, 7, 8)
 FOLDS, HELD_OUT = 3, 1
+NEAR_WORDS, NEAR_PERCENT = 5, 80  # near copies, as in the pipeline
 
 CLASSES = 28
 OTHER = 27  # letters beyond a to z; 0 is the word boundary
@@ -95,52 +98,29 @@ def _symbols(text: str) -> np.ndarray:
     return np.where(code < 0x250, _LUT[np.minimum(code, 0x24F)], OTHER).astype(np.int64)
 
 
-def _family(text: str) -> int:
-    """The smallest hash of an 8-byte window: near copies mostly share it."""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass").ljust(8), np.uint8)
-    n = len(raw) - 7
-    window = np.zeros(n, np.uint64)
-    for j in range(8):
-        window = (window << np.uint64(8)) | raw[j:j + n]
-    window = (window ^ (window >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    window = (window ^ (window >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return int((window ^ (window >> np.uint64(32))).min() >> np.uint64(1))
-
-
 def corpus_counts(docs: DataFrame) -> DataFrame:
-    """One pass over all documents: rows (doc_id, family, NULL, NULL), and
-    each task's trigram counts as rows (NULL, NULL, trigram, n)."""
-    narrow = docs.select(docs["doc_id"], docs["text"])
-    schema = (StructType([narrow.schema["doc_id"]]).simpleString()[7:-1].replace(":", " ", 1)
-              + ", family long, trigram int, n long")
+    """One pass over all documents: each task's trigram counts as rows
+    (trigram, n)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES ** 3, np.int64)
-        kind = pa.int64()
         for batch in batches:
-            kind = batch.schema.field("doc_id").type
             for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = [x or "" for x in part.column("text").to_pylist()]
+                texts = [x or "" for x in batch.column("text").slice(at, 500).to_pylist()]
                 s = np.concatenate([np.zeros(2, np.int64), _symbols("\n\n".join(texts)), np.zeros(1, np.int64)])
                 total += np.bincount(s[:-2] * CLASSES ** 2 + s[1:-1] * CLASSES + s[2:], minlength=CLASSES ** 3)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([_family(t) for t in texts], pa.int64()),
-                     pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.int64())],
-                    names=["doc_id", "family", "trigram", "n"])
         held = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(held), kind), pa.nulls(len(held), pa.int64()), pa.array(held, pa.int32()),
-             pa.array(total[held], pa.int64())], names=["doc_id", "family", "trigram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(total[held], pa.int64())],
+                                         names=["trigram", "n"])
 
-    return narrow.mapInArrow(count, schema)
+    return docs.select(docs["text"]).mapInArrow(count, "trigram int, n long")
 
 
 def language_model(counts: DataFrame) -> np.ndarray:
     """Log-probabilities [two before, one before, class]; at most 28^3
     numbers, whatever the corpus."""
     n = np.zeros(CLASSES ** 3)
-    for r in counts.filter("trigram is not null").groupBy("trigram").agg(F.sum("n").alias("n")).collect():
+    for r in counts.groupBy("trigram").agg(F.sum("n").alias("n")).collect():
         n[r["trigram"]] = r["n"]
     n = n.reshape(CLASSES, CLASSES, CLASSES) + 0.5
     return np.log(n / n.sum(axis=2, keepdims=True)).astype(np.float32)
@@ -289,19 +269,24 @@ class Reader(dict):
         return re.sub(r"\S+", put, _spaced.sub(put, text))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, counts: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """(doc_id, toxic, text): at most ``max_rows`` labelled documents outside
-    the held-out fold, one of each family and label."""
+    the held-out fold, one of each family of near copies and label."""
     known = (labels.filter(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD_OUT))
              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
-    picked = (counts.filter("trigram is null").select("doc_id", "family").join(known, "doc_id")
+    rows = written(docs.select(docs["doc_id"], docs["text"]).join(known, "doc_id").dropDuplicates(["doc_id"]),
+                   "toxicity-labelled")
+    # Of equal texts one is compared; a text without shingles is a family of its own.
+    rows = (rows.groupBy(F.coalesce("text", F.lit("")).alias("text"), "toxic").agg(F.min("doc_id").alias("doc_id")))
+    rows = written(rows, "toxicity-distinct")
+    families = similar_components(rows.select("doc_id", "text"), NEAR_WORDS, NEAR_PERCENT)
+    picked = (families.select("doc_id", F.col("component_id").alias("family"))
+              .join(rows.select("doc_id", "toxic"), "doc_id")
               .groupBy("family", "toxic").agg(F.min("doc_id").alias("doc_id"))
-              .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
+              .select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
     picked = written(picked, "toxicity-sample")
-    # At most max_rows rows of two numbers.
-    return written(docs.select(docs["doc_id"], docs["text"]).join(F.broadcast(picked), "doc_id")
-                   .dropDuplicates(["doc_id"]), "toxicity-texts")
+    # At most max_rows rows of one number.
+    return written(rows.join(F.broadcast(picked), "doc_id"), "toxicity-texts")
 
 
 def _choose(counted: list, n_toxic: int, n_clean: int, most: int) -> list[str]:
@@ -341,7 +326,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_featur
     number) and ``weights`` (bias last)."""
     counts = written(corpus_counts(docs), "toxicity-counts")
     model = language_model(counts)
-    rows = training_rows(docs, labels, counts, max_rows)
+    rows = training_rows(docs, labels, max_rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, seen = Reader(model), (Counter(), Counter())

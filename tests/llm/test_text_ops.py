@@ -136,6 +136,23 @@ def test_all_readings_are_offered(spark):
     assert reader.features("a " * 5000 + "! " * 5000 + "x" + "!$" * 5000)  # ends
 
 
+def test_training_rows_keep_unrelated_texts(spark):
+    shared = " thedble the "  # one window of eight bytes in all
+    texts = [prose(i, 30) + shared + prose(500 + i, 30) for i in range(60)]
+    base = prose(9000, 60)
+    texts += [base + f" end{i}" for i in range(20)] + [base] * 5 + ["ab"] * 4 + ["cd", ""]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(t for t in texts for _ in range(3))]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    labels = spark.createDataFrame([(r[0], 1, r[0] // 3 % 2) for r in rows], "doc_id long, quality int, toxic int")
+    got = [(r.text, r.toxic) for r in noisy_channel.training_rows(docs(spark, rows), labels).collect()]
+    every = {(r[1], r[0] // 3 % 2) for r in rows}
+    assert len(got) == len(set(got)) and set(got) <= every
+    apart = {(t, y) for t, y in every if not t.startswith(base)}
+    assert {(t, y) for t, y in got if not t.startswith(base)} == apart
+    assert Counter(y for t, y in got if t.startswith(base)) == {0: 1, 1: 1}
+    assert noisy_channel.training_rows(docs(spark, rows), labels, max_rows=7).count() == 7
+
+
 def test_toxicity_without_labels(spark):
     d = docs(spark)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
