@@ -20,7 +20,8 @@ def op1_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_layers.secrets(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans",
+                        "n_unopened")
 
 
 def op3_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,8 +15,11 @@ spans reported are those of the original text, in code points.
 Scale: one map over the documents, no shuffle.
 
 Cases: NULL text counts as ''. Texts of any length are scanned whole. A layer
-that would decompress to more than ``max_layer_bytes`` is not opened and is
-counted in ``n_unopened``. Rows that repeat are scanned like others. Empty
+that decompresses to more than ``max_layer_bytes`` is read as a stream, in
+pieces of that size that end at line ends, where no rule's match can lie. A
+piece without any line end is cut inside, with an overlap; as a match or a
+layer wider than the overlap may then be missed, it is counted in
+``n_unopened``. Rows that repeat are scanned like others. Empty
 input gives an empty result. Columns beyond ``doc_id`` and ``text`` are not
 read.
 """
@@ -38,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 MAX_LAYER_BYTES = 1 << 24
+OVERLAP = 1 << 16
 
 # The base rules.
 KINDS = ("assign", "access", "hex")
@@ -52,6 +56,7 @@ _unicode = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|%u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]
                       r"|\\x[0-9A-Fa-f]{2}|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};|[！-～]")
 _base64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
 _wrapped = re.compile(r"(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]+={0,2}")
+_wrapped_line = re.compile(rb"[A-Za-z0-9+/]{60,76}")
 _wide = re.compile(r"[！-～]")
 _PACKED = (b"\x1f\x8b", b"BZ", b"\xfd7", b"\x28\xb5")  # first bytes of gzip, bzip2, xz and zstd
 _control = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
@@ -94,17 +99,13 @@ class _Layer:
         return edges, hashlib.sha256(raw).digest()
 
 
-def _characters(raw: bytes) -> tuple[str, list[int]] | None:
+def _characters(raw: bytes) -> tuple[str, np.ndarray] | None:
     """UTF-8 text and the byte at which each character begins, or None."""
     try:
         text = raw.decode("utf-8")
     except UnicodeDecodeError:
         return None
-    at, begins = 0, []
-    for c in text:
-        begins.append(at)
-        at += 1 if c < "\x80" else 2 if c < "ࠀ" else 3 if c < "\U00010000" else 4
-    return text, begins
+    return text, np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
 
 
 def _rewritten(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
@@ -130,7 +131,7 @@ def _rewritten(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
 
 def _from_url(token: str):
     made = _characters(bytes.fromhex(token.replace("%", "")))
-    return made and (made[0], [3 * b for b in made[1]])
+    return made and (made[0], 3 * made[1])
 
 
 def _from_unicode(token: str):
@@ -153,35 +154,71 @@ def _from_unicode(token: str):
     return (chr(value), [0]) if value < 0xD800 or 0xDFFF < value < 0x110000 else None
 
 
-def _decompressed(raw: bytes, limit: int) -> bytes | None:
-    """One layer of compression taken off; None if there is none. Raises
-    OverflowError beyond ``limit`` bytes."""
+def _coder(raw: bytes):
+    """A decompressor for what the bytes begin with, or None."""
+    if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0):
+        return zlib.decompressobj(47)
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(lzma.FORMAT_XZ)
+    return None
+
+
+def _stream(raw: bytes) -> Iterator[bytes]:
+    """One layer of compression taken off, in chunks: all members or frames,
+    up to the first that can't be read."""
+    step = 1 << 20
     try:
-        if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0):
-            coder = zlib.decompressobj(47)
-            out, more = coder.decompress(raw, limit + 1), coder.unconsumed_tail
-        elif raw[:3] == b"BZh":
-            coder = bz2.BZ2Decompressor()
-            out, more = coder.decompress(raw, limit + 1), not coder.eof and not coder.needs_input
-        elif raw[:6] == b"\xfd7zXZ\x00":
-            coder = lzma.LZMADecompressor(lzma.FORMAT_XZ)
-            out, more = coder.decompress(raw, limit + 1), not coder.eof and not coder.needs_input
-        elif raw[:4] == b"\x28\xb5\x2f\xfd":
+        if raw[:4] == b"\x28\xb5\x2f\xfd":
             import zstandard
 
-            out = zstandard.ZstdDecompressor().stream_reader(raw).read(limit + 1)
-            more = b""
-        else:
-            return None
+            reader = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True)
+            while chunk := reader.read(step):
+                yield chunk
+            return
+        while raw and (coder := _coder(raw)):
+            given = raw
+            while True:
+                chunk = coder.decompress(given, step)
+                if chunk:
+                    yield chunk
+                given = coder.unconsumed_tail if hasattr(coder, "unconsumed_tail") else b""
+                if coder.eof or not chunk and not given:
+                    break
+            raw = coder.unused_data
+            if raw[:1] == b"\0":  # xz pads between streams
+                raw = raw.lstrip(b"\0")
     except (zlib.error, OSError, ValueError, lzma.LZMAError, EOFError):
-        return None
+        return
     except Exception as e:
-        if type(e).__name__ == "ZstdError":
-            return None
-        raise
-    if len(out) > limit or more:
-        raise OverflowError
-    return out or None
+        if type(e).__name__ != "ZstdError":
+            raise
+
+
+def _cut(held: bytes, limit: int) -> int:
+    """The last line end in the first ``limit`` bytes that no wrapped base64
+    crosses; 0 if there is none."""
+    at = limit
+    while (at := held.rfind(b"\n", 0, at)) > 0:
+        line = held[held.rfind(b"\n", 0, at) + 1:at].rstrip(b"\r")
+        if not _wrapped_line.fullmatch(line):
+            return at + 1
+    return 0
+
+
+def _pieces(raw: bytes, limit: int) -> Iterator[tuple[bytes, bool]]:
+    """What a layer decompresses to, in pieces of at most ``limit`` bytes, and
+    whether a piece was cut inside a line."""
+    held = bytearray()
+    for chunk in _stream(raw):
+        held += chunk
+        while len(held) > limit:
+            cut = _cut(held, limit)
+            yield bytes(held[:cut or limit]), not cut
+            del held[:cut or max(limit - OVERLAP, limit // 2, 1)]
+    if held:
+        yield bytes(held), False
 
 
 def _may_open(raw: bytes) -> bool:
@@ -237,36 +274,42 @@ def scan(text: str, max_layer_bytes: int = MAX_LAYER_BYTES) -> tuple[list, list,
     base = base_spans(text)
     found = set(base)
     root = _Layer(text)
-    work, seen, unopened = deque([root]), {root.key()} if "%" in text or "\\" in text else set(), 0
-    layers = 0
-    while work:
-        layer = work.popleft()
-        made: list[_Layer | None] = []
+    seen, layers, unopened = {root.key()} if "%" in text or "\\" in text else set(), 0, 0
+
+    def within(layer: _Layer) -> Iterator[_Layer | None]:
+        nonlocal unopened
         if isinstance(layer.content, bytes):
-            try:
-                raw = _decompressed(layer.content, max_layer_bytes)
-            except OverflowError:
-                unopened += 1
-                continue
-            if raw is not None:
-                whole = layer.interval(0, len(layer.content))
-                made.append(_opened(raw, np.full(len(raw), whole[0]), np.full(len(raw), whole[1])))
-        else:
-            if "%" in layer.content:
-                made.append(_rewritten(layer, _url, _from_url))
-            if "\\" in layer.content or "%u" in layer.content or "&#" in layer.content or _wide.search(layer.content):
-                made.append(_rewritten(layer, _unicode, _from_unicode))
-            made += _base64_layers(layer)
-        for new in made:
-            if new is None or (key := new.key()) in seen:
-                continue
-            seen.add(key)
-            layers += 1
-            work.append(new)
-            if isinstance(new.content, str):
-                for a, kind, b in base_spans(new.content):
-                    start, end = new.interval(a, b)
-                    found.add((start, kind, end))
+            whole, refused, packed = layer.interval(0, len(layer.content)), False, None
+            for raw, inside in _pieces(layer.content, max_layer_bytes):
+                # A compressed layer of several pieces can't be read from one of them.
+                refused |= inside or bool(packed)
+                packed = _coder(raw) is not None or raw[:4] == b"\x28\xb5\x2f\xfd" if packed is None else packed
+                n = len(raw)
+                yield _opened(raw, np.broadcast_to(np.int64(whole[0]), n), np.broadcast_to(np.int64(whole[1]), n))
+            unopened += refused
+            return
+        if "%" in layer.content:
+            yield _rewritten(layer, _url, _from_url)
+        if "\\" in layer.content or "%u" in layer.content or "&#" in layer.content or _wide.search(layer.content):
+            yield _rewritten(layer, _unicode, _from_unicode)
+        yield from _base64_layers(layer)
+
+    # Depth first, so that one piece of each level is held at a time.
+    work = [within(root)]
+    while work:
+        new = next(work[-1], work)
+        if new is work:
+            work.pop()
+            continue
+        if new is None or (key := new.key()) in seen:
+            continue
+        seen.add(key)
+        layers += 1
+        if isinstance(new.content, str):
+            for a, kind, b in base_spans(new.content):
+                start, end = new.interval(a, b)
+                found.add((start, kind, end))
+        work.append(within(new))
     return base, sorted(found), layers, unopened
 
 
