@@ -12,6 +12,11 @@ text it comes from: exact for URL and Unicode escapes, to the base64 characters
 that hold a character's bits, and the whole token for compressed content. The
 spans reported are those of the original text, in code points.
 
+Bytes that are not clean UTF-8 are read with each invalid byte as one lone
+surrogate, so that it can be told again; with NULs among them, as UTF-16 too.
+Base64 tokens are tried from each of their first four characters. Compressed
+bytes are found anywhere in percent-escaped and base64 tokens.
+
 Scale: one map over the documents, no shuffle.
 
 Cases: NULL text counts as ''. Texts of any length are scanned whole. A layer
@@ -42,6 +47,7 @@ from pyspark.sql.types import StructType
 
 MAX_LAYER_BYTES = 1 << 24
 OVERLAP = 1 << 16
+LEAST_BYTES = 12
 
 # The base rules.
 KINDS = ("assign", "access", "hex")
@@ -58,8 +64,10 @@ _base64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
 _wrapped = re.compile(r"(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]+={0,2}")
 _wrapped_line = re.compile(rb"[A-Za-z0-9+/]{60,76}")
 _wide = re.compile(r"[！-～]")
-_PACKED = (b"\x1f\x8b", b"BZ", b"\xfd7", b"\x28\xb5")  # first bytes of gzip, bzip2, xz and zstd
-_control = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+# First bytes of gzip, bzip2, xz, zstd and zlib.
+_magic = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
+_token = re.compile(r'[^\s"<>]+')
+_cell = re.compile(r"%[0-9A-Fa-f]{2}|.", re.S)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -99,13 +107,14 @@ class _Layer:
         return edges, hashlib.sha256(raw).digest()
 
 
-def _characters(raw: bytes) -> tuple[str, np.ndarray] | None:
-    """UTF-8 text and the byte at which each character begins, or None."""
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text, np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+def _characters(raw: bytes) -> tuple[str, np.ndarray]:
+    """UTF-8 text, invalid bytes as lone surrogates, and the byte at which
+    each character begins."""
+    text = raw.decode("utf-8", "surrogateescape")
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    escaped = (code >= 0xDC80) & (code <= 0xDCFF)
+    width = np.where(escaped, 1, 1 + (code >= 0x80) + (code >= 0x800).astype(np.int64) + (code >= 0x10000))
+    return text, np.cumsum(width) - width
 
 
 def _rewritten(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
@@ -131,7 +140,7 @@ def _rewritten(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
 
 def _from_url(token: str):
     made = _characters(bytes.fromhex(token.replace("%", "")))
-    return made and (made[0], 3 * made[1])
+    return made[0], 3 * made[1]
 
 
 def _from_unicode(token: str):
@@ -140,10 +149,7 @@ def _from_unicode(token: str):
     if token[:2] in ("\\u", "%u") and token[2] != "{":
         units = [int(token[i + 2:i + 6], 16) for i in range(0, len(token), 6)]
         raw = b"".join(u.to_bytes(2, "little") for u in units)
-        try:
-            text = raw.decode("utf-16-le")
-        except UnicodeDecodeError:
-            return None
+        text = raw.decode("utf-16-le", "surrogatepass")
         begins, at = [], 0
         for c in text:
             begins.append(6 * at)
@@ -221,26 +227,49 @@ def _pieces(raw: bytes, limit: int) -> Iterator[tuple[bytes, bool]]:
         yield bytes(held), False
 
 
-def _may_open(raw: bytes) -> bool:
-    """A quick look before the intervals are worked out: compressed, or UTF-8."""
-    if raw[:2] in _PACKED or raw[:1] == b"\x78":
-        return True
-    try:
-        raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return False
-    return True
-
-
-def _opened(raw: bytes, starts, ends) -> _Layer | None:
-    """Bytes as a layer: still compressed, or plain text; else None."""
-    if raw[:2] in _PACKED or raw[:1] == b"\x78" and not raw[:8].isalnum():
-        return _Layer(raw, starts, ends)
-    made = _characters(raw)
-    if not made or not made[0] or _control.search(made[0]):
-        return None
-    begins = np.array([*made[1], len(raw)], np.int64)
-    return _Layer(made[0], starts[begins[:-1]], ends[begins[1:] - 1])
+def _is_packed(raw: bytes) -> bool:
+    """Whether bytes are compressed content from the first on. Their text and
+    their other alignments would be noise, in which repeats look like keys."""
+    return bool(_magic.match(raw)) and next(_stream(raw), None) is not None
+
+
+def _opened(raw: bytes, starts, ends) -> Iterator[_Layer]:
+    """Bytes as layers: what may be compressed, and text."""
+    if _is_packed(raw):
+        yield _Layer(raw, starts, ends)
+        return
+    for m in _magic.finditer(raw):
+        yield _Layer(raw[m.start():], starts[m.start():], ends[m.start():])
+    text, begins = _characters(raw)
+    edges = np.append(begins, len(raw))
+    yield _Layer(text, starts[edges[:-1]], ends[edges[1:] - 1])
+    if b"\0" in raw:
+        for coding in ("utf-16-le", "utf-16-be"):
+            for at in (0, 1):
+                n = (len(raw) - at) // 2 * 2
+                text = raw[at:at + n].decode(coding, "surrogatepass")
+                wide = np.array([c > "\uffff" for c in text], np.int64)
+                edges = np.append(0, np.cumsum(2 + 2 * wide)) + at
+                if text:
+                    yield _Layer(text, starts[edges[:-1]], ends[edges[1:] - 1])
+
+
+def _packed_escapes(layer: _Layer) -> Iterator[_Layer]:
+    """Compressed bytes in percent-escaped tokens."""
+    for m in _token.finditer(layer.content):
+        if "%" not in m[0]:
+            continue
+        cells = list(_cell.finditer(m[0]))
+        raws = [bytes((int(c[0][1:], 16),)) if len(c[0]) == 3 else c[0].encode("utf-8", "surrogatepass") for c in cells]
+        raw = b"".join(raws)
+        if not _magic.search(raw):
+            continue
+        starts, ends = layer.maps()
+        of = np.repeat(np.arange(len(cells)), [len(r) for r in raws])
+        first = np.array([c.start() for c in cells], np.int64)[of] + m.start()
+        last = np.array([c.end() for c in cells], np.int64)[of] + m.start() - 1
+        for p in _magic.finditer(raw):
+            yield _Layer(raw[p.start():], starts[first[p.start():]], ends[last[p.start():]])
 
 
 def _base64_layers(layer: _Layer) -> Iterator[_Layer]:
@@ -251,22 +280,21 @@ def _base64_layers(layer: _Layer) -> Iterator[_Layer]:
         tokens += _wrapped.finditer(text)
     for m in tokens:
         token = m[0].rstrip("=")
-        chars = token.replace("\r", "").replace("\n", "").replace("-", "+").replace("_", "/")
-        chars = chars[:len(chars) - 1] if len(chars) % 4 == 1 else chars
-        try:
-            raw = binascii.a2b_base64(chars + "=" * (-len(chars) % 4))
-        except binascii.Error:
-            continue
-        if not _may_open(raw):
-            continue
-        maps = maps or layer.maps()
+        every = token.replace("\r", "").replace("\n", "").replace("-", "+").replace("_", "/")
         place = np.flatnonzero(np.frombuffer(token.encode("ascii"), np.uint8) > 32) + m.start()
-        k = np.arange(len(raw))
-        first = place[k // 3 * 4 + k % 3]
-        last = place[np.minimum(k // 3 * 4 + k % 3 + 1, len(place) - 1)]
-        made = _opened(raw, maps[0][first], maps[1][last])
-        if made:
-            yield made
+        maps = maps or layer.maps()
+        for skip in range(4):
+            chars = every[skip:]
+            chars = chars[:len(chars) - 1] if len(chars) % 4 == 1 else chars
+            raw = binascii.a2b_base64(chars + "=" * (-len(chars) % 4))
+            # The shortest match of any rule has twelve characters.
+            if len(raw) < LEAST_BYTES:
+                continue
+            k = np.arange(len(raw)) // 3 * 4 + np.arange(len(raw)) % 3 + skip
+            first, last = place[k], place[np.minimum(k + 1, len(place) - 1)]
+            yield from _opened(raw, maps[0][first], maps[1][last])
+            if _is_packed(raw):
+                break
 
 
 def scan(text: str, max_layer_bytes: int = MAX_LAYER_BYTES) -> tuple[list, list, int, int]:
@@ -285,11 +313,12 @@ def scan(text: str, max_layer_bytes: int = MAX_LAYER_BYTES) -> tuple[list, list,
                 refused |= inside or bool(packed)
                 packed = _coder(raw) is not None or raw[:4] == b"\x28\xb5\x2f\xfd" if packed is None else packed
                 n = len(raw)
-                yield _opened(raw, np.broadcast_to(np.int64(whole[0]), n), np.broadcast_to(np.int64(whole[1]), n))
+                yield from _opened(raw, np.broadcast_to(np.int64(whole[0]), n), np.broadcast_to(np.int64(whole[1]), n))
             unopened += refused
             return
         if "%" in layer.content:
             yield _rewritten(layer, _url, _from_url)
+            yield from _packed_escapes(layer)
         if "\\" in layer.content or "%u" in layer.content or "&#" in layer.content or _wide.search(layer.content):
             yield _rewritten(layer, _unicode, _from_unicode)
         yield from _base64_layers(layer)

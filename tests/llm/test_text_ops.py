@@ -88,6 +88,23 @@ def test_large_layers_are_scanned_whole(pack):
     assert [k for _, k, _ in every] == [0] and unopened == 1
 
 
+@pytest.mark.parametrize("hidden", [
+    base64.b64encode(SECRET.encode("utf-16")).decode(),
+    base64.b64encode(f"\x1b[31m {SECRET} \x1b[0m".encode()).decode(),
+    base64.b64encode(f"caf\xe9 {SECRET} \xfc".encode("latin-1")).decode(),
+    base64.b64encode(gzip.compress(SECRET.encode("utf-16-be"))).decode(),
+    base64.b64encode(gzip.compress(b"first") + gzip.compress(SECRET.encode())).decode(),
+    "%ff" + urllib.parse.quote(SECRET, safe="").replace("p", "%70"),
+    "\\ud800" + "".join(f"\\u{ord(c):04x}" for c in SECRET),
+    urllib.parse.quote(gzip.compress(SECRET.encode())),
+    "/static/v1/" + base64.b64encode(SECRET.encode()).decode(),
+], ids=["utf-16", "ansi", "latin-1", "gzip of utf-16", "two members", "bad url byte", "lone surrogate", "url of gzip", "path"])
+def test_unclean_layers_are_scanned(hidden):
+    text = "é see " + hidden + " end"
+    _, every, _, unopened = secret_layers.scan(text)
+    assert unopened == 0 and any(k == 0 and 6 <= a < b <= 6 + len(hidden) for a, k, b in every)
+
+
 def test_failing_assign_is_consumed():
     text = "secret:token: abcdefgh and token=abcdefgh"
     assert [s for s in secret_layers.base_spans(text) if s[1] == 0] == [s for s in _brute_base(text) if s[1] == 0]
