@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (best_fit, block_naming, byte_shards, capture_index, chat_tree, impact_search, noisy_channel,
-               order_join, secret_layers, systematic_mix)
+from . import (best_fit, block_naming, byte_shards, capture_index, chat_tree, hybrid_rank, impact_search, merkle_climb,
+               noisy_channel, order_join, rank_profiles, secret_layers, systematic_mix)
+from .common import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +73,24 @@ def op10_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op11_rank_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = rank_profiles.identified(docs, rank_profiles.fit(docs))
+    return found.select("doc_id", rank_profiles.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op12_hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = written(hybrid_rank.index(_table(spark, sf_dir, "documents")), "search-index")
+    return hybrid_rank.search(blocks, _table(spark, sf_dir, "benchmark"))
+
+
+def op13_merkle_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    tampered = merkle_climb.lower_cased_sample(docs["doc_id"], docs["text"])
+    found = merkle_climb.verified(merkle_climb.build(docs, {"text": tampered}))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {
     "op1_impact_search": op1_impact_search,
     "op2_secret_layers": op2_secret_layers,
@@ -83,4 +102,7 @@ QUERIES = {
     "op8_block_naming": op8_block_naming,
     "op9_capture_index": op9_capture_index,
     "op10_order_join": op10_order_join,
+    "op11_rank_profiles": op11_rank_profiles,
+    "op12_hybrid_rank": op12_hybrid_rank,
+    "op13_merkle_climb": op13_merkle_climb,
 }
