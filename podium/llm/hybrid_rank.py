@@ -7,8 +7,8 @@ are summed into one accumulator per document, and the accumulators are from
 then on one iterator with known bounds. The long lists follow document at a
 time, in windows of neighbouring documents: the largest contribution of each
 list in each window and the largest accumulator bound what a document there
-can reach, and a window below the score to beat is skipped with all its
-postings. Inside a window the lists are taken by falling bound, and documents
+can reach. Windows are visited by falling bound, and those below the score to
+beat are skipped with all their postings. Inside a window the lists are taken by falling bound, and documents
 that the rest cannot lift are dropped. The score to beat is the query's k-th
 best so far: from some first blocks, then from the task's own earlier blocks.
 
@@ -40,6 +40,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,24 +145,25 @@ def weight(df: int, n_docs: int) -> int:
 class Lists:
     """The lists of one block that a set of queries may need."""
 
-    def __init__(self, row: dict, wanted: set[str], n_docs: int, n_terms: int, window: int = WINDOW,
+    def __init__(self, row: dict, wanted: pa.Array, n_docs: int, n_terms: int, window: int = WINDOW,
                  long_share: int = LONG_SHARE):
         self.doc_ids, self.size, self.window = row["doc_ids"], len(row["doc_ids"]), window
         self.windows = -(-self.size // window)
         self.at: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         self.long: dict[str, tuple[np.ndarray, np.ndarray]] = {}  # where each window starts, its largest impact
         terms, ends = row["terms"], row["ends"]
-        for i in np.flatnonzero(np.fromiter((t in wanted for t in terms), bool, len(terms))):
+        for i in np.flatnonzero(pc.is_in(terms, wanted).to_numpy(zero_copy_only=False)):
+            term = terms[i].as_py()
             start, end = int(ends[i - 1]) if i else 0, int(ends[i])
             docs = row["docs"][start:end]
             worth = impacts(row["tfs"][start:end].astype(np.int64), row["lengths"][docs], n_docs, n_terms)
-            self.at[terms[i]] = docs, worth
+            self.at[term] = docs, worth
             if len(docs) * long_share > self.size:
                 starts = np.searchsorted(docs, np.arange(self.windows + 1) * window)
                 held = starts[1:] > starts[:-1]
                 top = np.zeros(self.windows, np.int64)
                 top[held] = np.maximum.reduceat(worth, starts[:-1][held])
-                self.long[terms[i]] = starts, top
+                self.long[term] = starts, top
 
 
 def best_of_block(lists: Lists, query: dict[str, int], k: int, best: list[tuple], least: int) -> tuple[list[tuple], int]:
@@ -186,9 +188,10 @@ def best_of_block(lists: Lists, query: dict[str, int], k: int, best: list[tuple]
     bounds = reduce(np.add, tops, bounds)
     least = max(least, 1, -best[-1][0] if len(best) >= k else 0)
     # Long lists, document at a time, window by window.
-    for at in np.flatnonzero(bounds >= least):
+    open_windows = np.flatnonzero(bounds >= least)
+    for at in open_windows[np.argsort(-bounds[open_windows], kind="stable")]:
         if bounds[at] < least:
-            continue
+            break
         lo = int(at) * lists.window
         score = held[lo:lo + lists.window].copy()
         rest = sum(int(top[at]) for top in tops)
@@ -218,7 +221,7 @@ def _row(batch: pa.RecordBatch, i: int) -> dict:
     def numbers(name: str) -> np.ndarray:
         return batch.column(name)[i].values.to_numpy(zero_copy_only=False)
     return {"doc_ids": batch.column("doc_ids")[i].as_py(), "lengths": numbers("lengths").astype(np.int64),
-            "terms": batch.column("terms")[i].as_py(), "ends": numbers("ends"), "docs": numbers("docs"),
+            "terms": batch.column("terms")[i].values, "ends": numbers("ends"), "docs": numbers("docs"),
             "tfs": numbers("tfs")}
 
 
@@ -227,13 +230,13 @@ def _frequencies(blocks: DataFrame, wanted: set[str]) -> dict[str, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
+        asked = pa.array(sorted(wanted), pa.string())
         for batch in batches:
             for i in range(batch.num_rows):
-                before = 0
-                for term, end in zip(batch.column(0)[i].as_py(), batch.column(1)[i].as_py()):
-                    if term in wanted:
-                        total[term] += end - before
-                    before = end
+                terms, ends = batch.column(0)[i].values, batch.column(1)[i].values.to_numpy(zero_copy_only=False)
+                there = pc.is_in(terms, asked)
+                sizes = np.diff(ends, prepend=0)[there.to_numpy(zero_copy_only=False)]
+                total.update(dict(zip(terms.filter(there).to_pylist(), sizes.tolist())))
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())],
                                          names=["term", "df"])
 
@@ -248,9 +251,10 @@ def _searched(blocks: DataFrame, queries: list[tuple[int, dict[str, int]]], n_do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, list[tuple]] = {q: [] for q, _ in queries}
+        asked = pa.array(sorted(wanted), pa.string())
         for batch in batches:
             for i in range(batch.num_rows):
-                lists = Lists(_row(batch, i), wanted, n_docs, n_terms)
+                lists = Lists(_row(batch, i), asked, n_docs, n_terms)
                 for q, query in queries:
                     best[q], _ = best_of_block(lists, query, k, best[q], least.get(q, 0))
         rows = [(q, None if null else d, -s) for q, found in best.items() for s, null, d in found]
