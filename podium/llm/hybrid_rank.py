@@ -52,7 +52,6 @@ BLOCK_TERMS = 1 << 21
 WINDOW = 64
 LONG_SHARE = 16  # a list of more than 1 in so many of a block's documents is long
 CHUNK_CHARS = 1 << 22
-FIRST_BLOCKS = 4
 
 # Fixed values of the score.
 SCALE, STEP, LENGTH_PERCENT = 1_000_000_000, 1000, 75
@@ -265,10 +264,11 @@ def _searched(blocks: DataFrame, queries: list[tuple[int, dict[str, int]]], n_do
 
 
 def search(blocks: DataFrame, items: DataFrame, k: int = K, chunk_chars: int = CHUNK_CHARS,
-           first_blocks: int = FIRST_BLOCKS) -> DataFrame:
+           look_ahead: bool = True) -> DataFrame:
     """(item_id, rank from 1, doc_id, score): the best ``k`` documents of an
     index for each row of ``items`` (item_id, text). ``blocks`` is a written
-    :func:`index`."""
+    :func:`index`. With ``look_ahead`` the blocks of its first file are searched
+    beforehand for scores to beat."""
     spark = blocks.sparkSession
     asked = items.select(items["item_id"], items["text"]).filter("text IS NOT NULL").distinct()
     asked = written(numbered(asked.withColumn("size", F.length("text").cast("long")), ["item_id", "text"],
@@ -284,10 +284,13 @@ def search(blocks: DataFrame, items: DataFrame, k: int = K, chunk_chars: int = C
         df = _frequencies(blocks, {t for c in counts.values() for t in c})
         queries = [(q, {t: n * weight(df[t], total["n"]) for t, n in c.items() if t in df})
                    for q, c in sorted(counts.items())]
-        # A document's score is a proof for its query, whichever blocks come first.
-        first = _searched(blocks.limit(first_blocks), queries, total["n"], total["t"], k, {})
-        least = {r["q"]: r["least"] for r in first.withColumn("rank", rank).filter(F.col("rank") == k)
-                 .select("q", F.col("score").alias("least")).collect()} if first_blocks else {}
+        least = {}
+        if look_ahead:
+            # A document's score is a proof for its query, whichever blocks come first.
+            ahead = _searched(spark.read.schema(blocks.schema).parquet(min(blocks.inputFiles())), queries, total["n"],
+                              total["t"], k, {})
+            least = {r["q"]: r["least"] for r in ahead.withColumn("rank", rank).filter(F.col("rank") == k)
+                     .select("q", F.col("score").alias("least")).collect()}
         parts.append(written(_searched(blocks, queries, total["n"], total["t"], k, least), "search-found"))
     found = reduce(DataFrame.union, parts).withColumn("rank", rank).filter(F.col("rank") <= k)
     return (found.join(asked.select(F.col("n").alias("q"), "item_id"), "q")

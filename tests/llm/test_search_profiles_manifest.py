@@ -131,14 +131,14 @@ ITEMS = [(0, "T1é t2é T3é t40é"), (1, "t1é t1é t1é t300é t7é"), (2, Non
          *[(10 + i, " ".join(f"t{i * 7 % j + 1}é" for j in range(1, 40))) for i in range(12)]]
 
 
-@pytest.mark.parametrize("k, chunk_chars, first_blocks", [(10, 1 << 22, 4), (3, 60, 0)])
-def test_ranking_equals_brute_force(spark, k, chunk_chars, first_blocks):
+@pytest.mark.parametrize("k, chunk_chars, look_ahead", [(10, 1 << 22, True), (3, 60, False)])
+def test_ranking_equals_brute_force(spark, k, chunk_chars, look_ahead):
     rows = skewed_rows() + [(1000 + (r[0] or 0), *r[1:]) if r[0] is not None else r for r in awkward_rows()]
     df = with_clashes(docs(spark, rows)).repartition(3)
     items = with_clashes(spark.createDataFrame(ITEMS, "item_id long, text string"))
     blocks = written(H.index(df, block_docs=150, block_terms=3000), "test-index")
     assert blocks.count() > 4
-    found = H.search(blocks, items, k, chunk_chars, first_blocks).collect()
+    found = H.search(blocks, items, k, chunk_chars, look_ahead).collect()
     assert sorted(map(tuple, found), key=key) == sorted(brute_ranking(rows, ITEMS, k), key=key)
 
 
