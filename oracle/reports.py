@@ -24,6 +24,7 @@ COMPETITION_ID = 7
 ATHLETE_ID = 8
 NAME_TERM = "%given7 %"
 COMPETITION_TERM = "1"
+VENUE_TERM = " venue 1 "
 CODE_TERM = "SGP"
 COUNTRY_TERM = "malay"
 LITERAL_TERM = "GIVEN7 "
@@ -107,6 +108,10 @@ Q["competitions_with_results_count"] = _how_many(_FOUND_SCORED)
 Q["competitions_count"] = """
 select if(exists (select 1 from competitions c join scored_meets s on s.competition_id = c.id),
           (select count(*) from competitions), 0)::bigint as total"""
+_AT_VENUE = f"select id from listed where {_like(VENUE_TERM.strip(), 'name', 'venue', 'country_name')}"
+Q["competitions_search_count"] = f"""
+select if(exists (select 1 from ({_AT_VENUE}) f join scored_meets s on s.competition_id = f.id),
+          (select count(*) from ({_AT_VENUE})), 0)::bigint as total"""
 Q["competition_picker"] = f"""
 select id, name from competitions where contains(lower(name), lower('{PICKER_TERM}'))
 order by name nulls last, id"""
@@ -307,6 +312,12 @@ from ({Q[name]})""" for name, key, order in (
 Q["parameterised_sql"] = f"""
 select competition_id, count(*) as results from ({_HERE_COUNTED.replace("v.*", "competition_id")}) group by all"""
 Q["appended_competitions"] = "select id, name, start_date from competitions"
+# An append in batches changes where rows lie, not what the reports give.
+Q["lake_results"] = "select * from results"
+for _key in ("athlete_results", "competitions_list", "timeline"):
+    Q[f"lake_{_key}"] = Q[_key]
+for _key in ("results_by_name", "results_by_name_count"):
+    Q[f"lake_{_key}"] = Q[f"athlete_{_key}"]
 Q["countries_json"] = """select '{"code":"' || code || '","name":"' || name || '"}' as json from countries"""
 
 

@@ -120,12 +120,19 @@ def finish_tier(place: str | Column = "place") -> Column:
 
 
 def wind_text(w: str | Column = "wind") -> Column:
-    """'<wind> m/s'; 0 and NULL show '-'. The number is printed in full, with
-    neither a trailing '.0' nor an exponent: 2 m/s, 0.00005 m/s."""
+    """'<wind> m/s' as the original's client prints a number; 0, NULL and NaN
+    show '-'. No trailing '.0'; an exponent from 1e21 up and below 1e-6 only:
+    2 m/s, 0.00005 m/s, 1e+21 m/s, 1e-20 m/s, -Infinity m/s."""
     w = c(w)
-    plain = F.regexp_replace(w.cast("string").cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
-    return (F.when(w.isNull() | (w == 0), F.lit(NO_VALUE))
-             .otherwise(F.concat(plain, F.lit(WIND_UNIT))))
+    text, size = w.cast("string"), F.abs(w)
+    mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
+    power = F.substring_index(text, "E", -1)
+    short = F.concat(mantissa, F.when(power.startswith("-"), F.lit("e")).otherwise(F.lit("e+")), power)
+    shown = (F.when(size == float("inf"), text)
+             .when((size >= 1e21) | (size < 1e-6), short)
+             .when(size >= 1e15, F.regexp_replace(F.format_number(w, 0), ",", ""))
+             .otherwise(F.regexp_replace(text.try_cast("decimal(38,18)").cast("string"), r"\.?0+$", "")))
+    return F.when(w.isNull() | F.isnan(w) | (w == 0), F.lit(NO_VALUE)).otherwise(F.concat(shown, F.lit(WIND_UNIT)))
 
 
 def points_text(p: str | Column = "points") -> Column:

@@ -37,6 +37,25 @@ def like_pattern(term: str) -> str:
     return "%" + "".join(out) + "%"
 
 
+def literal_runs(pattern: str, least: int) -> list[str]:
+    """The ASCII pieces, in lower case, that a text must hold to match an ILIKE
+    pattern: what stands between wildcards, ``least`` characters or longer.
+    Other characters part the pieces (their case is the engine's matter)."""
+    runs, i = [""], 0
+    while i < len(pattern):
+        ch = pattern[i]
+        escaped = ch == "\\" and i + 1 < len(pattern)
+        if escaped:
+            i += 1
+            ch = pattern[i]
+        if ch.isascii() and (escaped or ch not in "%_"):
+            runs[-1] += ch.lower()
+        else:
+            runs.append("")
+        i += 1
+    return [r for r in runs if len(r) >= least]
+
+
 def ilike_any(cols: list[str | Column], term: str) -> Column:
     """OR of ``col ILIKE '%term%'`` over ``cols`` (NULL columns never match)."""
     pat = like_pattern(term)

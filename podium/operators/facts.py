@@ -5,8 +5,9 @@ first row per key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, TimestampType
 
 from ..functions.exprs import valid_mark
 from ..sources.schemas import RESULTS
@@ -208,9 +209,27 @@ def owner_groups(t: Tables, countries: list[str], also: tuple[str, ...] = ()) ->
              .drop("_spread", "a_full_name"))
 
 
-def first_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
+def first_per_key(df: DataFrame, key: str, order: list[tuple[Column, bool]]) -> DataFrame:
     """``DISTINCT ON (key) ... ORDER BY key, <order>``: the first row of each
-    key in ``order``. Callers filter the input first so the shuffle by key is
-    small."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    key in ``order``, (expression, descending) with PostgreSQL's NULL placement
+    (NULLs last ascending, first descending).
+
+    An aggregate, not a window: tasks keep one row per key before the shuffle.
+    Descending keys must be numbers, dates or timestamps. Of rows that tie any
+    may be picked.
+    """
+    # A struct compares field by field, NULL as the smallest: ascending keys
+    # carry whether they are NULL before them, descending ones turn negative.
+    parts = []
+    for value, descending in order:
+        if descending:
+            kind = df.select(value).schema[0].dataType
+            number = F.unix_date(value) if isinstance(kind, DateType) else value.cast("double") if isinstance(
+                kind, TimestampType) else value
+            parts += [value.isNotNull(), -number]
+        else:
+            parts += [value.isNull(), value]
+    rest = [c for c in df.columns if c != key]
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(*parts))
+    return df.groupBy(key).agg(first.alias("_first")).select(
+        *[F.col(f"`{key}`") if c == key else F.col("_first")[c].alias(c) for c in df.columns])

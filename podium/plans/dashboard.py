@@ -156,18 +156,21 @@ def timeline(t: Tables, country: str = DEFAULT_COUNTRY,
 
     Valid results are counted per competition on the fact side (a hash probe
     into the broadcast selected races, then map-side partial counts), so only
-    one row per selected competition leaves each task.
+    one row per selected competition leaves each task. Where valid results per
+    race are kept beside the fact, no result is read.
     """
     comps, sel = _timeline_selection(t, country, as_of, years)
     valid = valid_results(t).select("race_id", "id")
-    if t.broadcastable("races"):
+    if t.race_counts is None and t.broadcastable("races"):
         # probe the broadcast selected races, then count per competition
         per_comp = valid.join(t.dim("races", sel), F.col("race_id") == F.col("ra_id"))
         results_per_comp = per_comp.groupBy(F.col("ra_comp").alias("r_comp")).agg(F.count("id").alias("n_results"))
     else:
         # count per race first: only per-race rows meet the selected races
-        per_race = valid.groupBy("race_id").agg(F.count("id").alias("n"))
-        results_per_comp = (per_race.join(sel, F.col("race_id") == F.col("ra_id"))
+        per_race = t.race_counts
+        if per_race is None:
+            per_race = valid.groupBy("race_id").agg(F.count("id").alias("n"))
+        results_per_comp = (per_race.join(t.dim("races", sel), F.col("race_id") == F.col("ra_id"))
                             .groupBy(F.col("ra_comp").alias("r_comp"))
                             .agg(F.sum("n").cast("long").alias("n_results")))
     return _timeline_rollup(t, comps, sel, results_per_comp)

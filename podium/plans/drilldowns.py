@@ -17,10 +17,13 @@ from ..operators.facts import (RESULT_COLS, first_per_key, join_dim,
                                results_of_competition, valid_results,
                                with_athletes, with_race_context)
 from ..operators.paging import (LIST_PAGE_CAP, RESULTS_PAGE_SIZE, Key, PageSpec,
-                                asc, desc, page)
+                                asc, page)
+from ..sources.companions import GRAM
 from ..sources.tables import Tables
 
 V1_ATHLETE_PAGE_SIZE = 50
+GRAMS_LOOKED_UP = 3   # of a search term's grams, the rarest
+NAMES_PUSHED = 200    # names that go to the scan as a list (spark.sql.parquet.pushdown.inFilterThreshold)
 
 NEWEST_RACE: list[Key] = [("race_date", True), ("place", False), ("id", False)]
 NEWEST_LINKED: list[Key] = [("race_date", True), ("id", False)]
@@ -208,7 +211,7 @@ def athlete_result_rows(t: Tables, athlete_id: int, person: tuple[bool, str | No
         _athlete_identity(athlete_id, name) if found else F.lit(False))
     rows = _v2_columns(_v2_rows(t, r, ["competition_name"]),
                        extra=["competition_name", F.col("c_start_date").alias("start_date")])
-    return first_per_key(rows, "id", [desc("start_date"), asc("place")])
+    return first_per_key(rows, "id", [(F.col("start_date"), True), (F.col("place"), False)])
 
 
 def athlete_results_count(t: Tables, athlete_id: int, person: tuple[bool, str | None] | None = None) -> DataFrame:
@@ -218,11 +221,49 @@ def athlete_results_count(t: Tables, athlete_id: int, person: tuple[bool, str |
     return r.agg(F.count_distinct("id").alias("total"))
 
 
-def _by_name_filter(name: str) -> tuple[str, object]:
+def _name_pattern(name: str) -> str:
     n = (name or "").strip()
     if len(n) < 2:
         raise ValueError("Athlete name must be at least 2 characters")
-    return n, F.col("athlete_name").ilike(S.like_pattern(n)) & valid_mark()
+    return S.like_pattern(n)
+
+
+def matching_names(t: Tables, pattern: str) -> DataFrame:
+    """(athlete_name, n): the names of valid results that match an ILIKE
+    pattern, from the tables kept beside the fact.
+
+    The pattern's literal runs give three letters in a row that a name must
+    hold; of these the rarest are looked up, their names intersected and the
+    pattern itself decides. Without such a run all distinct names are tried.
+    """
+    names = t.athlete_names
+    grams = sorted({r[i:i + GRAM] for r in S.literal_runs(pattern, GRAM) for i in range(len(r) - GRAM + 1)})
+    if grams:
+        sizes = {r["gram"]: r["n"] for r in t.gram_counts.filter(F.col("gram").isin(grams))
+                 .groupBy("gram").agg(F.sum("n").alias("n")).collect()}  # a row for each of the term's grams
+        rarest = sorted(grams, key=lambda g: (sizes.get(g, 0), g))[:GRAMS_LOOKED_UP]
+        held = (t.name_grams.filter(F.col("gram").isin(rarest)).groupBy("athlete_name")
+                .agg(F.count_distinct("gram").alias("_grams")).filter(F.col("_grams") == len(rarest)))
+        names = names.join(held.select("athlete_name"), "athlete_name", "left_semi")
+    return (names.filter(F.col("athlete_name").ilike(pattern))
+            .groupBy("athlete_name").agg(F.sum("n").cast("long").alias("n")))
+
+
+def _results_named(t: Tables, name: str) -> DataFrame:
+    """Valid results whose own name matches.
+
+    With the name index only the matching names' rows are fetched from the copy
+    sorted by name: a short list of names is pushed to the scan, a longer one
+    is a semi join. Without it the fact is scanned.
+    """
+    pattern = _name_pattern(name)
+    if t.results_by_name is None or t.athlete_names is None:
+        return t.results.filter(F.col("athlete_name").ilike(pattern) & valid_mark())
+    names = matching_names(t, pattern).select("athlete_name")
+    few = [r["athlete_name"] for r in names.limit(NAMES_PUSHED + 1).collect()]
+    if len(few) <= NAMES_PUSHED:
+        return t.results_by_name.filter(F.col("athlete_name").isin(few) if few else F.lit(False))
+    return t.results_by_name.join(names, "athlete_name", "left_semi").select(*RESULT_COLS)
 
 
 def athlete_results_by_name(t: Tables, name: str, page_no: int = 1,
@@ -234,14 +275,16 @@ def athlete_results_by_name(t: Tables, name: str, page_no: int = 1,
 
 def athlete_result_rows_by_name(t: Tables, name: str) -> DataFrame:
     """All valid result rows whose own name matches, unpaged and distributed."""
-    _, pred = _by_name_filter(name)
-    return _v2_columns(_v2_rows(t, t.results.filter(pred), ["competition_name"]),
+    return _v2_columns(_v2_rows(t, _results_named(t, name), ["competition_name"]),
                        extra=["competition_name"], athlete_name_from_athlete=False)
 
 
 def athlete_results_by_name_count(t: Tables, name: str) -> DataFrame:
-    _, pred = _by_name_filter(name)
-    return _total(t.results.filter(pred))
+    """How many valid results carry a matching name; with the name index the
+    sum of the names' own counts, and no result is read."""
+    if t.athlete_names is None:
+        return _total(_results_named(t, name))
+    return matching_names(t, _name_pattern(name)).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total"))
 
 
 # --- rows the results page filters in the browser -------------------------------

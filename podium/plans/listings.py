@@ -57,7 +57,8 @@ def _valid_of(t: Tables, competitions: DataFrame) -> DataFrame:
     competitions (a frame with ``id``): their races are picked first, so that
     the fact only meets races that matter.
 
-    Within the races bound each result probes the broadcast races; beyond it
+    Where valid results per race are kept beside the fact, those are summed and
+    no result is read. Else, within the races bound, each result probes the broadcast races; beyond it
     the fact is counted per ``race_id`` first (map-side partial counts), so
     the shuffle carries one row per race.
     """
@@ -65,7 +66,9 @@ def _valid_of(t: Tables, competitions: DataFrame) -> DataFrame:
     races = (t.races.select(F.col("id").alias("_race"), "competition_id")
              .join(ids, F.col("competition_id") == F.col("_c")).drop("_c"))
     valid = valid_results(t).select("race_id")
-    if t.broadcastable("races"):
+    if t.race_counts is not None:
+        valid = t.race_counts
+    elif t.broadcastable("races"):
         valid = valid.withColumn("n", F.lit(1).cast("long"))
     else:
         valid = valid.groupBy("race_id").agg(F.count(F.lit(1)).alias("n"))

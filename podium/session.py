@@ -17,6 +17,8 @@ DEFAULT_CONF = {
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
+    # Lists of names are pushed to the scan name by name, not as one range.
+    "spark.sql.parquet.pushdown.inFilterThreshold": "200",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",

@@ -13,7 +13,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import ATHLETE_LAYOUT, DEFAULT_BROADCAST_MAX_ROWS, Tables, from_frames, record_layouts
+from .lake import write_tables
+from .tables import DEFAULT_BROADCAST_MAX_ROWS, Tables, from_frames
 
 # ---- fixed values (FIXTURES.md §3) -----------------------------------------
 # Country codes by key % 12; other keys get 'N' + two digits.
@@ -168,43 +169,5 @@ def derived_tables(spark: SparkSession, sf_dir: str,
 
 def write_lake(spark: SparkSession, sf_dir: str, out: str, results_files: int | None = None,
                athlete_layout: bool = True) -> str:
-    """Write the derived tables as parquet under ``out`` (one folder each).
-
-    ``results`` is range-partitioned and sorted by ``(race_id, id)`` so that
-    parquet min/max statistics let race-selective reads skip row groups; the
-    ``id`` in the range key lets a race holding a large share of the rows be
-    split over several partitions instead of landing in one task. Parquet
-    bloom filters on ``athlete_id`` and ``athlete_name`` help athlete
-    predicates on that layout once chunks outgrow dictionary encoding.
-
-    With ``athlete_layout`` a second copy of the fact, ranged and sorted by
-    ``(athlete_id, athlete_name, id)``, is written to ``results_by_athlete``:
-    it doubles the fact's storage and turns every athlete drill-down from a
-    full scan into a read of the athlete's row groups (NULL ids sort first,
-    by name, so orphans matched by name are clustered too).
-    """
-    frames = derive(spark, sf_dir)
-    tables = from_frames(frames)
-    for n in frames:
-        df = tables.table(n)
-        w = None
-        if n == "results":
-            if results_files:
-                df = df.repartitionByRange(results_files, "race_id", "id")
-            w = df.sortWithinPartitions("race_id", "id").write
-            for c in RESULTS_BLOOM_COLUMNS:
-                w = w.option(f"parquet.bloom.filter.enabled#{c}", "true")
-        w = (w or df.write).mode("overwrite")
-        w.parquet(os.path.join(out, n))
-    if athlete_layout:
-        df = tables.results
-        keys = [F.col("athlete_id").asc_nulls_first(), F.col("athlete_name").asc_nulls_first(), F.col("id")]
-        if results_files:
-            df = df.repartitionByRange(results_files, *keys)
-        (df.sortWithinPartitions(*keys).write.mode("overwrite")
-           .parquet(os.path.join(out, ATHLETE_LAYOUT)))
-        record_layouts(spark, out)
-    return out
-
-
-RESULTS_BLOOM_COLUMNS = ("athlete_id", "athlete_name")
+    """Write the derived tables as a lake (:func:`.lake.write_tables`)."""
+    return write_tables(derived_tables(spark, sf_dir), out, results_files, athlete_layout)

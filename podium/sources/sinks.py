@@ -9,9 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch_dir
+from . import companions
 from .schemas import FACT, SCHEMAS
-from .tables import ATHLETE_LAYOUT, layouts_in_step, record_layouts
 
 
 def append(df: DataFrame, path: str, fmt: str = "parquet",
@@ -30,27 +29,32 @@ def append(df: DataFrame, path: str, fmt: str = "parquet",
     return int(obs.get["rows"])
 
 
-def append_results(df: DataFrame, path: str, fmt: str = "parquet") -> int:
-    """Append results to a lake, to the fact and to its athlete-sorted copy,
-    and return the number of rows.
+def append_results(df: DataFrame, path: str, fmt: str = "parquet", batch: str | None = None) -> int:
+    """Append results to a lake as one batch, with all tables kept beside the
+    fact, and return the number of rows added.
 
-    The batch is first written to the shared folder, so both layouts get the
-    same rows even if ``df`` would not give them twice. The fact is written
-    first; only after both are complete are they recorded as equal. If the
-    append stops in between, or the copy was out of step before, readers use
-    the fact, which is always complete.
+    The batch lies in a folder of its own and counts from the moment it is
+    noted as complete, so readers see all of its layouts or none. A batch that
+    is already noted adds nothing, so a caller may retry with the same id; what
+    an interrupted attempt left behind is written anew. The other layouts are
+    made from the fact's part as written, so they hold the same rows even if
+    ``df`` would not give them twice. One id must not be written by two callers
+    at a time.
     """
     spark = df.sparkSession
-    batch_path = scratch_dir(spark, f"append-{uuid.uuid4().hex}")
+    batch = batch or uuid.uuid4().hex
+    folder = companions.batch_folder(path, batch)
+    if batch in companions.committed(spark, path):
+        return 0
     columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[FACT]]
-    df.select(*columns).write.parquet(batch_path)
-    batch = spark.read.schema(SCHEMAS[FACT]).parquet(batch_path)
-    both = layouts_in_step(spark, path, fmt)
-    rows = append(batch.sortWithinPartitions("race_id", "id"), os.path.join(path, FACT), fmt)
-    if both:
-        keys = [F.col("athlete_id").asc_nulls_first(), F.col("athlete_name").asc_nulls_first(), F.col("id")]
-        append(batch.repartitionByRange(*keys).sortWithinPartitions(*keys), os.path.join(path, ATHLETE_LAYOUT), fmt)
-        record_layouts(spark, path, fmt)
+    obs = Observation("append_results")
+    (df.select(*columns).repartitionByRange("race_id", "id").sortWithinPartitions("race_id", "id")
+     .observe(obs, F.count(F.lit(1)).alias("rows")).write.format(fmt).mode("overwrite").save(os.path.join(folder, FACT)))
+    rows = int(obs.get["rows"])
+    names = companions.in_step(spark, path, fmt)
+    written = spark.read.format(fmt).schema(SCHEMAS[FACT]).load(os.path.join(folder, FACT))
+    companions.write_companions(written, folder, names, fmt)
+    companions.commit(spark, path, batch, rows, names)
     return rows
 
 

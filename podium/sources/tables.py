@@ -10,14 +10,13 @@ The fact table ``results`` is never broadcast.
 
 from __future__ import annotations
 
-import hashlib
 import os
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import companions
 from .schemas import FACT, SCHEMAS
 
 # Rows a dimension may have and still be broadcast (after column pruning a
@@ -39,6 +38,12 @@ class Tables:
     # Optional second layout of the fact, sorted by athlete (same rows and
     # columns as ``results``); athlete drill-downs read it when present.
     results_by_athlete: DataFrame | None = None
+    # Further tables kept beside the fact, see :mod:`.companions`.
+    results_by_name: DataFrame | None = None
+    race_counts: DataFrame | None = None
+    athlete_names: DataFrame | None = None
+    name_grams: DataFrame | None = None
+    gram_counts: DataFrame | None = None
     _rows: dict[str, int] = field(default_factory=dict, repr=False)
 
     @property
@@ -94,66 +99,34 @@ def _conform(df: DataFrame, name: str) -> DataFrame:
 
 
 ATHLETE_LAYOUT = "results_by_athlete"
-LAYOUT_RECORD = "results_layouts"
-
-
-def _layout_state(spark: SparkSession, path: str, fmt: str) -> str | None:
-    """A fingerprint of the data files that the fact and its athlete-sorted
-    copy consist of right now; None without a copy. Every write adds or
-    replaces files under new names, so any write to either one changes it."""
-    names = []
-    for layout in (FACT, ATHLETE_LAYOUT):
-        try:
-            files = spark.read.format(fmt).schema(SCHEMAS[FACT]).load(os.path.join(path, layout)).inputFiles()
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
-        names += sorted(f"{layout}/{f.rsplit('/', 1)[-1]}" for f in files)
-    return hashlib.sha256("\n".join(names).encode()).hexdigest()
-
-
-def record_layouts(spark: SparkSession, path: str, fmt: str = "parquet") -> None:
-    """Note that the fact and its copy hold the same rows, as they now are."""
-    state = _layout_state(spark, path, fmt)
-    if state is not None:
-        spark.createDataFrame([(state,)], "state string").coalesce(1).write.mode("overwrite").json(
-            os.path.join(path, LAYOUT_RECORD))
-
-
-def layouts_in_step(spark: SparkSession, path: str, fmt: str = "parquet") -> bool:
-    """Whether the copy holds the fact's rows: both consist of exactly the
-    files that were there when they were last recorded as equal. An append to
-    one of them, or one that was interrupted, leaves them out of step."""
-    try:
-        noted = spark.read.schema("state string").json(os.path.join(path, LAYOUT_RECORD)).first()
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return False
-    return noted is not None and noted["state"] == _layout_state(spark, path, fmt)
 
 
 def load_tables(spark: SparkSession, path: str, fmt: str = "parquet",
                 broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
-                with_athlete_layout: bool = True) -> Tables:
-    """Read the eight tables from a lake folder (``<path>/<table>``), and the
-    optional athlete-sorted copy of the fact (``<path>/results_by_athlete``)
-    when it holds the same rows (:func:`layouts_in_step`).
+                with_athlete_layout: bool = True, with_companions: bool = True) -> Tables:
+    """Read the eight tables from a lake folder (``<path>/<table>``), the fact
+    with the batches committed so far, and the tables kept beside the fact as
+    far as they hold the same rows (:func:`companions.in_step`).
 
     The declared schema is passed to the reader, so no inference pass runs and
     column pruning / filter pushdown reach the files.
     """
     dfs = {}
+    batches = companions.committed(spark, path)
     for n, schema in SCHEMAS.items():
         p = os.path.join(path, n)
+        if n == FACT and batches:
+            dfs[n] = companions.read_batches(spark, path, n, batches, fmt)
+            continue
         if fmt == "parquet" and not os.path.exists(p) and os.path.exists(p + ".parquet"):
             p = p + ".parquet"
         dfs[n] = spark.read.format(fmt).schema(schema).load(p)
-    by_athlete = None
-    if with_athlete_layout and layouts_in_step(spark, path, fmt):
-        by_athlete = spark.read.format(fmt).schema(SCHEMAS[FACT]).load(os.path.join(path, ATHLETE_LAYOUT))
-    return Tables(**dfs, broadcast_max_rows=broadcast_max_rows, results_by_athlete=by_athlete)
+    beside = {}
+    for n in companions.in_step(spark, path, fmt):
+        wanted = with_athlete_layout if n == ATHLETE_LAYOUT else with_companions
+        if wanted and all(n in names for names in batches.values()):
+            beside[n] = companions.read_batches(spark, path, n, batches, fmt)
+    return Tables(**dfs, broadcast_max_rows=broadcast_max_rows, **beside)
 
 
 # Tables keyed by a numeric ``id`` can be read in parallel id ranges.

@@ -30,6 +30,14 @@ def test_wind_and_points_text(spark):
                    ("-", "-"), ("100 m/s", "1234568"), ("1.3 m/s", "4")]
 
 
+def test_every_wind_prints(spark):
+    winds = {float("nan"): "-", float("inf"): "Infinity m/s", float("-inf"): "-Infinity m/s", 1e21: "1e+21 m/s",
+             -1.5e22: "-1.5e+22 m/s", 1e20: "100000000000000000000 m/s", 123456789012345680.0: "123456789012345680 m/s",
+             1e-20: "1e-20 m/s", 1.25e-7: "1.25e-7 m/s", 1e-6: "0.000001 m/s", -0.0: "-", 0.1: "0.1 m/s"}
+    df = spark.createDataFrame([(w,) for w in winds], "wind double")
+    assert [r[0] for r in df.select(X.wind_text("wind")).collect()] == list(winds.values())
+
+
 ROWS = dict(
     countries=[("SGP", "Singapore"), ("MAS", "Malaysia"), ("EMP", "")],
     ranking_categories=[(1, "A")],
@@ -330,9 +338,12 @@ def test_like_pattern_and_gates():
 
 def test_first_per_key_and_null_order(spark):
     df = spark.createDataFrame([(1, d(2001, 1, 1), 3), (1, d(2002, 1, 1), 5), (1, d(2002, 1, 1), 2),
-                                (2, None, 1), (2, d(2003, 1, 1), 1)], "id long, s date, p int")
-    got = {r["id"]: (r["s"], r["p"]) for r in first_per_key(df, "id", [desc("s"), asc("p")]).collect()}
-    assert got == {1: (d(2002, 1, 1), 2), 2: (None, 1)}  # DESC puts NULL first
+                                (2, None, 1), (2, d(2003, 1, 1), 1), (3, d(2003, 1, 1), None), (3, d(2003, 1, 1), 9),
+                                (None, d(1903, 1, 1), 4), (None, d(1903, 1, 1), 3)], "id long, s date, p int")
+    first = first_per_key(df, "id", [(F.col("s"), True), (F.col("p"), False)])
+    got = {r["id"]: (r["s"], r["p"]) for r in first.collect()}
+    assert got == {1: (d(2002, 1, 1), 2), 2: (None, 1), 3: (d(2003, 1, 1), 9), None: (d(1903, 1, 1), 3)}
+    assert first.columns == df.columns and "Window" not in first._jdf.queryExecution().executedPlan().toString()
     out = page(df, [asc("s"), asc("p")], PageSpec(1, 10)).collect()
     assert out[-1]["s"] is None  # ASC puts NULL last
 
