@@ -35,9 +35,9 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Container, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -69,7 +69,6 @@ LOOKS_LIKE = {
 SEPARATORS = " .-_*'~·,:/"
 COST_LOOKS_LIKE, COST_SEPARATOR, COST_REPEAT, COST_UNKNOWN, COST_DROP = 0.5, 0.5, 1.0, 2.0, 12.0
 COST_BOUNDARY = 0.5  # a separator that parts two words
-MOST_CUTS = 32  # ways to part the signs behind a token into letters and punctuation
 
 _spaced = re.compile(r"(?<!\S)\S(?:\s++\S(?!\S))+")
 _edge = ".,;:!?\"'()[]{}*%&#$|~"
@@ -200,14 +199,53 @@ def restore(observed: str, model: list) -> str:
 def _cuts(token: str, core_end: int) -> tuple[int, ...]:
     """Where the signs behind a token's core may part into letters and
     punctuation: wherever the sign changes."""
-    changes = (i for i in range(core_end, len(token)) if i == core_end or token[i] != token[i - 1])
-    return tuple(islice(changes, MOST_CUTS))
+    return tuple(i for i in range(core_end, len(token)) if i == core_end or token[i] != token[i - 1])
 
 
 def _word_features(word: str) -> tuple[str, ...]:
     return (word, *(word[:n] + "-" for n in BEGINNINGS if len(word) >= n)) if len(word) >= 3 else ()
 
 
+class Trie:
+    """The letters of a set of features, to tell whether any reading of an
+    observed string can have one of them."""
+
+    def __init__(self, features):
+        self.next: list[dict[str, int]] = [{}]
+        self.last = set()
+        for feature in features:
+            at = 0
+            for c in feature.removesuffix("-"):
+                if c not in self.next[at]:
+                    self.next[at][c] = len(self.next)
+                    self.next.append({})
+                at = self.next[at][c]
+            self.last.add(at)
+
+    def reached(self, observed: str) -> bool:
+        """Whether some path through the lattice of ``observed`` spells a
+        feature from where a word may begin. Costs are left out, so every
+        reading of :func:`readings`, of any part of the string, is among the
+        paths, and a string without such a path cannot change a score."""
+        step, last, at, before = self.next, self.last, {0}, ""
+        for c in observed:
+            if c.isalpha():
+                to = {step[s][c] for s in at if c in step[s]}
+                if c == before:
+                    to |= at
+                before = c
+            else:
+                to = {step[s][x] for x in LOOKS_LIKE.get(c, "") for s in at if x in step[s]} | at
+                if c in SEPARATORS:
+                    to.add(0)
+                else:
+                    before = c
+            if not to.isdisjoint(last):
+                return True
+            at = to
+        return False
+
+
 class Reader(dict):
     """Features of a text's tokens; each distinct token is worked out once.
     With ``keep``, only features in it, as their numbers."""
@@ -216,6 +254,7 @@ class Reader(dict):
 
     def __init__(self, model: np.ndarray, keep: dict[str, int] | None = None):
         self.model, self.keep = model.tolist(), keep
+        self.trie = None if keep is None else Trie(keep)
 
     def __missing__(self, token: str) -> tuple:
         if len(self) >= self.MOST:
@@ -242,7 +281,10 @@ class Reader(dict):
         return found
 
     def _texts(self, observed: str, ends: tuple[int, ...]) -> Iterator[str]:
-        """What an observed string may have been, in all readings."""
+        """What an observed string may have been, in all readings that can
+        hold a feature."""
+        if self.trie is not None and not self.trie.reached(observed):
+            return
         parts = [m.span() for m in _part.finditer(observed)] if _parted.search(observed) else []
         for repeats in (True, False):
             yield from readings(observed, self.model, ends, True, repeats)
@@ -269,6 +311,17 @@ class Reader(dict):
         return re.sub(r"\S+", put, _spaced.sub(put, text))
 
 
+_READERS: dict[str, Reader] = {}
+
+
+def _reader(fitted: dict) -> Reader:
+    """The reader of a fit, kept for the next tasks of a Python worker."""
+    if fitted["name"] not in _READERS:
+        _READERS.clear()
+        _READERS[fitted["name"]] = Reader(fitted["model"], fitted["keep"])
+    return _READERS[fitted["name"]]
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """(doc_id, toxic, text): at most ``max_rows`` labelled documents outside
     the held-out fold, one of each family of near copies and label."""
@@ -306,15 +359,17 @@ def _choose(counted: list, n_toxic: int, n_clean: int, most: int) -> list[str]:
 
 def _logistic(rows: list[tuple[list[int], int]], width: int, steps: int = 400, ridge: float = 1.0) -> np.ndarray:
     """Weights and (last) bias of a ridge logistic regression on sparse 0/1
-    rows, by full-batch gradient steps with a per-weight scale."""
+    rows, by full-batch gradient steps with a per-weight scale. The rarer
+    class weighs more, by the root of the classes' ratio."""
     at = np.array([i for i, (f, _) in enumerate(rows) for _ in f], np.int64)
     of = np.array([k for f, _ in rows for k in f], np.int64)
     y = np.array([t for _, t in rows], np.float64)
-    w, b = np.zeros(width), math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+    weigh = np.where(y > 0, math.sqrt(max(len(y) - y.sum(), 1) / max(y.sum(), 1)), 1.0)
+    w, b = np.zeros(width), 0.5 * math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
     past, past_b = np.full(width, 1e-6), 1e-6
     for _ in range(steps):
         z = b + np.bincount(at, w[of], minlength=len(y))
-        d = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
+        d = weigh * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
         g, gb = np.bincount(of, d[at], minlength=width) + ridge * w * 0.1, d.sum()
         past, past_b = past + g * g, past_b + gb * gb
         w, b = w - 0.5 * g / np.sqrt(past), b - 0.5 * gb / math.sqrt(past_b)
@@ -323,7 +378,7 @@ def _logistic(rows: list[tuple[list[int], int]], width: int, steps: int = 400, r
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> dict:
     """The language model and classifier: ``model``, ``keep`` (feature to
-    number) and ``weights`` (bias last)."""
+    number), ``weights`` (bias last) and a ``name`` of its own."""
     counts = written(corpus_counts(docs), "toxicity-counts")
     model = language_model(counts)
     rows = training_rows(docs, labels, max_rows)
@@ -343,7 +398,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_featur
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = size.get(1, 0), size.get(0, 0)
     if not n_toxic or not n_clean:
-        return {"model": model, "keep": {}, "weights": np.array([40.0 if n_toxic else -40.0])}
+        return {"name": uuid.uuid4().hex, "model": model, "keep": {}, "weights": np.array([40.0 if n_toxic else -40.0])}
     counted = (rows.select("text", "toxic").mapInArrow(count, "feature string, toxic long, clean long")
                .groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
                .filter((F.col("toxic") >= LEAST_TOXIC) & (F.col("toxic") * n_clean > F.col("clean") * LEAST_RATIO * n_toxic))
@@ -361,7 +416,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_featur
 
     sample = rows.select("text", "toxic").mapInArrow(active, "found array<int>, toxic int").collect()
     sample = sorted((list(r["found"]), r["toxic"]) for r in sample)
-    return {"model": model, "keep": keep, "weights": _logistic(sample, len(keep))}
+    return {"name": uuid.uuid4().hex, "model": model, "keep": keep, "weights": _logistic(sample, len(keep))}
 
 
 def scored(docs: DataFrame, fitted: dict, threshold: float = THRESHOLD, columns: list[str] | None = None,
@@ -376,7 +431,7 @@ def scored(docs: DataFrame, fitted: dict, threshold: float = THRESHOLD, columns:
     at_text = len(columns) if apart else columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, weights = Reader(fitted["model"], fitted["keep"]), fitted["weights"]
+        reader, weights = _reader(fitted), fitted["weights"]
         bias = float(weights[-1])
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
