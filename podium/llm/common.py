@@ -8,7 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, VariantType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from ..session import scratch_dir
 
@@ -35,11 +35,25 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def _hashes(kind: DataType) -> bool:
+    """Whether Spark's hash functions take values of this type."""
+    if isinstance(kind, StructType):
+        return all(_hashes(f.dataType) for f in kind.fields)
+    if isinstance(kind, ArrayType):
+        return _hashes(kind.elementType)
+    return not isinstance(kind, (MapType, VariantType))
+
+
 def row_key(df: DataFrame) -> tuple[Column, Column]:
     """Two 64-bit fingerprints over all columns of a row (NULL counts as a
-    value). Rows with equal keys are repeats of one row."""
-    cols = [df[f"`{f.name}`"] for f in df.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
-    parts = [x for c in cols for x in (c.isNull(), c)]
+    value). Rows with equal keys are repeats of one row. Maps and variants
+    count as their JSON text, so maps of equal entries in another order are
+    different rows."""
+    parts = []
+    for f in df.schema.fields:
+        c = df[f"`{f.name}`"]
+        parts += [c.isNull(), c if _hashes(f.dataType) else F.to_json(
+            F.struct(c.alias("v")), {"ignoreNullFields": "false"})]
     return F.xxhash64(F.lit(11), *parts), F.xxhash64(F.lit(2711), *parts)
 
 

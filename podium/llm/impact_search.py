@@ -14,13 +14,17 @@ vectors are left. All that may still be members are then rescored exactly.
 
 Scale: blocks of vectors and blocks of queries meet in tiles; a tile's memory
 is bounded by ``block_rows`` and ``query_rows``. From each tile come at most k
-rows per query. Equal vectors only make ties, which are kept until rescored.
+rows per query. Equal rows are counted before they are dealt and dealt by
+vec_id and vector, so neither a hot row nor a hot vec_id fills a block. Equal
+vectors only make ties, which are kept until rescored.
 
 Cases: vectors that are NULL or hold a NULL or non-finite component take no
 part, nor do rows with NULL vec_id. Shorter vectors count as padded with
 zeros; an empty vector scores 0. Components beyond a long saturate. A repeated
-row (same vec_id, same vector) counts once; different vectors under one vec_id
-are rows of their own, and none of them is a candidate of the other. Fewer
+row (same vec_id, same vector) takes a place for each time it is there, and is
+asked for once; different vectors under one vec_id are rows of their own, and
+none of them is a candidate of the other. Further columns, whatever their
+names, are ignored; a vector of any length is used whole. Fewer
 than k candidates: all are returned. Empty input gives an empty result.
 """
 
@@ -65,14 +69,14 @@ def _matrix(rows, width: int | None = None) -> np.ndarray:
 
 
 def _segments(group: pd.DataFrame) -> pd.DataFrame:
-    """The posting segments of one block, and (dim -1) its vec_ids by local
-    number."""
-    group = group.loc[~pd.Series([(a, bytes(np.asarray(v, np.int64))) for a, v in zip(group["vec_id"], group["v"])],
-                                 index=group.index, dtype=object).duplicated()]
+    """The posting segments of one block, and by local number its vec_ids (dim
+    -1) and how often each row is there (dim -2)."""
     group = group.sort_values("vec_id", ignore_index=True)
     m = _matrix(group["v"].tolist())
     block = int(group["block"].iat[0])
-    out = [(block, -1, 0, np.zeros(0, np.int32), group["vec_id"].to_numpy(np.int64))]
+    none = np.zeros(0, np.int32)
+    out = [(block, -1, 0, none, group["vec_id"].to_numpy(np.int64)),
+           (block, -2, 0, none, group["copies"].to_numpy(np.int64))]
     size = np.abs(m.astype(np.float64))
     # An impact is the magnitude's place among 32 equal steps up to the block's largest.
     impact = np.minimum(LEVELS - 1, (size * (LEVELS / (size.max(initial=0) + 1))).astype(np.int64))
@@ -85,21 +89,22 @@ def _segments(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["block", "dim", "impact", "docs", "components"])
 
 
+FOUND = ["query_id", "query_key", "vec_id", "score", "copies"]
 INDEX = "block long, dim int, impact int, docs array<int>, components array<long>"
 
 
 def build_index(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
-    """The written index of all rows (vec_id, v), and its number of blocks."""
+    """The written index of all distinct rows (vec_id, v, copies), and its
+    number of blocks."""
     blocks = max(1, -(-rows.count() // block_rows))
-    dealt = rows.withColumn("block", F.expr(f"pmod(xxhash64(vec_id), {blocks})"))
+    dealt = rows.withColumn("block", F.expr(f"pmod(xxhash64(vec_id, v), {blocks})"))
     return written(dealt.groupBy("block").applyInPandas(_segments, INDEX), "impact-index"), blocks
 
 
 def _search_block(index: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best of one block for each query (all that may be, with ties
     broken by smaller vec_id)."""
-    ids = index.loc[index["dim"] < 0, "components"].iat[0]
-    ids = np.asarray(ids, np.int64)
+    ids, copies = (np.asarray(index.loc[index["dim"] == d, "components"].iat[0], np.int64) for d in (-1, -2))
     segments = index[index["dim"] >= 0].sort_values("impact", ascending=False, kind="stable")
     dims, impacts = segments["dim"].to_numpy(), segments["impact"].to_numpy()
     width, n = int(dims.max(initial=-1)) + 1, len(ids)
@@ -130,8 +135,8 @@ def _search_block(index: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.Data
             else:
                 scores = (exact[at_most].astype(np.float64) @ q[i].astype(np.float64)).astype(np.int64)
             best = np.lexsort((ids[at_most], -scores))[:k]
-            found += [(own[i], q_keys[at + i], ids[at_most[b]], scores[b]) for b in best]
-    return pd.DataFrame(found, columns=["query_id", "query_key", "vec_id", "score"]).astype("int64")
+            found += [(own[i], q_keys[at + i], ids[at_most[b]], scores[b], copies[at_most[b]]) for b in best]
+    return pd.DataFrame(found, columns=FOUND).astype("int64")
 
 
 def _possible(q, own, ids, n, width, docs, comps, dim_of, impact_of, k):
@@ -183,9 +188,9 @@ def top_k(vectors: DataFrame, k: int = TOP, every: int = EVERY, scale: int = SCA
     """For each row whose vec_id is divisible by ``every`` the k other rows of
     highest inner product: ``query_id``, ``rank`` (from 1), ``vec_id``,
     ``score``; ties go to the smaller vec_id."""
-    rows = written(usable(vectors, scale), "search-vectors")
+    rows = written(usable(vectors, scale).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("copies")), "search-vectors")
     index, blocks = build_index(rows, block_rows)
-    queries = (rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
+    queries = (rows.filter(F.col("vec_id") % every == 0)
                .select(F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("query_key"), "v"))
     chunks = max(1, -(-queries.count() // query_rows))
     left = index.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
@@ -194,11 +199,12 @@ def top_k(vectors: DataFrame, k: int = TOP, every: int = EVERY, scale: int = SCA
 
     def search(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(index) or not len(queries):
-            return pd.DataFrame(columns=["query_id", "query_key", "vec_id", "score"]).astype("int64")
+            return pd.DataFrame(columns=FOUND).astype("int64")
         return _search_block(index, queries, k)
 
     near = (left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk"))
-            .applyInPandas(search, "query_id long, query_key long, vec_id long, score long"))
+            .applyInPandas(search, ", ".join(f"{c} long" for c in FOUND))
+            .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(k))))))
     order = Window.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), F.col("vec_id").asc())
     return (near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -151,3 +151,16 @@ def test_native_plans_hold_no_python(spark):
     for out in (block_naming.exact_copies(df), systematic_mix.copies_plan(df), systematic_mix.mixed(df)):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan)
+
+
+def test_rows_that_differ_in_a_map_only_are_rows_of_their_own(spark):
+    from pyspark.sql import functions as F
+
+    rows = docs(spark, [(1, "same words here", "en", "s", 1)]).crossJoin(
+        spark.createDataFrame([({"a": 1},), ({"a": 2},), (None,), ({},)], "extra map<string,int>"))
+    rows = rows.withColumn("deep", F.struct(F.array("extra").alias("maps")))
+    out = systematic_mix.mixed(rows)
+    taken = systematic_mix.copies_plan(rows).agg(F.sum("copies")).first()[0]
+    assert out.count() == taken and taken > 1
+    assert len({str(r["extra"]) for r in out.collect()}) > 1
+    assert sum(r["kept"] for r in block_naming.exact_copies(rows).collect()) == 1

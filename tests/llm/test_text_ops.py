@@ -6,6 +6,7 @@ import bz2
 import gzip
 import hashlib
 import os
+import random
 import re
 import urllib.parse
 import zlib
@@ -13,6 +14,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from podium.llm import (best_fit, capture_index, chat_tree, impact_search, noisy_channel, order_join, secret_layers)
 from podium.llm.token_ids import byte_bpe
@@ -378,10 +380,10 @@ def test_archives_empty(spark):
 # --- search
 
 def _brute_top(vectors, k, every):
-    rows = {(i, tuple(int(np.floor(256.0 * float(x))) for x in v)) for i, v in vectors
-            if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    rows = [(i, tuple(int(np.floor(256.0 * float(x))) for x in v)) for i, v in vectors
+            if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = Counter()
-    for q, a in rows:
+    for q, a in set(rows):
         if q % every:
             continue
         scores = sorted((-sum(x * y for x, y in zip(a, b)), c) for c, b in rows if c != q)
@@ -390,6 +392,16 @@ def _brute_top(vectors, k, every):
     return out
 
 
+def test_search_gives_each_repeated_row_its_place(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (9, [9.0, 0.0]), (9, [9.0, 0.0]), (9, [9.0, 0.0]), (3, [5.0, 1.0]),
+            *[(20 + i, [0.1 * i, 0.0]) for i in range(5)]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for name in ("copies", "v", "block", "query_id", "score"):
+        df = df.withColumn(name, F.lit("x"))
+    got = impact_search.top_k(df, 5, 50, block_rows=2).orderBy("rank").collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(0, 1, 9), (0, 2, 9), (0, 3, 9), (0, 4, 3), (0, 5, 24)]
+
+
 @pytest.mark.parametrize("block", [16, 4096])
 def test_search(spark, block):
     r = np.random.default_rng(block)
@@ -397,7 +409,7 @@ def test_search(spark, block):
     hot = [float(x) for x in r.normal(0, 0.3, 8)]
     rows += [(200 + i, hot) for i in range(60)]  # ties
     rows += [(300, None), (301, [0.1, None]), (302, [float("nan")]), (303, [float("inf"), 1.0]), (304, []),
-             (305, [0.5, -0.5]), (None, [1.0]), (200, hot), (10, [0.25] * 8), (306, [0.0] * 8)]
+             (305, [0.5, -0.5]), (None, [1.0]), (200, hot), (7, hot), (7, hot), (10, [0.25] * 8), (306, [0.0] * 8)]
     got = impact_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 5, 10,
                               block_rows=block, query_rows=7).collect()
     rows = [(i, None if v is None else [None if x is None else np.float32(x) for x in v]) for i, v in rows]
@@ -487,3 +499,59 @@ def test_bitmaps_never_rule_out_a_link():
         x, y = (order_join._parity(np.unique(np.array(list(s), np.uint64))) for s in (a, b))
         if 100 * both >= 85 * (len(a) + len(b) - both):
             assert order_join._may_link(x, y, len(a), len(b), 85)
+
+
+# --- lattices of disguised tokens
+
+def _every_reading(observed, model):
+    """Score of every path through a lattice, by its text."""
+    N = noisy_channel
+    inside = any(c.isalpha() for c in observed)
+    paths, before = [((0, 0), 0.0, "")], ""
+    for c in observed:
+        letter = c.isalpha()
+        code = ord(c) - 96 if "a" <= c <= "z" else N.OTHER
+        ways = [(code, c, 0.0)] if letter else [(ord(x) - 96, x, N.COST_LOOKS_LIKE) for x in N.LOOKS_LIKE.get(c, "")]
+        drop = (N.COST_REPEAT if letter and c == before else None if letter else N.COST_SEPARATOR if c in N.SEPARATORS
+                else N.COST_REPEAT if c == before else N.COST_DROP if ways else N.COST_UNKNOWN)
+        if c not in N.SEPARATORS:
+            before = c
+        after = []
+        for (a, b), score, text in paths:
+            if drop is not None and inside:
+                after.append(((a, b), score - drop, text))
+            if c in N.SEPARATORS and inside and b:
+                after.append(((b, 0), score + model[a][b][0] - N.COST_BOUNDARY, text + " "))
+            after += [((b, k), score + model[a][b][k] - cost, text + x) for k, x, cost in ways]
+        paths = after or paths
+    best = {}
+    for (a, b), score, text in paths:
+        score += model[a][b][0] if b else 0.0
+        best[text.strip()] = max(score, best.get(text.strip(), -1e9))
+    return best
+
+
+def test_readings_are_the_likeliest_of_all(spark):
+    r = np.random.default_rng(3)
+    model = np.log(r.dirichlet(np.full(28, 0.3), (28, 28)) + 1e-6).tolist()
+    draw = random.Random(5)
+    for _ in range(150):
+        observed = "".join(draw.choice("abe1!3@. -éaa") for _ in range(draw.randrange(1, 7)))
+        every = _every_reading(observed, model)
+        found = noisy_channel.restore(observed, model)
+        assert every[found] == pytest.approx(max(every.values())), observed
+
+
+def test_tokens_without_a_way_to_a_feature_have_none(spark):
+    r = np.random.default_rng(4)
+    model = np.log(r.dirichlet(np.full(28, 0.3), (28, 28)) + 1e-6)
+    keep = {"abe": 0, "beel-": 1, "leab-": 2, "éab": 3, "abea-": 4}
+    fast, slow = noisy_channel.Reader(model, keep), noisy_channel.Reader(model, keep)
+    slow.trie = type("Any", (), {"reached": lambda self, observed: True})()
+    draw = random.Random(6)
+    some = 0
+    for _ in range(600):
+        text = "".join(draw.choice("abeelL1!3@. -éab  4$") for _ in range(draw.randrange(1, 40)))
+        assert fast.features(text) == slow.features(text), text
+        some += bool(fast.features(text))
+    assert some
