@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import category_or_default, gender_category, recent_floor
-from ..operators.facts import join_dim, owner_groups, valid_results, with_race_context
+from ..operators.facts import join_dim, owner_groups, race_context, valid_results, with_race_context
 from ..operators.joins import one_row
 from ..operators.paging import asc, desc
 from ..session import checkpointed
@@ -39,9 +39,14 @@ def _or_rule(country: str):
 
 
 def _race_groups(t: Tables, countries: list[str], keep, *by) -> DataFrame:
-    """Valid results that satisfy ``keep``, counted (``n``) per ``by`` and
-    race: what the joins to the race context carry."""
+    """Valid results that satisfy ``keep``, weighted (``n``), with ``by`` and
+    race: what the joins to the race context carry. Within the races bound
+    each result probes the broadcast context as it is and is aggregated once,
+    by the caller; beyond it results are counted per ``by`` and race first, so
+    that the shuffled join carries groups."""
     g = owner_groups(t, countries, ("race_id",)).filter(keep)
+    if t.broadcastable("races"):
+        return g.select(*by, "race_id", "n")
     return g.groupBy(*by, "race_id").agg(F.sum("n").cast("long").alias("n"))
 
 
@@ -200,13 +205,35 @@ def regional_comparison(t: Tables, countries: tuple[str, ...] | list[str] = DEFA
 def dashboard_base(t: Tables, country: str = DEFAULT_COUNTRY,
                    countries: tuple[str, ...] | list[str] = DEFAULT_COUNTRIES) -> DataFrame:
     """Counts (``n``) of the valid results that are attributed to one of the
-    countries or are the country's by the OR rule, per owner, result name and
-    race. One read of the fact; no join but the one to those athletes."""
+    countries or are the country's by the OR rule, as two narrow aggregates in
+    one frame: per owner and, for the country's own, competition (``owner_*``,
+    ``competition_id``), and per result name and discipline (``athlete_name``,
+    ``discipline_name``, ``category``; only the OR rule's results). One read of
+    the fact and one join to the race context, whose rows split in two."""
     sel = sorted(set(countries) | {country})
     g = owner_groups(t, sel, ("race_id",)).withColumn("or_rule", _or_rule(country))
-    return (g.filter(F.col("owner_country").isin(sel) | F.col("or_rule"))
-            .groupBy("owner_name", "owner_country", "or_rule", "athlete_name", "race_id")
-            .agg(F.sum("n").cast("long").alias("n")))
+    g = g.filter(F.col("owner_country").isin(sel) | F.col("or_rule"))
+    if not t.broadcastable("races"):
+        g = (g.groupBy("owner_name", "owner_country", "or_rule", "athlete_name", "race_id")
+             .agg(F.sum("n").cast("long").alias("n")))
+    # A left join: attribution counts results of unknown races too.
+    context = race_context(t, ["competition_id", "event_name", "d_name", "d_category"])
+    g = g.join(t.dim("races", context.withColumn("_known", F.lit(True))), F.col("race_id") == F.col("_k_races"), "left")
+    known = F.coalesce("_known", F.lit(False))
+    own = F.col("owner_country") == country
+    owned = F.when(F.col("owner_country").isin(sel), F.struct(
+        F.lit("owned").alias("part"), F.col("owner_name").alias("name"), F.col("owner_country").alias("country"),
+        F.when(own & known, F.col("competition_id")).alias("competition_id"), (own & known).alias("known"),
+        F.lit(None).cast("string").alias("discipline_name"), F.lit(None).cast("string").alias("category")))
+    ruled = F.when(F.col("or_rule"), F.struct(
+        F.lit("ruled").alias("part"), F.col("athlete_name").alias("name"), F.lit(None).cast("string").alias("country"),
+        F.lit(None).cast("long").alias("competition_id"), known.alias("known"),
+        F.coalesce("d_name", "event_name").alias("discipline_name"),
+        category_or_default("d_category").alias("category")))
+    parts = F.explode(F.filter(F.array(owned, ruled), lambda x: x.isNotNull()))
+    keys = ["part", "name", "country", "competition_id", "known", "discipline_name", "category"]
+    return (g.select("n", parts.alias("_p")).select("n", *[F.col("_p")[k].alias(k) for k in keys])
+            .groupBy(*keys).agg(F.sum("n").cast("long").alias("n")))
 
 
 def country_dashboard(t: Tables, country: str = DEFAULT_COUNTRY,
@@ -221,16 +248,19 @@ def country_dashboard(t: Tables, country: str = DEFAULT_COUNTRY,
     base = dashboard_base(t, country, countries)
     if materialize:
         base = checkpointed(base)
-    owned = (base.filter(F.col("owner_country") == country).groupBy("owner_name", "owner_country", "race_id")
-             .agg(F.sum("n").alias("n")))
-    named = base.filter("or_rule").groupBy("athlete_name", "race_id").agg(F.sum("n").alias("n"))
+    owned = base.filter("part = 'owned'").withColumnsRenamed({"name": "owner_name", "country": "owner_country"})
+    ruled = base.filter("part = 'ruled'").withColumnRenamed("name", "athlete_name")
+    facts = base.agg(
+        F.count_distinct(F.when((F.col("part") == "owned") & (F.col("country") == country), F.col("name")))
+        .alias("athletes_with_results"),
+        F.coalesce(F.sum(F.when(F.col("part") == "ruled", F.col("n"))), F.lit(0)).cast("long").alias("total_results"))
     return {
-        "summary": _summary_row(t, country, _summary_facts(base, country, F.col("or_rule"))),
+        "summary": _summary_row(t, country, facts),
         "gender_distribution": gender_distribution(t, country),
-        "discipline_breakdown": _discipline_breakdown(_with_discipline(t, named), n),
+        "discipline_breakdown": _discipline_breakdown(ruled.filter("known"), n),
         "timeline": timeline(t, country, as_of),
-        "top_athletes": _top_athletes(with_race_context(t, owned, ["competition_id"]), n),
-        "regional_comparison": _regional(t, base.filter(F.col("owner_country").isin(list(countries)))),
+        "top_athletes": _top_athletes(owned.filter("known"), n),
+        "regional_comparison": _regional(t, owned.filter(F.col("owner_country").isin(list(countries)))),
     }
 
 
