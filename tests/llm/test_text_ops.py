@@ -244,6 +244,45 @@ def test_packing(spark):
     assert best_fit.packed(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("look_ahead, group_pieces", [(1, 10**6), (7, 10**6), (7, 40)])
+def test_packing_is_a_stream(spark, look_ahead, group_pieces):
+    """Runs that cross Arrow batches, groups that share a task: as the packer
+    alone does with the same arrivals."""
+    texts = [(i, "word " * (i * 37 % 90)) for i in range(300)]
+    made = spark.createDataFrame(texts, "doc_id long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        rows = best_fit.packed(made, window=100, open_bins=4, look_ahead=look_ahead, group_pieces=group_pieces).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    _check_packing(rows, [(i, t) for i, t in texts], 100)
+    groups = {}
+    for r in rows:  # in order of arrival within a group
+        if r.length < 100:
+            groups.setdefault(r.sequence_id >> 32, []).append(r)
+    assert len(groups) == (1 if group_pieces > 300 else max(groups) + 1)
+    for g, of in groups.items():
+        packer = best_fit.Packer(100, 4)
+        assert [((g << 32) + s, at) for s, at in (packer.place(r.length) for r in of)] == [
+            (r.sequence_id, r.offset) for r in of]
+        lengths = [r.length for r in of]
+        for at in range(0, len(of), look_ahead):
+            assert lengths[at:at + look_ahead] == sorted(lengths[at:at + look_ahead], reverse=True)
+        assert packer.closed or group_pieces < 300
+
+
+def test_sequences_close_and_waste_little(spark):
+    rows = best_fit.packed(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).select(
+        "sequence_id", "length").collect()
+    least = -(-sum(r.length for r in rows) // best_fit.WINDOW)
+    assert len({r.sequence_id for r in rows}) <= 1.01 * least
+    packer = best_fit.Packer(best_fit.WINDOW, best_fit.OPEN_BINS)
+    lengths = [r.length for r in rows if r.length < best_fit.WINDOW] * 6
+    for i in best_fit.arrivals(lengths):
+        packer.place(lengths[i])
+    assert packer.closed > 0
+
+
 def test_sequences_hold_the_ids(spark):
     packed = best_fit.packed(docs(spark), window=256, with_ids=True)
     for r in best_fit.sequences(packed).collect():
@@ -366,6 +405,15 @@ def test_archives_read_back(spark, lines):
     assert sorted(r.page_id for r in some.collect()) == list(range(100, 125))
 
 
+def test_fetches_spread_over_the_blocks(spark):
+    pages = spark.createDataFrame(_pages(), PAGES)
+    ranges = capture_index.build_index(capture_index.write_archives(pages), 3)
+    total = sum(r.blocks for r in ranges.collect())
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert total > tasks
+    assert capture_index.look_up(pages, ranges).rdd.getNumPartitions() == tasks
+
+
 def test_url_keys():
     assert capture_index.url_key("http://A.b.Example.com:8080/x?y=1#z") == "com,example,b,a:8080)/x?y=1"
     assert capture_index.url_key(None) == "" and " " not in capture_index.url_key("http://a.com/x y\n")
