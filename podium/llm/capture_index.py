@@ -13,9 +13,11 @@ each lies its sparse directory: the first key, offset and length of each
 block. The ranges' first and last keys form the top level.
 
 Look-up: a key is routed to its index files by binary search in the top level
-(one entry per index file, whose number the shuffle setting bounds), to its
-blocks by binary search in that file's directory; a block is then read by one
-range read, and each of its matching captures by another.
+(one entry per index file of about a million captures, fewer while there are
+less files than shuffle partitions), to its blocks by binary search in that
+file's directory; a block is then read by one range read, and each of its
+matching captures by another. Keys reach the directories as sorted streams,
+and the number of tasks that fetch follows the number of blocks.
 
 Scale: records move once (to meet the first page of their payload), in a join
 whose hot keys Spark splits. A URL with a third of all captures spreads over
@@ -51,6 +53,8 @@ from .common import shared_path, written
 
 LEAST_BYTES = 100
 BLOCK_LINES = 1000
+LEAST_LINES, MOST_LINES = 1 << 14, 1 << 20  # about, of an index file
+TASK_BLOCKS = 64
 FILE_BYTES = 1 << 30
 DATE = "1970-01-01T00:00:00Z"  # pages carry no capture date
 
@@ -200,7 +204,10 @@ def build_index(captures: DataFrame, block_lines: int = BLOCK_LINES) -> DataFram
                 "file": f"{folder}/{name}.cdx.gz", "directory": f"{folder}/{name}.idx", "first_key": directory[0][0],
                 "last_key": last, "blocks": len(directory)}], schema=kind)
 
-    return written(captures.repartitionByRange(*order).sortWithinPartitions(*order).select(*order, "length")
+    lines = captures.count()
+    files = max(1, -(-lines // MOST_LINES), min(
+        int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), lines // LEAST_LINES))
+    return written(captures.repartitionByRange(files, *order).sortWithinPartitions(*order).select(*order, "length")
                    .mapInArrow(write, "file string, directory string, first_key string, last_key string, blocks long"),
                    "capture-ranges")
 
@@ -220,7 +227,9 @@ def look_up(urls: DataFrame, ranges: DataFrame) -> DataFrame:
     """All records captured under the keys of ``urls`` (column ``url``), read
     from the archives: ``page_id``, ``url``, ``record_type``, ``payload``,
     ``payload_bytes``, ``payload_digest``, ``refers_to``."""
-    top = sorted((r["first_key"], r["last_key"], r["file"], r["directory"]) for r in ranges.collect())
+    found = ranges.collect()
+    top = sorted((r["first_key"], r["last_key"], r["file"], r["directory"]) for r in found)
+    total, tasks = sum(r["blocks"] for r in found), int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     firsts, lasts = [t[0] for t in top], [t[1] for t in top]
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,14 +238,17 @@ def look_up(urls: DataFrame, ranges: DataFrame) -> DataFrame:
                     for i in range(bisect.bisect_left(lasts, k), bisect.bisect_right(firsts, k))]
             yield pd.DataFrame(rows, columns=["range", "key"])
 
-    def find(group: pd.DataFrame) -> pd.DataFrame:
-        number = int(group["range"].iat[0])
-        system, path = _open(top[number][3])
-        with system.open_input_stream(path) as fh:
-            directory = [json.loads(x) for x in fh.read().decode().splitlines()]
-        wanted = blocks_of(sorted(group["key"]), directory)
-        rows = [(number, d[1], d[2], k) for d, k in zip(directory, wanted) if k]
-        return pd.DataFrame(rows, columns=["range", "offset", "length", "keys"])
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, directory = None, []  # keys come sorted by range: one directory is held at a time
+        for batch in batches:
+            rows = []
+            for at, keys in batch.groupby("range", sort=True)["key"]:
+                if at != number:
+                    system, path = _open(top[at][3])
+                    with system.open_input_stream(path) as fh:
+                        number, directory = at, [json.loads(x) for x in fh.read().decode().splitlines()]
+                rows += [(at, d[1], d[2], k) for d, k in zip(directory, blocks_of(sorted(keys), directory)) if k]
+            yield pd.DataFrame(rows, columns=["range", "offset", "length", "keys"])
 
     kind = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()),
                       ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
@@ -263,7 +275,8 @@ def look_up(urls: DataFrame, ranges: DataFrame) -> DataFrame:
             fh.close()
 
     keys = urls.select("url").mapInPandas(route, "range int, key string").distinct()
-    blocks = keys.groupBy("range").applyInPandas(find, "range int, offset long, length long, keys array<string>")
-    return blocks.repartition("range", "offset").mapInArrow(
+    blocks = (keys.repartition(max(1, min(len(top), tasks)), "range").sortWithinPartitions("range", "key")
+              .mapInPandas(find, "range int, offset long, length long, keys array<string>"))
+    return blocks.repartition(max(1, min(total, max(tasks, total // TASK_BLOCKS))), "range", "offset").mapInArrow(
         fetch, "page_id long, url string, record_type string, payload binary, payload_bytes long, "
                "payload_digest string, refers_to long")
