@@ -17,16 +17,21 @@ surrogate, so that it can be told again; with NULs among them, as UTF-16 too.
 Base64 tokens are tried from each of their first four characters. Compressed
 bytes are found anywhere in percent-escaped and base64 tokens.
 
-Scale: one map over the documents, no shuffle.
-
-Cases: NULL text counts as ''. Texts of any length are scanned whole. A layer
-that decompresses to more than ``max_layer_bytes`` is read as a stream, in
-pieces of that size that end at line ends, where no rule's match can lie. A
-piece without any line end is cut inside, with an overlap; as a match or a
-layer wider than the overlap may then be missed, it is counted in
-``n_unopened``. Rows that repeat are scanned like others. Empty
-input gives an empty result. Columns beyond ``doc_id`` and ``text`` are not
-read.
+Scale: one map over the documents, no shuffle. Hostile texts do not make it
+quadratic: a long run of one escape is undone whole, escapes nested more than
+``STEPS`` deep are undone together in one pass (the result is scanned, the
+layers between are not), and bytes that merely look like the beginning of
+compressed content are refused without a copy.
+
+Cases: NULL text counts as ''. Texts of any length are scanned whole. What a
+compressed layer holds is read as a stream through all compression nested at
+its beginning, whatever its size, in pieces of ``max_layer_bytes`` that end at
+line ends, where no rule's match can lie. A piece without any line end is cut
+inside, with an overlap; as a match or a layer wider than the overlap may then
+be missed, it is counted in ``n_unopened``. Compressed content that begins
+inside one piece and ends in another is read up to the end of its piece. Rows
+that repeat are scanned like others. Empty input gives an empty result.
+Columns beyond ``doc_id`` and ``text`` are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,10 +39,10 @@ from __future__ import annotations
 import binascii
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +52,9 @@ from pyspark.sql.types import StructType
 
 MAX_LAYER_BYTES = 1 << 24
 OVERLAP = 1 << 16
+STEP = 1 << 20
+STEPS = 64
+ZSTD = b"\x28\xb5\x2f\xfd"
 LEAST_BYTES = 12
 
 # The base rules.
@@ -57,15 +65,24 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-_url = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_unicode = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|%u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}"
+# A run of an escape's own first character, escaped again and again ("%252525"),
+# is undone whole when long: layer by layer it would take the square of its length.
+_url = re.compile(r"(?P<run>%(?:25){8,})|(?:%[0-9A-Fa-f]{2})+")
+_unicode = re.compile(r"(?P<run>\\(?:u005[cC]){8,}|\\(?:x5[cC]){8,}|\\(?:u\{5[cC]\}){8,}|\\(?:U0000005[cC]){8,}"
+                      r"|%(?:u0025){8,}|&(?:#38;){8,}|&(?:#[xX]26;){8,})|(?:\\u[0-9A-Fa-f]{4}|%u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}"
                       r"|\\x[0-9A-Fa-f]{2}|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};|[！-～]")
 _base64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
-_wrapped = re.compile(r"(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]+={0,2}")
+_wrapped = re.compile(r"(?:[A-Za-z0-9+/]{60,76}\r?\n[\x20\t]*)+[A-Za-z0-9+/]+={0,2}")
+_form = re.compile(r"(?P<run>\+)|(?:%[0-9A-Fa-f]{2})+")
+_nested = re.compile(r"(?:%([0-7][0-9A-Fa-f])|(?:%u00|\\u00|\\u\{|\\x|\\U000000|&\#[xX])([0-7][0-9A-Fa-f])[;}]?|&\#([0-9]{2,3});)\Z")
+_closing = frozenset("0123456789abcdefABCDEF;}")
 _wrapped_line = re.compile(rb"[A-Za-z0-9+/]{60,76}")
 _wide = re.compile(r"[！-～]")
-# First bytes of gzip, bzip2, xz, zstd and zlib.
-_magic = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
+# First bytes of gzip, bzip2, xz, zstd and zlib, with what must follow them: no
+# reserved flag, a block's or the end's mark, no reserved flag, a block type.
+_block_type = b"".join(re.escape(bytes((x,))) for x in range(256) if x & 6 != 6)
+_magic = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00\x00|\x28\xb5\x2f\xfd"
+                    rb"|\x78[\x01\x5e\x9c\xda][" + _block_type + rb"]")
 _token = re.compile(r'[^\s"<>]+')
 _cell = re.compile(r"%[0-9A-Fa-f]{2}|.", re.S)
 
@@ -87,10 +104,10 @@ class _Layer:
     """Decoded text (or bytes) with the original interval of each position;
     ``starts`` is None for the original itself."""
 
-    __slots__ = ("content", "starts", "ends")
+    __slots__ = ("content", "starts", "ends", "steps")
 
-    def __init__(self, content, starts=None, ends=None):
-        self.content, self.starts, self.ends = content, starts, ends
+    def __init__(self, content, starts=None, ends=None, steps=0):
+        self.content, self.starts, self.ends, self.steps = content, starts, ends, steps
 
     def interval(self, a: int, b: int) -> tuple[int, int]:
         return (a, b) if self.starts is None else (int(self.starts[a]), int(self.ends[b - 1]))
@@ -117,13 +134,37 @@ def _characters(raw: bytes) -> tuple[str, np.ndarray]:
     return text, np.cumsum(width) - width
 
 
+_RUNS = {"%": "%", "\\": "\\", "&": "&", "+": " "}
+
+
+def _settled(layer: _Layer) -> _Layer:
+    """The layer with all escapes of ASCII characters undone, and those that
+    appear by it, in one pass: a character that completes an escape at the end
+    of what is read replaces it, and may complete another."""
+    starts, ends = layer.maps()
+    out, first, last = [], [], []
+    for i, c in enumerate(layer.content):
+        a, b = int(starts[i]), int(ends[i])
+        out.append(c)
+        first.append(a)
+        last.append(b)
+        while out[-1] in _closing and (m := _nested.search("".join(out[-10:]))):
+            code = int(m[3]) if m[3] else int(m[1] or m[2], 16)
+            token = m[0]
+            if code > 127 or ("{" in token) != token.endswith("}") or (token[0] == "&") != token.endswith(";"):
+                break
+            at = len(out) - len(token)
+            out[at:], first[at:], last[at:] = [chr(code)], [first[at]], [b]
+    return _Layer("".join(out), np.array(first, np.int64), np.array(last, np.int64))
+
+
 def _rewritten(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
     """The layer with each match replaced by what ``decode`` makes of it:
     (text, begin of each character in the match) or None to leave it."""
     text, (starts, ends) = layer.content, layer.maps()
     out, s, e, at = [], [], [], 0
     for m in pattern.finditer(text):
-        made = decode(m[0])
+        made = (_RUNS[m[0][0]], [0]) if m["run"] else decode(m[0])
         if made is None or made[0] == m[0]:
             continue
         new, begins = made
@@ -135,7 +176,8 @@ def _rewritten(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
         at = b
     if not out:
         return None
-    return _Layer("".join([*out, text[at:]]), np.concatenate([*s, starts[at:]]), np.concatenate([*e, ends[at:]]))
+    return _Layer("".join([*out, text[at:]]), np.concatenate([*s, starts[at:]]), np.concatenate([*e, ends[at:]]),
+                  layer.steps + 1)
 
 
 def _from_url(token: str):
@@ -160,7 +202,7 @@ def _from_unicode(token: str):
     return (chr(value), [0]) if value < 0xD800 or 0xDFFF < value < 0x110000 else None
 
 
-def _coder(raw: bytes):
+def _coder(raw):
     """A decompressor for what the bytes begin with, or None."""
     if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0):
         return zlib.decompressobj(47)
@@ -171,27 +213,46 @@ def _coder(raw: bytes):
     return None
 
 
-def _stream(raw: bytes) -> Iterator[bytes]:
+class _Reader:
+    """Chunks as a file that can be read."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.held = chunks, b""
+
+    def read(self, n: int) -> bytes:
+        self.held = self.held or next(self.chunks, b"")
+        part, self.held = self.held[:n], self.held[n:]
+        return bytes(part)
+
+
+def _stream(given: Iterator[bytes]) -> Iterator[bytes]:
     """One layer of compression taken off, in chunks: all members or frames,
     up to the first that can't be read."""
-    step = 1 << 20
+    raw = next(given, b"")
     try:
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
+        if raw[:4] == ZSTD:
             import zstandard
 
-            reader = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True)
-            while chunk := reader.read(step):
+            source = _Reader(itertools.chain((memoryview(raw),), given))
+            reader = zstandard.ZstdDecompressor().stream_reader(source, read_across_frames=True)
+            while chunk := reader.read(STEP):
                 yield chunk
             return
-        while raw and (coder := _coder(raw)):
-            given = raw
-            while True:
-                chunk = coder.decompress(given, step)
+        while True:
+            while len(raw) < 6 and (more := next(given, b"")):
+                raw = bytes(raw) + bytes(more)
+            coder = _coder(raw)
+            if coder is None:
+                return
+            while not coder.eof:
+                chunk = coder.decompress(raw, STEP)
                 if chunk:
                     yield chunk
-                given = coder.unconsumed_tail if hasattr(coder, "unconsumed_tail") else b""
-                if coder.eof or not chunk and not given:
-                    break
+                raw = getattr(coder, "unconsumed_tail", b"")
+                if not chunk and not raw and not coder.eof:
+                    raw = next(given, b"")
+                    if not raw:
+                        return
             raw = coder.unused_data
             if raw[:1] == b"\0":  # xz pads between streams
                 raw = raw.lstrip(b"\0")
@@ -202,12 +263,28 @@ def _stream(raw: bytes) -> Iterator[bytes]:
             raise
 
 
+def _unpacked(raw: bytes) -> Iterator[bytes]:
+    """What lies inside all the compression that bytes begin with, in chunks:
+    decompressors chained as streams, so that a layer of any size inside a
+    layer of any size is read. Content that repeats itself ends the chain."""
+    chunks, seen = _stream(iter((raw,))), set()
+    while True:
+        head = b""
+        while len(head) < STEP and (chunk := next(chunks, b"")):
+            head += chunk
+        chunks = itertools.chain((head,), chunks)
+        if not _is_packed(head) or (key := hashlib.sha256(head).digest()) in seen:
+            return chunks
+        seen.add(key)
+        chunks = _stream(chunks)
+
+
 def _cut(held: bytes, limit: int) -> int:
     """The last line end in the first ``limit`` bytes that no wrapped base64
     crosses; 0 if there is none."""
     at = limit
     while (at := held.rfind(b"\n", 0, at)) > 0:
-        line = held[held.rfind(b"\n", 0, at) + 1:at].rstrip(b"\r")
+        line = held[held.rfind(b"\n", 0, at) + 1:at].strip(b" \t\r")
         if not _wrapped_line.fullmatch(line):
             return at + 1
     return 0
@@ -217,7 +294,7 @@ def _pieces(raw: bytes, limit: int) -> Iterator[tuple[bytes, bool]]:
     """What a layer decompresses to, in pieces of at most ``limit`` bytes, and
     whether a piece was cut inside a line."""
     held = bytearray()
-    for chunk in _stream(raw):
+    for chunk in _unpacked(raw):
         held += chunk
         while len(held) > limit:
             cut = _cut(held, limit)
@@ -230,7 +307,16 @@ def _pieces(raw: bytes, limit: int) -> Iterator[tuple[bytes, bool]]:
 def _is_packed(raw: bytes) -> bool:
     """Whether bytes are compressed content from the first on. Their text and
     their other alignments would be noise, in which repeats look like keys."""
-    return bool(_magic.match(raw)) and next(_stream(raw), None) is not None
+    return bool(_magic.match(raw)) and next(_stream(iter((raw,))), None) is not None
+
+
+def _streams(raw: bytes) -> Iterator[int]:
+    """Where compressed content begins: the first bytes of a format that its
+    decoder takes. Nothing is copied for a place that it refuses."""
+    view = memoryview(raw)
+    for m in _magic.finditer(raw):
+        if next(_stream(iter((view[m.start():],))), None) is not None:
+            yield m.start()
 
 
 def _opened(raw: bytes, starts, ends) -> Iterator[_Layer]:
@@ -238,8 +324,8 @@ def _opened(raw: bytes, starts, ends) -> Iterator[_Layer]:
     if _is_packed(raw):
         yield _Layer(raw, starts, ends)
         return
-    for m in _magic.finditer(raw):
-        yield _Layer(raw[m.start():], starts[m.start():], ends[m.start():])
+    for at in _streams(raw):
+        yield _Layer(raw[at:], starts[at:], ends[at:])
     text, begins = _characters(raw)
     edges = np.append(begins, len(raw))
     yield _Layer(text, starts[edges[:-1]], ends[edges[1:] - 1])
@@ -268,8 +354,8 @@ def _packed_escapes(layer: _Layer) -> Iterator[_Layer]:
         of = np.repeat(np.arange(len(cells)), [len(r) for r in raws])
         first = np.array([c.start() for c in cells], np.int64)[of] + m.start()
         last = np.array([c.end() for c in cells], np.int64)[of] + m.start() - 1
-        for p in _magic.finditer(raw):
-            yield _Layer(raw[p.start():], starts[first[p.start():]], ends[last[p.start():]])
+        for at in _streams(raw):
+            yield _Layer(raw[at:], starts[first[at:]], ends[last[at:]])
 
 
 def _base64_layers(layer: _Layer) -> Iterator[_Layer]:
@@ -280,7 +366,7 @@ def _base64_layers(layer: _Layer) -> Iterator[_Layer]:
         tokens += _wrapped.finditer(text)
     for m in tokens:
         token = m[0].rstrip("=")
-        every = token.replace("\r", "").replace("\n", "").replace("-", "+").replace("_", "/")
+        every = "".join(token.split()).replace("-", "+").replace("_", "/")
         place = np.flatnonzero(np.frombuffer(token.encode("ascii"), np.uint8) > 32) + m.start()
         maps = maps or layer.maps()
         for skip in range(4):
@@ -307,17 +393,20 @@ def scan(text: str, max_layer_bytes: int = MAX_LAYER_BYTES) -> tuple[list, list,
     def within(layer: _Layer) -> Iterator[_Layer | None]:
         nonlocal unopened
         if isinstance(layer.content, bytes):
-            whole, refused, packed = layer.interval(0, len(layer.content)), False, None
+            whole, refused = layer.interval(0, len(layer.content)), False
             for raw, inside in _pieces(layer.content, max_layer_bytes):
-                # A compressed layer of several pieces can't be read from one of them.
-                refused |= inside or bool(packed)
-                packed = _coder(raw) is not None or raw[:4] == b"\x28\xb5\x2f\xfd" if packed is None else packed
+                refused |= inside
                 n = len(raw)
                 yield from _opened(raw, np.broadcast_to(np.int64(whole[0]), n), np.broadcast_to(np.int64(whole[1]), n))
             unopened += refused
             return
+        if layer.steps >= STEPS:
+            yield _settled(layer)
+            return
         if "%" in layer.content:
             yield _rewritten(layer, _url, _from_url)
+            if layer is root and "+" in layer.content:
+                yield _rewritten(layer, _form, _from_url)
             yield from _packed_escapes(layer)
         if "\\" in layer.content or "%u" in layer.content or "&#" in layer.content or _wide.search(layer.content):
             yield _rewritten(layer, _unicode, _from_unicode)

@@ -5,6 +5,8 @@ import base64
 import bz2
 import gzip
 import hashlib
+import importlib
+import itertools
 import os
 import random
 import re
@@ -107,6 +109,67 @@ def test_unclean_layers_are_scanned(hidden):
     assert unopened == 0 and any(k == 0 and 6 <= a < b <= 6 + len(hidden) for a, k, b in every)
 
 
+@pytest.mark.parametrize("text", [
+    "%" + "25" * 100_000, "\\" + "u005c" * 40_000 + "u0041", "%2" + "%3" * 20_000 + "5", "%78%9c" * 60_000,
+    base64.b64encode(b"BZh1" * 250_000).decode(), base64.b64encode(b"BZh91AY&SY" * 50_000).decode(),
+    base64.b64encode(b"\x1f\x8b\x08\0" * 100_000).decode()], ids=range(7))
+def test_hostile_texts_take_time_in_proportion(text):
+    import time
+
+    def seconds(t):
+        at = time.process_time()
+        assert secret_layers.scan(t)[3] == 0
+        return time.process_time() - at
+
+    seconds("x")
+    assert seconds(text) < 20 + 12 * seconds(text[:len(text) // 4])
+
+
+@pytest.mark.parametrize("lead", ["%" + "25" * 5, "%" + "25" * 50, "%25%32%35" * 2 + "25", "%2" + "%3" * 200 + "525"])
+def test_deep_escapes_are_undone(lead):
+    text = f"say {lead}70assword=hunter22 now"
+    spans = secret_layers.scan(text)[1]
+    assert any(k == 0 and text[b - 8:b] == "hunter22" for _, k, b in spans), spans
+
+
+def _layer_after_layer(layer):
+    while (new := secret_layers._rewritten(layer, secret_layers._url, secret_layers._from_url)
+           or secret_layers._rewritten(layer, secret_layers._unicode, secret_layers._from_unicode)):
+        layer = new
+    return layer
+
+
+def test_settling_leads_where_layers_lead():
+    """One pass over the ASCII escapes, and layers for what is left, end with
+    the text that layer after layer ends with."""
+    r = random.Random(5)
+    for _ in range(2000):
+        text = "".join(r.choice(["%", "25", "4", "1", "%41", "%2%35", "\\u0025", "&#37;", " ", "z", "%5c", "x41"])
+                       for _ in range(14))
+        slow = _layer_after_layer(secret_layers._Layer(text))
+        quick = _layer_after_layer(secret_layers._settled(secret_layers._Layer(text)))
+        assert quick.content == slow.content, text
+        assert quick.starts.tolist() == slow.maps()[0].tolist() and quick.ends.tolist() == slow.maps()[1].tolist(), text
+
+
+@pytest.mark.parametrize("outer, inner", [*itertools.product(["gzip", "bz2", "lzma", "zstandard"], repeat=2)])
+def test_nested_compression_of_any_size(outer, inner):
+    lines = b"".join(b"line %d of many\n" % (i * 7919 % 10007) for i in range(20_000))
+    raw = lines + b"token = abcdefgh123\n" + lines[:1000]
+    for kind in (inner, outer):
+        raw = importlib.import_module(kind).compress(raw)
+    _, every, _, unopened = secret_layers.scan(base64.b64encode(raw).decode(), max_layer_bytes=20_000)
+    assert len(every) == 1 and unopened == 0
+
+
+def test_forms_and_indented_base64():
+    text = "a=1&note=password+%3D+hunter22"
+    assert [k for _, k, _ in secret_layers.scan(text)[1]] == [0]
+    raw = base64.b64encode(("some words before it, " * 9 + "secret=abcdef99 " + "and after it " * 9).encode()).decode()
+    text = "key: |\n" + "".join(f"    {raw[i:i + 64]}\n" for i in range(0, len(raw), 64))
+    assert any(k == 0 for _, k, _ in secret_layers.scan(text)[1])
+
+
 def test_failing_assign_is_consumed():
     text = "secret:token: abcdefgh and token=abcdefgh"
     assert [s for s in secret_layers.base_spans(text) if s[1] == 0] == [s for s in _brute_base(text) if s[1] == 0]
