@@ -111,7 +111,7 @@ def test_empty_table(spark, tmp_path):
 
 def test_registered_names():
     names = [k for k in E.queries() if k.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in E.queries() and set(E.oracle_sql()) <= set(E.queries())
 
 
