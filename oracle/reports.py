@@ -314,7 +314,7 @@ select competition_id, count(*) as results from ({_HERE_COUNTED.replace("v.*", "
 Q["appended_competitions"] = "select id, name, start_date from competitions"
 # An append in batches changes where rows lie, not what the reports give.
 Q["lake_results"] = "select * from results"
-for _key in ("athlete_results", "competitions_list", "timeline"):
+for _key in ("athlete_results", "competitions_list", "timeline", "country_summary", "regional_comparison"):
     Q[f"lake_{_key}"] = Q[_key]
 for _key in ("results_by_name", "results_by_name_count"):
     Q[f"lake_{_key}"] = Q[f"athlete_{_key}"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampType
 
 from ..functions.exprs import valid_mark
+from ..sources.companions import OWNER_KEYS
 from ..sources.schemas import RESULTS
 from ..sources.tables import Tables
 from .joins import left_join_nullable, lookup
@@ -133,14 +134,17 @@ def with_athletes(t: Tables, df: DataFrame, cols: dict[str, str] | None = None,
 def race_bounds_filter(t: Tables, races: DataFrame) -> Column:
     """A pushable ``race_id BETWEEN lo AND hi`` covering the given races.
 
-    The bounds are one aggregated row of a dimension subset. The join that
-    follows stays exact; the range only lets the parquet reader skip row
-    groups of a fact laid out by ``race_id``.
+    The bounds are two scalar subqueries over a dimension subset: no job runs
+    while the plan is built, and their values reach the scan when it starts.
+    The join that follows stays exact; the range only lets the parquet reader
+    skip row groups of a fact laid out by ``race_id``. Without races the bounds
+    are NULL and no row qualifies.
     """
-    b = races.agg(F.min("id").alias("lo"), F.max("id").alias("hi")).first()
-    if b is None or b["lo"] is None:
-        return F.lit(False)
-    return F.col("race_id").between(int(b["lo"]), int(b["hi"]))
+    # First and last by order, not MIN and MAX: Spark merges two aggregates of
+    # one table into one subquery, whose fields no longer reach the scan.
+    ids = races.select("id").filter(F.col("id").isNotNull())
+    lo, hi = (ids.orderBy(end).limit(1).scalar() for end in (F.asc("id"), F.desc("id")))
+    return F.col("race_id").between(lo, hi)
 
 
 def results_of_competition(t: Tables, competition_id: int, results: DataFrame | None = None,
@@ -191,13 +195,18 @@ def owner_groups(t: Tables, countries: list[str], also: tuple[str, ...] = ()) ->
     (``owner_country`` NULL) so callers can apply other rules. Reads the
     athlete-sorted copy of the fact when it is in step, where each task holds
     a disjoint range of athletes and the aggregation by athlete or owner
-    collapses map-side.
+    collapses map-side. Where results are kept counted by who they may belong
+    to (``Tables.owner_counts``), a call without ``also`` reads those counts and
+    no result; the athletes are joined as they now are, so a changed country
+    or name shows at once.
     """
-    r = valid_results(t, t.results_for_athletes).filter(
-        F.col("athlete_id").isNotNull() | F.col("nationality").isin(countries))
+    owned = F.col("athlete_id").isNotNull() | F.col("nationality").isin(countries)
+    r = valid_results(t, t.results_for_athletes).filter(owned)
     athletes = t.athletes.filter(F.col("country_code").isin(countries))
-    keys = ["athlete_id", "athlete_name", "nationality", *also]
-    if t.fits("athletes", athletes):
+    keys = [*OWNER_KEYS, *also]
+    if t.owner_counts is not None and not also:
+        g = t.owner_counts.filter(owned).withColumn("_spread", F.xxhash64(*keys[1:]))
+    elif t.fits("athletes", athletes):
         g = r.select(*keys, F.lit(1).cast("long").alias("n"), F.col("id").alias("_spread"))
     else:
         g = r.groupBy(*keys).agg(F.count("id").alias("n")).withColumn("_spread", F.xxhash64(*keys[1:]))

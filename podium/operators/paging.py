@@ -6,9 +6,10 @@ that ends within the first :data:`TOP_K_ROWS` rows is
 ``orderBy(..).offset(o).limit(n)``, which Spark plans as one
 ``TakeOrderedAndProject``: each task keeps its best ``o + n`` rows and only
 those reach the final merge. A page further on, or a larger one, is cut out of
-a distributed sort by row position, so no task ever holds ``o + n`` rows. Both
-give the same rows; :func:`seek_page` (``after=`` of every paged report) costs
-the same however deep the page is.
+a distributed sort by row position, so no task ever holds ``o + n`` rows; the
+sorted rows are kept (:class:`KeptOrder`), and every later page of the same
+list is read from them. Both give the same rows; :func:`seek_page` (``after=``
+of every paged report) costs the same however deep the page is.
 """
 
 from __future__ import annotations
@@ -85,50 +86,94 @@ def order_of(keys: list[Key] | list[Column]) -> list[Column]:
     return [k if isinstance(k, Column) else desc(k[0]) if k[1] else asc(k[0]) for k in keys]
 
 
-def page(df: DataFrame, keys: list[Key] | list[Column], spec: PageSpec, after: tuple | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class KeptOrder:
+    """A list's rows in their order, written once to the shared folder, range
+    part by range part: ``parts`` holds (part, position of its first row, rows)
+    for each part that has rows, one entry per task of the sort."""
+    rows: DataFrame
+    parts: tuple[tuple[int, int, int], ...]
+
+    def cut(self, offset: int, size: int) -> DataFrame:
+        """Rows ``offset`` to ``offset + size``, in order. Only the parts that
+        the page touches are read; a page inside one part is a range of places
+        that reaches the scan."""
+        end = offset + size
+        touched = [(part, first) for part, first, n in self.parts if first < end and first + n > offset]
+        if not touched:
+            return self.rows.drop("_part", "_at").limit(0)
+        near = self.rows.filter(F.col("_part").between(touched[0][0], touched[-1][0]))
+        if len(touched) == 1:
+            first = touched[0][1]
+            near = near.filter(F.col("_at").between(offset - first, end - 1 - first))
+        else:
+            # One row per touched part, and those lie side by side.
+            firsts = self.rows.sparkSession.createDataFrame(touched, "_part long, _first long")
+            at = F.col("_first") + F.col("_at")
+            near = near.join(F.broadcast(firsts), "_part").filter(at.between(offset, end - 1)).drop("_first")
+        return near.orderBy("_part", "_at").drop("_part", "_at")
+
+
+# The orders kept for a set of tables: (columns, plan hash) -> (sorted frame, its kept rows).
+Orders = dict[tuple, list[tuple[DataFrame, KeptOrder]]]
+
+
+def keep_order(df: DataFrame, order: list[Column]) -> KeptOrder:
+    """Sort ``df`` once over all tasks and write it with each row's part and
+    place; one count per part then gives the position of its first row."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    path = scratch_dir(df.sparkSession, f"order-{uuid.uuid4().hex}")
+    # The low 33 bits number the rows inside a partition, in sorted order.
+    at = F.monotonically_increasing_id()
+    ranged.withColumns({"_part": F.shiftright(at, 33), "_at": at.bitwiseAND(F.lit((1 << 33) - 1))}).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    first, parts = 0, []
+    for r in rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect():
+        parts.append((r["_part"], first, r["n"]))
+        first += r["n"]
+    return KeptOrder(rows, tuple(parts))
+
+
+def _order_kept(df: DataFrame, order: list[Column], orders: Orders, make: bool) -> KeptOrder | None:
+    """The kept order of a list with the same plan, order and column names, or
+    else (``make``) a new one."""
+    if not (make or orders):
+        return None
+    wanted = df.orderBy(*order)
+    key = (tuple(df.columns), wanted.semanticHash())
+    for frame, kept in orders.get(key, []):
+        if frame.sameSemantics(wanted):
+            return kept
+    if not make:
+        return None
+    kept = keep_order(df, order)
+    orders.setdefault(key, []).append((wanted, kept))
+    return kept
+
+
+def page(df: DataFrame, keys: list[Key] | list[Column], spec: PageSpec, after: tuple | None = None,
+         orders: Orders | None = None) -> DataFrame:
     """One page of ``df`` sorted by ``keys`` (which should end in a unique
     key). With ``after`` (the sort-key values of the last row seen; needs keys
-    by name) the page that follows that row, whatever ``spec.page`` says."""
+    by name) the page that follows that row, whatever ``spec.page`` says.
+
+    ``orders`` (``Tables.kept_orders``) remembers the sorted lists that deep
+    pages needed: the next page of such a list sorts nothing. They show the
+    tables as loaded, as every report over them does.
+    """
     if after is not None:
         return seek_page(df, keys, after, spec.size)
     order = order_of(keys)
-    if spec.offset + spec.size > TOP_K_ROWS:
-        return _cut(df, order, spec.offset, spec.size)
+    deep = spec.offset + spec.size > TOP_K_ROWS
+    kept = _order_kept(df, order, {} if orders is None else orders, make=deep)
+    if kept is not None:
+        return kept.cut(spec.offset, spec.size)
     out = df.orderBy(*order)
     if spec.offset:
         out = out.offset(spec.offset)
     return out.limit(spec.size)
 
 
-def _cut(df: DataFrame, order: list[Column], offset: int, size: int) -> DataFrame:
-    """Rows ``offset`` to ``offset + size`` of the sorted ``df``.
-
-    The sorted rows are written to the shared folder, range-partitioned, with
-    their place in the partition. One count per partition (as many rows as
-    there are partitions) gives each partition's first position; then only the
-    partitions that the page touches are read.
-    """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    path = scratch_dir(df.sparkSession, f"page-{uuid.uuid4().hex}")
-    # The low 33 bits number the rows inside a partition, in sorted order.
-    at = F.monotonically_increasing_id()
-    ranged.withColumns({"_part": F.shiftright(at, 33), "_at": at.bitwiseAND(F.lit((1 << 33) - 1))}).write.parquet(path)
-    rows = df.sparkSession.read.parquet(path)
-    first, touched = 0, []
-    for r in rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect():
-        if first < offset + size and first + r["n"] > offset:
-            touched.append((r["_part"], first))
-        first += r["n"]
-    if not touched:
-        return rows.drop("_part", "_at").limit(0)
-    # One row per touched partition, and those lie side by side.
-    firsts = df.sparkSession.createDataFrame(touched, "_part long, _first long")
-    near = rows.filter(F.col("_part").between(touched[0][0], touched[-1][0])).join(F.broadcast(firsts), "_part")
-    position = F.col("_first") + F.col("_at")
-    return (near.filter(position.between(offset, offset + size - 1)).withColumn("_at", position)
-            .orderBy("_at").drop("_part", "_at", "_first"))
-
-
 def page_info(total: DataFrame, spec: PageSpec, total_col: str = "total") -> DataFrame:
     """Page metadata from a one-row total: page, per_page, total, pages and
     the ``from``-``to`` range shown under a table."""
@@ -176,4 +221,4 @@ def seek_page(df: DataFrame, keys: list[tuple[str, bool]], after: tuple | None,
             pred = term if pred is None else pred | term
         out = out.filter(pred)
     order = order_of(keys)
-    return _cut(out, order, 0, size) if size > TOP_K_ROWS else out.orderBy(*order).limit(size)
+    return keep_order(out, order).cut(0, size) if size > TOP_K_ROWS else out.orderBy(*order).limit(size)

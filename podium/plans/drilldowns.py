@@ -8,7 +8,7 @@ predicate is a literal filter on the fact.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import search as S
@@ -80,7 +80,7 @@ def competition_results_basic(t: Tables, competition_id: int, page_no: int = 1,
     """v1: every result (no mark test) of linked athletes only (inner join);
     race's own date; newest race first, then place."""
     r = results_of_competition(t, competition_id, cols=V1_CONTEXT)
-    return page(_v1_rows(t, r), NEWEST_RACE, PageSpec(page_no, per_page), after)
+    return page(_v1_rows(t, r), NEWEST_RACE, PageSpec(page_no, per_page), after, t.kept_orders)
 
 
 def competition_results_basic_count(t: Tables, competition_id: int) -> DataFrame:
@@ -99,7 +99,7 @@ def competition_result_rows(t: Tables, competition_id: int) -> DataFrame:
 def competition_results(t: Tables, competition_id: int, page_no: int = 1,
                         per_page: int = RESULTS_PAGE_SIZE, after: tuple | None = None) -> DataFrame:
     """v2: a page of the competition's valid results, newest first, then place."""
-    return page(competition_result_rows(t, competition_id), NEWEST_RACE, PageSpec(page_no, per_page), after)
+    return page(competition_result_rows(t, competition_id), NEWEST_RACE, PageSpec(page_no, per_page), after, t.kept_orders)
 
 
 def competition_results_count(t: Tables, competition_id: int) -> DataFrame:
@@ -140,7 +140,7 @@ def competition_athletes(t: Tables, competition_id: int, page_no: int = 1,
     """A page of participants, most results first (page size capped at 200).
     Every output column takes part in the order, so pages are stable."""
     return page(competition_participants(t, competition_id), MOST_ACTIVE,
-                PageSpec(page_no, per_page, LIST_PAGE_CAP), after)
+                PageSpec(page_no, per_page, LIST_PAGE_CAP), after, t.kept_orders)
 
 
 def competition_participants_count(t: Tables, competition_id: int) -> DataFrame:
@@ -159,7 +159,7 @@ def competition_athletes_count(t: Tables, competition_id: int) -> DataFrame:
 def athlete_results_basic(t: Tables, athlete_id: int, page_no: int = 1,
                           per_page: int = V1_ATHLETE_PAGE_SIZE, after: tuple | None = None) -> DataFrame:
     """v1: results linked to the athlete id (no mark test), newest race first."""
-    return page(athlete_result_rows_basic(t, athlete_id), NEWEST_LINKED, PageSpec(page_no, per_page), after)
+    return page(athlete_result_rows_basic(t, athlete_id), NEWEST_LINKED, PageSpec(page_no, per_page), after, t.kept_orders)
 
 
 def athlete_results_basic_count(t: Tables, athlete_id: int) -> DataFrame:
@@ -176,48 +176,44 @@ def athlete_result_rows_basic(t: Tables, athlete_id: int) -> DataFrame:
                     "competition_name", "venue")
 
 
-def athlete_name(t: Tables, athlete_id: int) -> tuple[bool, str | None]:
-    """One-row lookup of an athlete's full name: (found, name)."""
-    row = t.athletes.filter(F.col("id") == F.lit(athlete_id)).select("full_name").limit(1).first()
-    return (row is not None, None if row is None else row["full_name"])
+def athlete_field(t: Tables, athlete_id: int, name: str) -> Column:
+    """One field of one athlete as a scalar subquery; NULL for an unknown one."""
+    return t.athletes.filter(F.col("id") == F.lit(athlete_id)).select(name).limit(1).scalar()
 
 
-def _athlete_identity(athlete_id: int, name: str | None):
-    """Linked to the id, or an orphan carrying exactly the athlete's name."""
-    linked = F.col("athlete_id") == F.lit(athlete_id)
-    if name is None:
-        return linked
-    return linked | (F.col("athlete_id").isNull() & (F.col("athlete_name") == F.lit(name)))
+def _athlete_identity(t: Tables, athlete_id: int) -> Column:
+    """Linked to the id, or an orphan carrying exactly the athlete's name.
+
+    Id and name are looked up by subqueries of the plan itself, so building it
+    starts no job; their values are pushed to the fact scan when it starts. For
+    an unknown athlete both are NULL and no row qualifies.
+    """
+    return (F.col("athlete_id") == athlete_field(t, athlete_id, "id")) | (
+        F.col("athlete_id").isNull() & (F.col("athlete_name") == athlete_field(t, athlete_id, "full_name")))
 
 
 def athlete_results(t: Tables, athlete_id: int, page_no: int = 1,
-                    per_page: int = RESULTS_PAGE_SIZE, order: str = "id", after: tuple | None = None,
-                    person: tuple[bool, str | None] | None = None) -> DataFrame:
+                    per_page: int = RESULTS_PAGE_SIZE, order: str = "id", after: tuple | None = None) -> DataFrame:
     """v2: valid results of an athlete by id, plus orphans with the athlete's
     exact name; one row per result id (newest competition, best place).
     ``order='id'`` is the reference's order; ``'recent'`` is newest first.
     An unknown athlete gives no rows."""
-    rows = athlete_result_rows(t, athlete_id, person)
+    rows = athlete_result_rows(t, athlete_id)
     sort: list[Key] = [("id", False)] if order == "id" else [("start_date", True), ("place", False), ("id", False)]
-    return page(rows, sort, PageSpec(page_no, per_page), after)
+    return page(rows, sort, PageSpec(page_no, per_page), after, t.kept_orders)
 
 
-def athlete_result_rows(t: Tables, athlete_id: int, person: tuple[bool, str | None] | None = None) -> DataFrame:
+def athlete_result_rows(t: Tables, athlete_id: int) -> DataFrame:
     """All v2 result rows of an athlete (by id, plus orphans with the exact
-    name), one per result id, unpaged and distributed. ``person`` is what
-    :func:`athlete_name` gave, if that is known already."""
-    found, name = person or athlete_name(t, athlete_id)
-    r = valid_results(t, t.results_for_athletes).filter(
-        _athlete_identity(athlete_id, name) if found else F.lit(False))
+    name), one per result id, unpaged and distributed."""
+    r = valid_results(t, t.results_for_athletes).filter(_athlete_identity(t, athlete_id))
     rows = _v2_columns(_v2_rows(t, r, ["competition_name"]),
                        extra=["competition_name", F.col("c_start_date").alias("start_date")])
     return first_per_key(rows, "id", [(F.col("start_date"), True), (F.col("place"), False)])
 
 
-def athlete_results_count(t: Tables, athlete_id: int, person: tuple[bool, str | None] | None = None) -> DataFrame:
-    found, name = person or athlete_name(t, athlete_id)
-    r = valid_results(t, t.results_for_athletes).filter(
-        _athlete_identity(athlete_id, name) if found else F.lit(False))
+def athlete_results_count(t: Tables, athlete_id: int) -> DataFrame:
+    r = valid_results(t, t.results_for_athletes).filter(_athlete_identity(t, athlete_id))
     return r.agg(F.count_distinct("id").alias("total"))
 
 
@@ -270,7 +266,7 @@ def athlete_results_by_name(t: Tables, name: str, page_no: int = 1,
                             per_page: int = RESULTS_PAGE_SIZE, after: tuple | None = None) -> DataFrame:
     """Valid results whose own ``athlete_name`` matches the ILIKE term
     (stripped, at least two characters), newest competition first."""
-    return page(athlete_result_rows_by_name(t, name), NEWEST_RACE, PageSpec(page_no, per_page), after)
+    return page(athlete_result_rows_by_name(t, name), NEWEST_RACE, PageSpec(page_no, per_page), after, t.kept_orders)
 
 
 def athlete_result_rows_by_name(t: Tables, name: str) -> DataFrame:

@@ -44,7 +44,7 @@ BY_NAME: list[Key] = [("full_name", False), ("id", False)]
 def competitions_list_basic(t: Tables, search: str | None = None, page_no: int = 1,
                             per_page: int = LIST_PAGE_SIZE, after: tuple | None = None) -> DataFrame:
     """v1: all matching competitions, newest first (no page cap)."""
-    return page(_searched_competitions(t, search), NEWEST, PageSpec(page_no, per_page), after)
+    return page(_searched_competitions(t, search), NEWEST, PageSpec(page_no, per_page), after, t.kept_orders)
 
 
 def competitions_basic_count(t: Tables, search: str | None = None) -> DataFrame:
@@ -88,7 +88,7 @@ def competitions_list(t: Tables, search: str | None = None, page_no: int = 1,
                       per_page: int = LIST_PAGE_SIZE, after: tuple | None = None) -> DataFrame:
     """v2: competitions having valid results, with ``result_count``, most
     results first; page size capped at 200."""
-    return page(_competitions_with_results(t, search), MOST_RESULTS, PageSpec(page_no, per_page, LIST_PAGE_CAP), after)
+    return page(_competitions_with_results(t, search), MOST_RESULTS, PageSpec(page_no, per_page, LIST_PAGE_CAP), after, t.kept_orders)
 
 
 def competitions_with_results_count(t: Tables, search: str | None = None) -> DataFrame:
@@ -122,7 +122,7 @@ def _searched_athletes_basic(t: Tables, search: str | None) -> DataFrame:
 def athletes_list_basic(t: Tables, search: str | None = None, page_no: int = 1,
                         per_page: int = LIST_PAGE_SIZE, after: tuple | None = None) -> DataFrame:
     """v1: names or country name contain the raw term; by full name."""
-    return page(_searched_athletes_basic(t, search), BY_NAME, PageSpec(page_no, per_page), after)
+    return page(_searched_athletes_basic(t, search), BY_NAME, PageSpec(page_no, per_page), after, t.kept_orders)
 
 
 def athletes_basic_count(t: Tables, search: str | None = None) -> DataFrame:
@@ -141,7 +141,7 @@ def athletes_list(t: Tables, search: str | None = None, sort_by: str = "full_nam
                   per_page: int = LIST_PAGE_SIZE, after: tuple | None = None) -> DataFrame:
     """v2: gated two-mode search, allow-listed sort, page size capped at 200."""
     return page(_searched_athletes(t, search), athlete_sort_keys(sort_by, sort_order),
-                PageSpec(page_no, per_page, LIST_PAGE_CAP), after)
+                PageSpec(page_no, per_page, LIST_PAGE_CAP), after, t.kept_orders)
 
 
 def athletes_count(t: Tables, search: str | None = None) -> DataFrame:

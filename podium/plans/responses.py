@@ -97,11 +97,10 @@ def athlete_results(t: Tables, athlete_id: int, page_no: int = 1,
     """An unknown athlete gives an empty page and total 0 (the original
     answered 404)."""
     spec = PageSpec(page_no, per_page)
-    person = R.athlete_name(t, athlete_id)  # one look-up for rows, total and name
-    found, name = person
-    return Response("results", R.athlete_results(t, athlete_id, page_no, per_page, person=person), [("id", False)],
-                    spec.size, page_info(R.athlete_results_count(t, athlete_id, person), spec),
-                    {"athlete_id": athlete_id, "athlete_name": name, "found": found})
+    return Response("results", R.athlete_results(t, athlete_id, page_no, per_page), [("id", False)],
+                    spec.size, page_info(R.athlete_results_count(t, athlete_id), spec),
+                    {"athlete_id": athlete_id, "athlete_name": R.athlete_field(t, athlete_id, "full_name"),
+                     "found": R.athlete_field(t, athlete_id, "id").isNotNull()})
 
 
 def athlete_results_by_name(t: Tables, name: str, page_no: int = 1,

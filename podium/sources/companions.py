@@ -4,6 +4,7 @@
 results_by_athlete  the fact, ranged and sorted by athlete
 results_by_name     valid results that carry a name, ranged and sorted by it
 race_counts         valid results per race
+owner_counts        valid results per athlete, name and nationality they carry
 athlete_names       the distinct names of valid results, each with its results
 name_grams          for every three letters in a row the names that hold them
 gram_counts         for every three letters in a row how many names hold them
@@ -34,6 +35,7 @@ from ..functions.exprs import valid_mark
 from .schemas import FACT, SCHEMAS
 
 GRAM = 3
+OWNER_KEYS = ("athlete_id", "athlete_name", "nationality")  # who a result may belong to
 LAYOUT_RECORD = "results_layouts"
 COMMITS, BATCHES = "commits", "batches"
 _COMMIT = "batch string, rows long, layouts array<string>"
@@ -72,6 +74,9 @@ COMPANIONS: dict[str, Companion] = {
     "race_counts": Companion(
         StructType().add("race_id", "long").add("n", "long"),
         lambda r: r.filter(valid_mark()).groupBy("race_id").agg(F.count(F.lit(1)).alias("n")), ("race_id",)),
+    "owner_counts": Companion(
+        StructType([f for f in SCHEMAS[FACT] if f.name in OWNER_KEYS]).add("n", "long"),
+        lambda r: r.filter(valid_mark()).groupBy(*OWNER_KEYS).agg(F.count(F.lit(1)).alias("n")), OWNER_KEYS),
     "athlete_names": Companion(StructType().add("athlete_name", "string").add("n", "long"), _names, ("athlete_name",)),
     "name_grams": Companion(StructType().add("gram", "string").add("athlete_name", "string"), _grams, ("gram", "athlete_name"),
                             _SMALL_PAGES),

@@ -1,9 +1,10 @@
 """The table set every report reads, and the size-checked broadcast policy.
 
 ``Tables`` holds one lazy DataFrame per table. Dimensions are broadcast only
-after their row count has been checked against ``broadcast_max_rows``; the
-count is taken once per table and memoised, so every filtered subset of a
-dimension inherits the bound. Above the bound the join is left to Catalyst
+after their rows have been checked against ``broadcast_max_rows`` and the bytes
+of their values against ``broadcast_max_bytes``; both are taken once per table
+and memoised, so every filtered subset of a dimension inherits the bounds. Above
+them the join is left to Catalyst
 and AQE (sort-merge, with runtime broadcast conversion and skew splitting).
 The fact table ``results`` is never broadcast.
 """
@@ -13,8 +14,9 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from . import companions
 from .schemas import FACT, SCHEMAS
@@ -22,6 +24,21 @@ from .schemas import FACT, SCHEMAS
 # Rows a dimension may have and still be broadcast (after column pruning a
 # dimension row is a few dozen bytes, so this stays far below executor memory).
 DEFAULT_BROADCAST_MAX_ROWS = 1_000_000
+# Bytes its values may have (a few long texts weigh more than many short rows).
+DEFAULT_BROADCAST_MAX_BYTES = 256 << 20
+FIXED_BYTES = 8  # counted for each value beside the bytes of texts
+
+
+def _value_bytes(df: DataFrame) -> Column:
+    """The sum of the bytes of a frame's values, texts by their length."""
+    size = F.lit(FIXED_BYTES * len(df.columns)).cast("long")
+    for f in df.schema.fields:
+        col = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, ArrayType):
+            size += F.coalesce(F.size(col) * FIXED_BYTES + F.octet_length(F.array_join(col, "")), F.lit(0))
+        elif isinstance(f.dataType, StringType):
+            size += F.coalesce(F.octet_length(col), F.lit(0))
+    return F.sum(size)
 
 
 @dataclass
@@ -35,6 +52,7 @@ class Tables:
     races: DataFrame
     results: DataFrame
     broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS
+    broadcast_max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES
     # Optional second layout of the fact, sorted by athlete (same rows and
     # columns as ``results``); athlete drill-downs read it when present.
     results_by_athlete: DataFrame | None = None
@@ -44,7 +62,11 @@ class Tables:
     athlete_names: DataFrame | None = None
     name_grams: DataFrame | None = None
     gram_counts: DataFrame | None = None
+    owner_counts: DataFrame | None = None
+    # Sorted lists that deep pages of these tables needed, see operators.paging.
+    kept_orders: dict = field(default_factory=dict, repr=False)
     _rows: dict[str, int] = field(default_factory=dict, repr=False)
+    _bytes: dict[str, int] = field(default_factory=dict, repr=False)
 
     @property
     def spark(self) -> SparkSession:
@@ -64,24 +86,34 @@ class Tables:
             self._rows[name] = self.table(name).count()
         return self._rows[name]
 
+    def bytes(self, name: str) -> int:
+        """Bytes of a table's values, computed once (one aggregated row)."""
+        if name not in self._bytes:
+            self._bytes[name] = self.table(name).agg(_value_bytes(self.table(name))).first()[0] or 0
+        return self._bytes[name]
+
     def broadcastable(self, name: str) -> bool:
+        """Whether a dimension is within both bounds. Bytes are only measured
+        for one that has few enough rows."""
         if name == FACT:
             return False
-        return self.rows(name) <= self.broadcast_max_rows
+        return self.rows(name) <= self.broadcast_max_rows and self.bytes(name) <= self.broadcast_max_bytes
 
     def fits(self, name: str, subset: DataFrame | None = None) -> bool:
         """Whether a dimension, or else the given subset of it, is within the
-        bound. A subset of a dimension beyond the bound (one country's
-        athletes) is counted by itself, up to the bound."""
+        bounds. A subset of a dimension beyond them (one country's athletes) is
+        measured by itself, up to one row more than may be broadcast."""
         if self.broadcastable(name):
             return True
         if name == FACT or subset is None or not self.broadcast_max_rows:
             return False
-        return subset.limit(self.broadcast_max_rows + 1).count() <= self.broadcast_max_rows
+        held = subset.limit(self.broadcast_max_rows + 1)
+        n, size = held.agg(F.count(F.lit(1)), _value_bytes(held)).first()
+        return n <= self.broadcast_max_rows and (size or 0) <= self.broadcast_max_bytes
 
     def dim(self, name: str, df: DataFrame | None = None) -> DataFrame:
         """``df`` (default: the whole dimension) with a broadcast hint when the
-        dimension's checked row count is within the bound; a subset of a
+        dimension's checked rows and bytes are within the bounds; a subset of a
         dimension is never larger than the dimension."""
         df = self.table(name) if df is None else df
         return F.broadcast(df) if self.broadcastable(name) else df
