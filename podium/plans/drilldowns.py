@@ -99,7 +99,8 @@ def competition_result_rows(t: Tables, competition_id: int) -> DataFrame:
 def competition_results(t: Tables, competition_id: int, page_no: int = 1,
                         per_page: int = RESULTS_PAGE_SIZE, after: tuple | None = None) -> DataFrame:
     """v2: a page of the competition's valid results, newest first, then place."""
-    return page(competition_result_rows(t, competition_id), NEWEST_RACE, PageSpec(page_no, per_page), after, t.kept_orders)
+    return page(competition_result_rows(t, competition_id), NEWEST_RACE, PageSpec(page_no, per_page), after,
+                t.kept_orders)
 
 
 def competition_results_count(t: Tables, competition_id: int) -> DataFrame:

@@ -88,7 +88,8 @@ def competitions_list(t: Tables, search: str | None = None, page_no: int = 1,
                       per_page: int = LIST_PAGE_SIZE, after: tuple | None = None) -> DataFrame:
     """v2: competitions having valid results, with ``result_count``, most
     results first; page size capped at 200."""
-    return page(_competitions_with_results(t, search), MOST_RESULTS, PageSpec(page_no, per_page, LIST_PAGE_CAP), after, t.kept_orders)
+    return page(_competitions_with_results(t, search), MOST_RESULTS, PageSpec(page_no, per_page, LIST_PAGE_CAP), after,
+                t.kept_orders)
 
 
 def competitions_with_results_count(t: Tables, search: str | None = None) -> DataFrame:
