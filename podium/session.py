@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,40 @@ DEFAULT_CONF = {
 }
 
 
+# Rows a task sorts at most where a table is written, and the shuffled bytes up
+# to which Spark puts small partitions together for that: a row of the fact
+# takes some 200 bytes in a sort, a third more for a join below it.
+ROWS_PER_TASK = 1_000_000
+WRITE_ADVISORY_BYTES = 32 << 20
+
+
+@contextmanager
+def tasks_for(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Shuffles in this block start from one partition per
+    :data:`ROWS_PER_TASK` of ``rows``, or more where the session has more, so
+    that what a task sorts doesn't grow with the table and stays in memory. AQE
+    still puts small partitions together, by the session's advisory size or
+    else :data:`WRITE_ADVISORY_BYTES`."""
+    n = -(-(rows or 0) // ROWS_PER_TASK)
+    parts, initial = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    advisory = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = {k: spark.conf.get(k, None) for k in (parts, initial, advisory)}
+    if n > int(spark.conf.get(parts)):
+        spark.conf.set(parts, str(n))
+    if before[initial] is not None and n > int(before[initial]):
+        spark.conf.set(initial, str(n))
+    if before[advisory] is None:
+        spark.conf.set(advisory, str(WRITE_ADVISORY_BYTES))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def build_session(master: str = "local[*]", app: str = "podium",
                   shuffle_partitions: int | None = None,
                   extra: dict[str, str] | None = None) -> SparkSession:

@@ -32,10 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.exprs import valid_mark
+from ..session import tasks_for
 from .schemas import FACT, SCHEMAS
 
 GRAM = 3
 OWNER_KEYS = ("athlete_id", "athlete_name", "nationality")  # who a result may belong to
+ATHLETE_LAYOUT = "results_by_athlete"
 LAYOUT_RECORD = "results_layouts"
 COMMITS, BATCHES = "commits", "batches"
 _COMMIT = "batch string, rows long, layouts array<string>"
@@ -64,24 +66,29 @@ class Companion:
     derive: Callable[[DataFrame], DataFrame]
     order: tuple[str, ...]
     options: tuple[tuple[str, str], ...] = ()
+    # Made from the athlete's copy where that is written too: it has the same
+    # rows, those of an athlete and of a name side by side, so tasks count them
+    # before the shuffle and what is shuffled whole compresses better.
+    by_athlete: bool = False
 
 
 # Pages of few rows, so that the rows of single names can be picked out.
 _SMALL_PAGES = (("parquet.page.row.count.limit", "2000"),)
 COMPANIONS: dict[str, Companion] = {
     "results_by_athlete": Companion(SCHEMAS[FACT], lambda r: r, ("athlete_id", "athlete_name", "id")),
-    "results_by_name": Companion(SCHEMAS[FACT], _named, ("athlete_name", "id"), _SMALL_PAGES),
+    "results_by_name": Companion(SCHEMAS[FACT], _named, ("athlete_name", "id"), _SMALL_PAGES, True),
     "race_counts": Companion(
         StructType().add("race_id", "long").add("n", "long"),
         lambda r: r.filter(valid_mark()).groupBy("race_id").agg(F.count(F.lit(1)).alias("n")), ("race_id",)),
     "owner_counts": Companion(
         StructType([f for f in SCHEMAS[FACT] if f.name in OWNER_KEYS]).add("n", "long"),
-        lambda r: r.filter(valid_mark()).groupBy(*OWNER_KEYS).agg(F.count(F.lit(1)).alias("n")), OWNER_KEYS),
-    "athlete_names": Companion(StructType().add("athlete_name", "string").add("n", "long"), _names, ("athlete_name",)),
+        lambda r: r.filter(valid_mark()).groupBy(*OWNER_KEYS).agg(F.count(F.lit(1)).alias("n")), OWNER_KEYS, by_athlete=True),
+    "athlete_names": Companion(StructType().add("athlete_name", "string").add("n", "long"), _names, ("athlete_name",),
+                               by_athlete=True),
     "name_grams": Companion(StructType().add("gram", "string").add("athlete_name", "string"), _grams, ("gram", "athlete_name"),
-                            _SMALL_PAGES),
+                            _SMALL_PAGES, True),
     "gram_counts": Companion(StructType().add("gram", "string").add("n", "long"),
-                             lambda r: _grams(r).groupBy("gram").agg(F.count(F.lit(1)).alias("n")), ("gram",)),
+                             lambda r: _grams(r).groupBy("gram").agg(F.count(F.lit(1)).alias("n")), ("gram",), by_athlete=True),
 }
 
 
@@ -89,16 +96,28 @@ def schema_of(table: str) -> StructType:
     return COMPANIONS[table].schema if table in COMPANIONS else SCHEMAS[table]
 
 
+def packed(fmt: str) -> dict[str, str]:
+    """Write options of the fact and its companions, which hold its rows up to
+    three times."""
+    return {"compression": "zstd"} if fmt == "parquet" else {}
+
+
 def write_companions(results: DataFrame, folder: str, names: Iterable[str], fmt: str = "parquet",
                      files: int | None = None) -> None:
-    """(Over)write the named companions of ``results`` under ``folder``."""
-    for name in names:
-        made = COMPANIONS[name]
-        keys = [F.col(k).asc_nulls_first() for k in made.order]
-        df = made.derive(results).select(*made.schema.names)
-        df = df.repartitionByRange(files, *keys) if files else df.repartitionByRange(*keys)
-        df.sortWithinPartitions(*keys).write.options(**dict(made.options)).format(fmt).mode("overwrite").save(
-            os.path.join(folder, name))
+    """(Over)write the named companions of ``results``, the fact's part as
+    written, under ``folder``."""
+    spark, copy = results.sparkSession, None
+    with tasks_for(spark, results.count()):
+        for name in names:
+            made = COMPANIONS[name]
+            keys = [F.col(k).asc_nulls_first() for k in made.order]
+            df = made.derive(copy if copy is not None and made.by_athlete else results).select(*made.schema.names)
+            df = df.repartitionByRange(files, *keys) if files else df.repartitionByRange(*keys)
+            path = os.path.join(folder, name)
+            df.sortWithinPartitions(*keys).write.options(**packed(fmt), **dict(made.options)).format(fmt).mode(
+                "overwrite").save(path)
+            if name == ATHLETE_LAYOUT:
+                copy = spark.read.format(fmt).schema(made.schema).load(path)
 
 
 def _found(read: Callable[[], object]):

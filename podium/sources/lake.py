@@ -7,9 +7,10 @@ import os
 
 from pyspark.sql import DataFrame
 
-from .companions import COMPANIONS, record, write_companions
+from ..session import tasks_for
+from .companions import ATHLETE_LAYOUT, COMPANIONS, packed, record, write_companions
 from .schemas import FACT, SCHEMAS
-from .tables import ATHLETE_LAYOUT, Tables
+from .tables import Tables
 
 BLOOM_COLUMNS = ("athlete_id", "athlete_name")
 
@@ -37,10 +38,11 @@ def write_tables(t: Tables, out: str, results_files: int | None = None, athlete_
         w = df.write
         if n == FACT:
             df = df.repartitionByRange(results_files, "race_id", "id") if results_files else df
-            w = df.sortWithinPartitions("race_id", "id").write
+            w = df.sortWithinPartitions("race_id", "id").write.options(**packed("parquet"))
             for c in BLOOM_COLUMNS:
                 w = w.option(f"parquet.bloom.filter.enabled#{c}", "true")
-        w.mode("overwrite").parquet(os.path.join(out, n))
+        with tasks_for(spark, t.results_expected if n == FACT else None):
+            w.mode("overwrite").parquet(os.path.join(out, n))
     names = [n for n in COMPANIONS if athlete_layout or n != ATHLETE_LAYOUT]
     write_companions(spark.read.schema(SCHEMAS[FACT]).parquet(os.path.join(out, FACT)), out, names, files=results_files)
     record(spark, out, names)

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..session import tasks_for
 from . import companions
 from .schemas import FACT, SCHEMAS
 
@@ -29,7 +30,8 @@ def append(df: DataFrame, path: str, fmt: str = "parquet",
     return int(obs.get["rows"])
 
 
-def append_results(df: DataFrame, path: str, fmt: str = "parquet", batch: str | None = None) -> int:
+def append_results(df: DataFrame, path: str, fmt: str = "parquet", batch: str | None = None,
+                   expected: int | None = None) -> int:
     """Append results to a lake as one batch, with all tables kept beside the
     fact, and return the number of rows added.
 
@@ -39,7 +41,8 @@ def append_results(df: DataFrame, path: str, fmt: str = "parquet", batch: str |
     an interrupted attempt left behind is written anew. The other layouts are
     made from the fact's part as written, so they hold the same rows even if
     ``df`` would not give them twice. One id must not be written by two callers
-    at a time.
+    at a time. ``expected`` is about how many rows the batch has, if the caller
+    knows: it sizes the tasks that write the fact's part, nothing else.
     """
     spark = df.sparkSession
     batch = batch or uuid.uuid4().hex
@@ -48,8 +51,10 @@ def append_results(df: DataFrame, path: str, fmt: str = "parquet", batch: str |
         return 0
     columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[FACT]]
     obs = Observation("append_results")
-    (df.select(*columns).repartitionByRange("race_id", "id").sortWithinPartitions("race_id", "id")
-     .observe(obs, F.count(F.lit(1)).alias("rows")).write.format(fmt).mode("overwrite").save(os.path.join(folder, FACT)))
+    with tasks_for(spark, expected):
+        (df.select(*columns).repartitionByRange("race_id", "id").sortWithinPartitions("race_id", "id")
+         .observe(obs, F.count(F.lit(1)).alias("rows")).write.options(**companions.packed(fmt)).format(fmt)
+         .mode("overwrite").save(os.path.join(folder, FACT)))
     rows = int(obs.get["rows"])
     names = companions.in_step(spark, path, fmt)
     written = spark.read.format(fmt).schema(SCHEMAS[FACT]).load(os.path.join(folder, FACT))

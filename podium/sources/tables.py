@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from . import companions
+from .companions import ATHLETE_LAYOUT
 from .schemas import FACT, SCHEMAS
 
 # Rows a dimension may have and still be broadcast (after column pruning a
@@ -63,6 +64,9 @@ class Tables:
     name_grams: DataFrame | None = None
     gram_counts: DataFrame | None = None
     owner_counts: DataFrame | None = None
+    # About how many results there are, where that is known without a pass over
+    # them: it sizes the tasks that write them, nothing else.
+    results_expected: int | None = None
     # Sorted lists that deep pages of these tables needed, see operators.paging.
     kept_orders: dict = field(default_factory=dict, repr=False)
     _rows: dict[str, int] = field(default_factory=dict, repr=False)
@@ -130,9 +134,6 @@ def _conform(df: DataFrame, name: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
-ATHLETE_LAYOUT = "results_by_athlete"
-
-
 def load_tables(spark: SparkSession, path: str, fmt: str = "parquet",
                 broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
                 with_athlete_layout: bool = True, with_companions: bool = True) -> Tables:
@@ -199,7 +200,7 @@ def load_jdbc(spark: SparkSession, url: str, properties: dict[str, str],
 
 
 def from_frames(frames: dict[str, DataFrame],
-                broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> Tables:
+                broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS, results_expected: int | None = None) -> Tables:
     """Wrap in-memory or derived DataFrames, conformed to the schemas."""
     return Tables(**{n: _conform(frames[n], n) for n in SCHEMAS},
-                  broadcast_max_rows=broadcast_max_rows)
+                  broadcast_max_rows=broadcast_max_rows, results_expected=results_expected)

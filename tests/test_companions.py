@@ -3,12 +3,14 @@ index and the kept counts."""
 
 from __future__ import annotations
 
+import dataclasses
 import os
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
+from podium import session
 from podium.functions.search import literal_runs
 from podium.plans import dashboard as D
 from podium.plans import drilldowns as R
@@ -142,3 +144,46 @@ def test_empty_tables_and_batches(spark):
     assert loaded.results.count() == 0 and L.competitions_list(loaded, None).count() == 0
     assert R.athlete_results_by_name_count(loaded, "ann").first()["total"] == 0
     assert R.athlete_results_by_name(loaded, "ann").collect() == []
+
+
+def rows_of_files(t, table: str) -> list[int]:
+    return [r["count"] for r in t.table(table).groupBy(F.input_file_name()).count().collect()]
+
+
+def test_tasks_that_write_a_lake_follow_its_rows(spark, base, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 100, raising=False)
+    n, held = 4000, ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled",
+                     "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = {k: spark.conf.get(k, None) for k in held}
+    spark.conf.set(held[0], "2")
+    spark.conf.set(held[1], "false")
+    try:
+        # Dealt out by a shuffle of the session's size, as a join would be.
+        many = batch(spark, 1, n).repartition("id")
+        tables = dataclasses.replace(base, results=many, results_expected=n)
+        path = write_tables(tables, scratch_dir(spark, f"test-tasks-{uuid.uuid4().hex[:8]}"))
+        append_results(batch(spark, n + 1, n).repartition("id"), path, expected=n)
+        t = load_tables(spark, path)
+        for table, rows in (("results", 2 * n), ("results_by_athlete", 2 * n), ("results_by_name", t.results_by_name.count())):
+            files = rows_of_files(t, table)
+            assert sum(files) == rows and max(files) < 500, (table, files)
+        assert (spark.conf.get(held[0]), spark.conf.get(held[1])) == ("2", "false")
+        assert spark.conf.get(held[2], None) == before[held[2]]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_companions_are_the_same_with_and_without_the_athlete_copy(spark, base):
+    made = []
+    for copy in (True, False):
+        path = write_tables(base, scratch_dir(spark, f"test-copy-{uuid.uuid4().hex[:8]}"), athlete_layout=copy)
+        append_results(batch(spark, 1000, 70), path, batch="more")
+        made.append(load_tables(spark, path))
+    assert made[0].results_by_athlete is not None and made[1].results_by_athlete is None
+    for name in companions.COMPANIONS:
+        if name != "results_by_athlete":
+            # Counts add up over the batches; how they lie in files is free.
+            assert all_rows(made[0].table(name)) == all_rows(made[1].table(name)), name
+    for f in made[0].results.inputFiles() + made[0].results_by_name.inputFiles():
+        assert f.endswith(".zstd.parquet")
