@@ -185,12 +185,16 @@ def athlete_field(t: Tables, athlete_id: int, name: str) -> Column:
 def _athlete_identity(t: Tables, athlete_id: int) -> Column:
     """Linked to the id, or an orphan carrying exactly the athlete's name.
 
-    Id and name are looked up by subqueries of the plan itself, so building it
-    starts no job; their values are pushed to the fact scan when it starts. For
-    an unknown athlete both are NULL and no row qualifies.
+    The name and whether there is such an athlete are looked up by subqueries
+    of the plan itself, so building it starts no job. The id and the name's
+    value are pushed to the fact scan when it starts. For an unknown athlete
+    the look-ups are NULL and no row qualifies.
     """
-    return (F.col("athlete_id") == athlete_field(t, athlete_id, "id")) | (
-        F.col("athlete_id").isNull() & (F.col("athlete_name") == athlete_field(t, athlete_id, "full_name")))
+    linked = F.col("athlete_id") == F.lit(athlete_id)
+    orphan = F.col("athlete_id").isNull() & (F.col("athlete_name") == athlete_field(t, athlete_id, "full_name"))
+    # A condition of its own: as a part of the first one it would keep that from the scan.
+    known = F.col("athlete_id").isNull() | athlete_field(t, athlete_id, "id").isNotNull()
+    return (linked | orphan) & known
 
 
 def athlete_results(t: Tables, athlete_id: int, page_no: int = 1,
