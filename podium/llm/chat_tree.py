@@ -45,6 +45,9 @@ LOSS_ROLE = "assistant"
 
 BLOCK_TOKENS = 32_768
 
+# Rows of a row group at most: conversations, and blocks.
+GROUP_PATHS, GROUP_BLOCKS = 256, 4
+
 BLOCKS = ("ids array<int>, positions array<int>, "
           "nodes array<struct<parent:int,start:int,end:int,loss_start:int,loss_end:int,attends:array<int>>>, "
           "conversations array<struct<conv_id:bigint,node:int>>")
@@ -114,7 +117,7 @@ def tree_blocks(conversations: DataFrame, block_tokens: int = BLOCK_TOKENS, json
     """The formatted conversations as tree blocks: ``ids``, ``positions``,
     ``nodes`` (parent, token interval, loss interval, intervals attended to)
     and ``conversations`` (conv_id, last node). Written to the shared folder."""
-    sorted_paths = (written(paths(conversations), "chat-paths")
+    sorted_paths = (written(paths(conversations), "chat-paths", GROUP_PATHS)
                     .repartitionByRange(F.col("path").asc(), F.col("conv_id").asc())
                     .sortWithinPartitions("path", "conv_id"))
     kind = pa.schema([
@@ -153,7 +156,8 @@ def tree_blocks(conversations: DataFrame, block_tokens: int = BLOCK_TOKENS, json
         if block.leaves:
             yield ready(block)
 
-    return written(sorted_paths.select("conv_id", "roles", "texts").mapInArrow(emit, BLOCKS), "chat-blocks")
+    return written(sorted_paths.select("conv_id", "roles", "texts").mapInArrow(emit, BLOCKS), "chat-blocks",
+                   GROUP_BLOCKS)
 
 
 def read_back(blocks: DataFrame, json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:

@@ -12,6 +12,9 @@ from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantT
 
 from ..session import scratch_dir
 
+# Of a row group whose rows hold long arrays, before compression.
+GROUP_BYTES = 2 << 20
+
 
 def shared_path(df_or_spark, name: str) -> str:
     """A fresh path in the shared folder that ``spark.checkpoint.dir`` names."""
@@ -19,11 +22,20 @@ def shared_path(df_or_spark, name: str) -> str:
     return scratch_dir(spark, f"{name}-{uuid.uuid4().hex}")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage is cut, and
-    values assigned while writing (row numbers) are fixed from then on."""
+    values assigned while writing (row numbers) are fixed from then on.
+
+    Spark reads arrays in batches of up to 4096 rows of a row group, each batch
+    whole in memory. Where rows hold long arrays, a row group of at most
+    ``group_rows`` rows, fewer where they fill :data:`GROUP_BYTES`, keeps that
+    batch from growing with the file."""
     path = shared_path(df, name)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    if group_rows:
+        writer = writer.options(**{"parquet.block.row.count.limit": group_rows, "parquet.block.size": GROUP_BYTES,
+                                   "parquet.page.size.row.check.min": 1})
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

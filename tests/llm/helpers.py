@@ -37,3 +37,11 @@ def with_clashes(df):
                  "score", "predicted", "cid", "token", "piece", "group", "place", "scored text"):
         df = df.withColumn(name, F.lit("x"))
     return df
+
+
+def group_sizes(df):
+    """The rows of each row group of the files that ``df`` reads, file by file."""
+    import pyarrow.parquet as pq
+
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in df.inputFiles()]
+    return [[m.row_group(i).num_rows for i in range(m.num_row_groups)] for m in files]

@@ -19,9 +19,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from podium.llm import (best_fit, capture_index, chat_tree, impact_search, noisy_channel, order_join, secret_layers)
+from podium.llm.common import written
 from podium.llm.token_ids import byte_bpe
 
-from .helpers import DOCS, awkward_rows, docs, prose, with_clashes
+from .helpers import DOCS, awkward_rows, docs, group_sizes, prose, with_clashes
 
 SF = "/root/testdata/sf0.01"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no sf0.01 data")
@@ -430,6 +431,23 @@ def test_chat_round_trip(spark, block):
                 assert {i for x, y in seen for i in range(x, y)} == {i for x, y in chain for i in range(x, y)}
 
 
+def test_chat_blocks_in_small_row_groups(spark):
+    """A task reads a row group's blocks at once: few, however many a file has."""
+    rows = [(c, 0, "user", f"question {c}") for c in range(300)]
+    blocks = chat_tree.tree_blocks(spark.createDataFrame(rows, CHAT), 1)
+    sizes = group_sizes(blocks)
+    assert sum(map(sum, sizes)) == 300 and max(map(sum, sizes)) > chat_tree.GROUP_BLOCKS
+    assert max(map(max, sizes)) <= chat_tree.GROUP_BLOCKS
+    assert chat_tree.read_back(blocks).count() == 300
+
+
+def test_long_rows_get_row_groups_of_their_own(spark):
+    df = spark.range(0, 6, 1, 1).selectExpr("id", "sequence(1, 600000) AS numbers")
+    kept = written(df, "long-rows", 4)
+    assert group_sizes(kept) == [[1] * 6]
+    assert kept.exceptAll(df).isEmpty() and df.exceptAll(kept).isEmpty()
+
+
 def test_chat_empty(spark):
     assert chat_tree.read_back(chat_tree.tree_blocks(spark.createDataFrame([], CHAT))).count() == 0
 
