@@ -52,6 +52,7 @@ BLOCK_TERMS = 1 << 21
 WINDOW = 64
 LONG_SHARE = 16  # a list of more than 1 in so many of a block's documents is long
 CHUNK_CHARS = 1 << 22
+GROUP_BLOCKS = 1  # in a row group of a written index: a reader holds all of its lists at once
 
 # Fixed values of the score.
 SCALE, STEP, LENGTH_PERCENT = 1_000_000_000, 1000, 75

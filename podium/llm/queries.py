@@ -80,7 +80,7 @@ def op11_rank_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = written(hybrid_rank.index(_table(spark, sf_dir, "documents")), "search-index")
+    blocks = written(hybrid_rank.index(_table(spark, sf_dir, "documents")), "search-index", hybrid_rank.GROUP_BLOCKS)
     return hybrid_rank.search(blocks, _table(spark, sf_dir, "benchmark"))
 
 

@@ -15,10 +15,11 @@ import pytest
 
 from podium.llm import hybrid_rank as H
 from podium.llm import merkle_climb as M
+from podium.llm import queries as Q
 from podium.llm import rank_profiles as R
 from podium.llm.common import written
 
-from .helpers import DOCS, awkward_rows, docs, with_clashes
+from .helpers import DOCS, awkward_rows, docs, group_sizes, with_clashes
 
 # --- language profiles ------------------------------------------------------------
 
@@ -142,6 +143,21 @@ def test_ranking_equals_brute_force(spark, k, chunk_chars, look_ahead):
     assert sorted(map(tuple, found), key=key) == sorted(brute_ranking(rows, ITEMS, k), key=key)
 
 
+def test_index_blocks_in_row_groups_of_their_own(spark, tmp_path, monkeypatch):
+    """A task reads a row group's lists at once: one block, however many a file has."""
+    docs(spark).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "w1x w2x same row")], "item_id long, text string").write.parquet(
+        str(tmp_path / "benchmark.parquet"))
+    index, kept = H.index, []
+    monkeypatch.setattr(H, "index", lambda table: index(table, block_docs=16))
+    monkeypatch.setattr(Q, "written", lambda *a: kept.append(written(*a)) or kept[-1])
+    found = Q.op12_hybrid_rank(spark, str(tmp_path)).collect()
+    sizes = [n for file in group_sizes(kept[0]) for n in file]
+    assert len(sizes) == -(-len(awkward_rows()) // 16) and set(sizes) == {1}
+    assert sorted(map(tuple, found)) == sorted(map(tuple, H.search(index(docs(spark)).transform(
+        lambda df: written(df, "whole-index")), spark.createDataFrame([(1, "w1x w2x same row")], ["item_id", "text"])).collect()))
+
+
 def test_ranking_of_empty_tables(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     nothing = written(H.index(docs(spark, [])), "test-index")
