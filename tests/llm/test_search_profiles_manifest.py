@@ -146,16 +146,16 @@ def test_ranking_equals_brute_force(spark, k, chunk_chars, look_ahead):
 def test_index_blocks_in_row_groups_of_their_own(spark, tmp_path, monkeypatch):
     """A task reads a row group's lists at once: one block, however many a file has."""
     docs(spark).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(1, "w1x w2x same row")], "item_id long, text string").write.parquet(
-        str(tmp_path / "benchmark.parquet"))
+    items = spark.createDataFrame([(1, "w1x w2x same row")], "item_id long, text string")
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
     index, kept = H.index, []
     monkeypatch.setattr(H, "index", lambda table: index(table, block_docs=16))
     monkeypatch.setattr(Q, "written", lambda *a: kept.append(written(*a)) or kept[-1])
     found = Q.op12_hybrid_rank(spark, str(tmp_path)).collect()
     sizes = [n for file in group_sizes(kept[0]) for n in file]
     assert len(sizes) == -(-len(awkward_rows()) // 16) and set(sizes) == {1}
-    assert sorted(map(tuple, found)) == sorted(map(tuple, H.search(index(docs(spark)).transform(
-        lambda df: written(df, "whole-index")), spark.createDataFrame([(1, "w1x w2x same row")], ["item_id", "text"])).collect()))
+    whole = H.search(written(index(docs(spark)), "whole-index"), items).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, whole))
 
 
 def test_ranking_of_empty_tables(spark):
